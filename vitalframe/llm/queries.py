@@ -6,17 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import sharding
+from vitalframe.llm import bpe, packing, sharding
 from vitalframe.llm.common import documents_of
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file, found where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents_of(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir), shards=16)
 
 
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents_of(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_swap_packing": op2_swap_packing,
         "op5_jump_sharding": op5_jump_sharding,
+        "op10_prefix_bpe": op10_prefix_bpe,
     }
 
 
