@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, packing, sharding
+from vitalframe.llm import bpe, exact_dedup, packing, sharding
 from vitalframe.llm.common import documents_of
 
 
@@ -25,6 +25,18 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir), shards=16)
 
 
+def op8_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_documents(documents_of(spark, sf_dir))
+
+
+OP8_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents_of(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -33,9 +45,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_swap_packing": op2_swap_packing,
         "op5_jump_sharding": op5_jump_sharding,
+        "op8_patricia_dedup": op8_patricia_dedup,
         "op10_prefix_bpe": op10_prefix_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_patricia_dedup": OP8_SQL}
