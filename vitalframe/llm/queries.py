@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, exact_dedup, packing, sharding
+from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding
 from vitalframe.llm.common import documents_of
 
 
@@ -25,6 +25,14 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir), shards=16)
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_documents(documents_of(spark, sf_dir))
+
+
+def op7_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents_of(spark, sf_dir))
+
+
 def op8_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(documents_of(spark, sf_dir))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_swap_packing": op2_swap_packing,
         "op5_jump_sharding": op5_jump_sharding,
+        "op6_jpeg_media": op6_jpeg_media,
+        "op7_mixture_langid": op7_mixture_langid,
         "op8_patricia_dedup": op8_patricia_dedup,
         "op10_prefix_bpe": op10_prefix_bpe,
     }
