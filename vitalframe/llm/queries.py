@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding
+from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, token_counts
 from vitalframe.llm.common import documents_of
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents_of(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -51,6 +55,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_trie_token_counts": op1_trie_token_counts,
         "op2_swap_packing": op2_swap_packing,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_jpeg_media": op6_jpeg_media,
