@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, token_counts
+from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, token_counts
 from vitalframe.llm.common import documents_of
 
 
@@ -25,6 +25,10 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents_of(spark, sf_dir), shingle=3, most_bits=2)
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir), shards=16)
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_trie_token_counts": op1_trie_token_counts,
         "op2_swap_packing": op2_swap_packing,
+        "op3_golay_simhash": op3_golay_simhash,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_jpeg_media": op6_jpeg_media,
         "op7_mixture_langid": op7_mixture_langid,
