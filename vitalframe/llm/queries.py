@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, token_counts
+from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, substring, token_counts
 from vitalframe.llm.common import documents_of
 
 
@@ -29,6 +29,10 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents_of(spark, sf_dir), shingle=3, most_bits=2)
 
 
+def op4_cover_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents_of(spark, sf_dir), window=35)
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir), shards=16)
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_trie_token_counts": op1_trie_token_counts,
         "op2_swap_packing": op2_swap_packing,
         "op3_golay_simhash": op3_golay_simhash,
+        "op4_cover_substring_dedup": op4_cover_substring_dedup,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_jpeg_media": op6_jpeg_media,
         "op7_mixture_langid": op7_mixture_langid,
