@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalframe.llm import bpe, exact_dedup, langid, media, packing, sharding, simhash, substring, token_counts
+from vitalframe.llm import bpe, exact_dedup, langid, media, packing, pii, sharding, simhash, substring, token_counts
 from vitalframe.llm.common import documents_of
 
 
@@ -57,6 +57,10 @@ FROM n
 """
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents_of(spark, sf_dir))
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents_of(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jpeg_media": op6_jpeg_media,
         "op7_mixture_langid": op7_mixture_langid,
         "op8_patricia_dedup": op8_patricia_dedup,
+        "op9_weak_pii": op9_weak_pii,
         "op10_prefix_bpe": op10_prefix_bpe,
     }
 
