@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalframe.llm.common import ascii_lower, pick, small_batches
 
@@ -226,3 +227,12 @@ def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.select("doc_id", F.sha2(ascii_lower(F.coalesce("_text", F.lit(""))), 256).alias("text_sha256"))
     return rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """The input's rows, all columns unchanged, that own their normalised text: the largest doc_id of each group; of rows that also share it, one."""
+    groups = text_groups(docs, doc_id, text, trie_bytes)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.sha2(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 256).alias("_sha"))
+    own = rows.join(groups, (rows["_sha"] == groups["text_sha256"]) & rows["_id"].eqNullSafe(groups["keep_id"]), "left_semi")
+    one = own.withColumn("_n", F.row_number().over(Window.partitionBy("_sha").orderBy("_id"))).where("_n = 1")
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -175,3 +175,32 @@ def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", tex
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     return predict_languages(docs, train(docs, doc_id, text, lang), doc_id, text)
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str = "text", chunk: int = 1 << 21) -> DataFrame:
+    """The input's rows, all columns unchanged, whose text has a language with a proportion of least_score or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            keep, rows, some, held = np.zeros(b.num_rows, bool), [], [], 0
+
+            def settle() -> None:
+                for r, (_, shares) in zip(rows, mixtures(some, model)):
+                    keep[r] = shares[0] >= least_score
+
+            for r, t in enumerate(b.column(place).to_pylist()):
+                if model.languages and has_letter(t) and (words := _words(t)):
+                    rows.append(r)
+                    some.append(words)
+                    held += len(t)
+                    if held >= chunk:
+                        settle()
+                        rows, some, held = [], [], 0
+            if rows:
+                settle()
+            yield b.filter(pa.array(keep))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)

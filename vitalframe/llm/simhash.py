@@ -201,12 +201,24 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Every row with its fingerprint and the smallest doc_id reachable over links."""
-    rows = checkpointed(fingerprint_documents(docs, doc_id, text, shingle))
+def component_ids(rows: DataFrame, most_bits: int, pair_bucket: int) -> DataFrame:
+    """(print, component_id) for each distinct fingerprint of rows (doc_id, print)."""
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(prints, most_bits, pair_bucket))
     known = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = known.join(ids, "root").select("print", "component_id")
+    return known.join(ids, "root").select("print", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Every row with its fingerprint and the smallest doc_id reachable over links."""
+    rows = checkpointed(fingerprint_documents(docs, doc_id, text, shingle))
+    found = component_ids(rows, most_bits, pair_bucket)
     return rows.join(found, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """The input's rows, all columns unchanged, whose doc_id is the smallest of their group."""
+    rows = checkpointed(fingerprint_documents(docs, doc_id, text, shingle))
+    gone = rows.join(component_ids(rows, most_bits, pair_bucket), "print").where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == gone["_gone"], "left_anti")
