@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("segment_queries",)
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -20,7 +23,9 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def _load() -> None:
-    pass
+    """Import the query modules; each registers its queries once."""
+    for name in MODULES:
+        import_module(f"vitalframe.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
