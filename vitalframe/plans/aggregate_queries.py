@@ -103,8 +103,8 @@ register("feature_popularity", lambda s, d: A.popularity(_picked(s, d), "feature
 WITH {_PICKED_SQL} SELECT feature, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM f GROUP BY 1""")
 register("feature_family", lambda s, d: _picked(s, d).groupBy(A.family("feature").alias("family")).agg(F.count(F.lit(1)).alias("n")), f"""
 WITH {_PICKED_SQL} SELECT split_part(feature, '_', 1) || '_' || split_part(feature, '_', 2) AS family, count(*) AS n FROM f GROUP BY 1""")
-register("stable_features", lambda s, d: _round(A.stable_features(_picked(s, d), "feature", "source", 0.6), "share"), f"""
-WITH {_PICKED_SQL} SELECT feature, round(count(DISTINCT source) / (SELECT count(DISTINCT source) FROM f), 6) AS share FROM f GROUP BY 1 HAVING count(DISTINCT source) / (SELECT count(DISTINCT source) FROM f) >= 0.6""")
+register("stable_features", lambda s, d: _round(A.stable_features(_picked(s, d), "feature", "source", 0.3), "share"), f"""
+WITH {_PICKED_SQL} SELECT feature, round(count(DISTINCT source) / (SELECT count(DISTINCT source) FROM f), 6) AS share FROM f GROUP BY 1 HAVING count(DISTINCT source) / (SELECT count(DISTINCT source) FROM f) >= 0.3""")
 
 register("amplitude_levels", lambda s, d: _round(A.amplitude_levels(table(s, d, "lineitem"), "l_quantity"), "min_step"), """
 WITH v AS (SELECT DISTINCT l_quantity AS v FROM lineitem), t AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS step FROM v)
