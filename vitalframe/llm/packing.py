@@ -15,6 +15,9 @@ gives an empty result; any further columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,65 +32,75 @@ from vitalframe.llm.common import pick, small_batches
 
 #: Documents per packing group, on average.
 GROUP_DOCS = 16_384
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+#: Words, and pre-tokens, in one generation of a worker's caches; and the bytes of the longest word kept.
+CACHE_ENTRIES = 350_000
+LONGEST_KEPT = 64
 #: Sequences that the local search tries to empty in a group before it gives up in a row.
 TRIES = 64
-#: Fixed value: the white space of ASCII, at which no normaliser or token of the vocabulary joins its neighbours.
-_SEPARATOR = " <|endoftext|> "
+_LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+#: A word that normalising only lower-cases, without the marks that special tokens begin with.
+_LATIN_WORD = re.compile(r"(?:[\x00-\xff](?<!<\|))*")
+#: Fixed value: the vocabulary's pre-tokens, within Latin-1.
+_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\x09-\x0d \x85\xa0{_LETTERS}{_NUMBERS}]+")
+
+
+def byte_stand_ins() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as U+0100 onwards, in order."""
+    rest = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
     """Ids of texts as the tokenizers library gives them, remembered by blank-separated word.
 
     The vocabulary's tokens never cross white space and its normaliser works within words, so a text's ids are the ids
-    of its words one after another. Unknown words of a batch are encoded in one call, divided by a special token.
+    of its words one after another. A new word within Latin-1, which the normaliser only lower-cases, is cut into the
+    vocabulary's pre-tokens, and new pre-tokens go to the library's model; any other new word goes through the whole
+    tokenizer. Both caches keep two generations, so that filling up never forgets the words in use.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.border = self.tokenizer.token_to_id(_SEPARATOR.strip())
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w] if self.border is not None else []
-        odd = [w for w in words if "<|" in w] if plain or self.border is not None else words
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self._encode(_SEPARATOR.join(some)), np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.border), len(ids))
-            if len(ends) != len(some):
-                odd += some
-                continue
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for w, end in zip(some, ends.tolist()):
-                self.known[w] = raw[4 * start : 4 * end]
-                start = end + 1
-        for w in odd:
-            self.known[w] = np.array(self._encode(w), "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.stands = byte_stand_ins()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.older_parts.get(part)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.stands))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self.parts) >= CACHE_ENTRIES:
+            self.older_parts, self.parts = self.parts, {}
+        self.parts[part] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            if _LATIN_WORD.fullmatch(text):
+                ids = b"".join([self.parts.get(p) or self._part(p) for p in _PRETOKENS.findall(text.lower())])
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        new = list({w: None for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list({w: None for words in split for w in words})
-        self._learn_bytes(new)
-        for words in split:
-            yield b"".join([known[w] for w in words])
-
-    def _learn_bytes(self, words: list[bytes]) -> None:
-        as_text = {w.decode("utf-8", "replace"): w for w in words}
-        self.learn(list(as_text))
-        for t, w in as_text.items():
-            self.known[w] = self.known.pop(t)
+        make = self._word
+        for t in texts:
+            words = t.encode().split()
+            known = self.known
+            yield b"".join([known[w] if w in known else make(w) for w in words])
 
 
 _WORDS: dict[str, WordIds] = {}
