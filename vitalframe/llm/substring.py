@@ -78,9 +78,22 @@ def cover_positions(n: int, anchor: int) -> np.ndarray:
     return at[member[at % PERIOD]]
 
 
-def _spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
     mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mixed(hashes) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """A lone lane keeps 32 mixed bits beside its bucket: it only proposes, and what it wrongly proposes is hashed whole."""
+    return _mixed(hashes[:, 0]).astype(np.uint32).tobytes() if hashes.shape[1] == 1 else hashes.tobytes()
+
+
+def _unpacked(raw: np.ndarray, lanes: int) -> np.ndarray:
+    return raw.view(np.uint32).reshape(-1, 1) if lanes == 1 else raw.view(np.uint64).reshape(-1, lanes)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +143,11 @@ class Combiner:
             alone = np.flatnonzero(~again & ~copied)
             alone = alone[np.lexsort((text[alone], bucket[alone]))]
             for b, part in self._cut(bucket[alone], alone):
-                rows.setdefault(b, {}).update(hashes=hashes[part].tobytes(), **self._packed(part, text, at, ""))
+                rows.setdefault(b, {}).update(hashes=_packed_hashes(hashes[part]), **self._packed(part, text, at, ""))
             known = np.flatnonzero(first & (again | copied))
             known = known[np.argsort(bucket[known], kind="stable")]
             for b, part in self._cut(bucket[known], known):
-                rows.setdefault(b, {}).update(known=hashes[part].tobytes())
+                rows.setdefault(b, {}).update(known=_packed_hashes(hashes[part]))
             hit = np.flatnonzero(again & ~copied)
             home = text % self.buckets
             hit = hit[np.lexsort((text[hit], home[hit]))]
@@ -159,20 +172,15 @@ class Combiner:
 PACKED = "bucket int, hashes binary, keys binary, counts binary, at binary, known binary, hit_keys binary, hit_counts binary, hit_at binary"
 
 
-def repeated_entries(packed: DataFrame, lanes: int) -> DataFrame:
-    """(key, at): for each text the positions of its entries whose hash occurs elsewhere too, in some pieces."""
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, at = [], []
+def repeated_entries(packed: DataFrame, lanes: int, buckets: int) -> DataFrame:
+    """(key, at): for each text the positions of its entries whose hash occurs elsewhere too, one row per text.
 
-        def give(k: bytes, counts: np.ndarray, positions: np.ndarray) -> None:
-            ends = np.cumsum(counts)
-            for i in np.flatnonzero(counts).tolist():
-                keys.append(k[KEY * i : KEY * (i + 1)])
-                at.append(positions[ends[i] - counts[i] : ends[i]].tobytes())
+    A bucket's finds leave it packed by the text's own bucket, where they are merged.
+    """
 
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
-        mine, known = (read(n, np.uint64).reshape(-1, lanes) for n in ("hashes", "known"))
+        mine, known = (_unpacked(read(n, np.uint8), lanes) for n in ("hashes", "known"))
         every = np.concatenate([mine, known])
         order = np.lexsort(every.T[::-1])
         new = np.ones(len(order), bool)
@@ -182,13 +190,39 @@ def repeated_entries(packed: DataFrame, lanes: int) -> DataFrame:
         if len(order):
             again[order] = np.bincount(group)[group] > 1
         again = again[: len(mine)]
-        counts, positions = read("counts", np.uint32).astype(np.int64), read("at", np.uint32)
+        counts, hit_counts = (read(n, np.uint32).astype(np.int64) for n in ("counts", "hit_counts"))
         text = np.repeat(np.arange(len(counts)), counts)
-        give(b"".join(rows["keys"]), np.bincount(text[again], minlength=len(counts)), positions[again])
-        give(b"".join(rows["hit_keys"]), read("hit_counts", np.uint32).astype(np.int64), read("hit_at", np.uint32))
-        return pd.DataFrame({"key": keys, "at": at})
+        keys = np.frombuffer(b"".join(rows["keys"]) + b"".join(rows["hit_keys"]), f"V{KEY}")
+        counts = np.concatenate([np.bincount(text[again], minlength=len(counts)), hit_counts])
+        at = np.concatenate([read("at", np.uint32)[again], read("hit_at", np.uint32)])
+        home = np.frombuffer(keys.tobytes(), np.uint64)[::2] % np.uint64(buckets)
+        by_home, out = np.argsort(home, kind="stable"), []
+        entry_order = np.argsort(np.repeat(home, counts), kind="stable")
+        keys, counts, home, at = keys[by_home], counts[by_home], home[by_home], at[entry_order]
+        keep = counts > 0
+        keys, counts, home = keys[keep], counts[keep], home[keep]
+        begins, sizes = _runs(home)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for s, n in zip(begins.tolist(), sizes.tolist()):
+            out.append((int(home[s]), keys[s : s + n].tobytes(), counts[s : s + n].astype(np.uint32).tobytes(), at[ends[s] : ends[s + n]].tobytes()))
+        return pd.DataFrame(out, columns=["home", "keys", "counts", "at"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(rows["keys"]), f"V{KEY}")
+        counts = np.frombuffer(b"".join(rows["counts"]), np.uint32).astype(np.int64)
+        at = np.frombuffer(b"".join(rows["at"]), np.uint32)
+        halves = np.frombuffer(keys.tobytes(), np.uint64).reshape(-1, 2)
+        order = np.lexsort(halves.T)
+        new = np.ones(len(order), bool)
+        new[1:] = (halves[order[1:]] != halves[order[:-1]]).any(1)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        at = at[np.argsort(np.repeat(place, counts), kind="stable")]
+        ends = np.cumsum(np.bincount(place, counts).astype(np.int64)).tolist()
+        return pd.DataFrame({"key": [k.tobytes() for k in keys[order[new]]], "at": [at[a:b].tobytes() for a, b in zip([0, *ends], ends)]})
 
-    return packed.groupBy("bucket").applyInPandas(settle, "key binary, at binary")
+    found = packed.groupBy("bucket").applyInPandas(settle, "home int, keys binary, counts binary, at binary")
+    return found.groupBy("home").applyInPandas(merge, "key binary NOT NULL, at binary")
 
 
 def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
@@ -205,7 +239,8 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
             )
 
     rows = small_batches(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
-    parts = rows.mapInArrow(run, "key binary, text string, copies long").repartition("key")
+    # keys are declared NOT NULL: else an inner join would put a filter under the exchange, and it could not be reused
+    parts = rows.mapInArrow(run, "key binary NOT NULL, text string NOT NULL, copies long NOT NULL").repartition("key")
     return parts.groupBy("key", "text").agg(F.sum("copies").alias("copies"))
 
 
@@ -238,8 +273,8 @@ def _scanner(lanes: int, buckets: int, positions: Callable, size: int, window: i
     return run
 
 
-def _positions(pieces: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(pieces or []), np.uint32).astype(np.int64)
+def _positions(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", np.uint32).astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, period: int = PERIOD) -> DataFrame:
@@ -255,28 +290,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = volume // WORD_BYTES
     texts = small_batches(distinct_texts(docs, text))
 
-    anchors = texts.mapInArrow(_scanner(1, max(1, -(-entries * len(COVER) // (PERIOD * BUCKET_ENTRIES))), lambda n: cover_positions(n, anchor), anchor, window, False), PACKED)
-    near = repeated_entries(anchors, 1).groupBy("key").agg(F.collect_list("at").alias("at"))
+    buckets = max(1, -(-entries * len(COVER) // (PERIOD * BUCKET_ENTRIES)))
+    anchors = texts.mapInArrow(_scanner(1, buckets, lambda n: cover_positions(n, anchor), anchor, window, False), PACKED)
+    near = repeated_entries(anchors, 1, buckets)
 
-    def around(n: int, pieces: list[bytes]) -> np.ndarray:
+    def around(n: int, packed: bytes) -> np.ndarray:
         """Starts of the windows that hold one of the anchors."""
         marks = np.zeros(n + 2, np.int64)
-        at = _positions(pieces)
+        at = _positions(packed)
         np.add.at(marks, np.maximum(at - (window - anchor), 0), 1)
         np.add.at(marks, at + 1, -1)
         return np.flatnonzero(np.cumsum(marks)[: n - window + 1])
 
-    hashed = texts.join(near, "key").mapInArrow(_scanner(2, max(1, -(-entries // BUCKET_ENTRIES)), around, window, window, True), PACKED)
-    repeats = repeated_entries(hashed, 2).groupBy("key").agg(F.collect_list("at").alias("at"))
+    buckets = max(1, -(-entries // BUCKET_ENTRIES))
+    hashed = texts.join(near, "key").mapInArrow(_scanner(2, buckets, around, window, window, True), PACKED)
+    repeats = repeated_entries(hashed, 2, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, n_words, n_removed, sha = b.column(0), [], [], []
-            for t, copies, pieces in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
+            for t, copies, packed in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
                 words = t.encode().split()
                 n = len(words)
                 gone = np.full(n, copies > 1 and n >= window)
-                at = _positions(pieces)
+                at = _positions(packed)
                 if len(at):
                     marks = np.zeros(n + 1, np.int64)
                     np.add.at(marks, at, 1)
