@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most bytes of one Arrow batch sent to a Python worker, so that long texts cannot fill its memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def documents_of(spark, sf_dir: str) -> DataFrame:
@@ -40,3 +43,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def ascii_lower(text):
     """Lower-case A-Z only, as a column expression."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that releases memory when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalframe.llm.common import ascii_lower, pick, small_batches
+from vitalframe.llm.common import ascii_lower, pick, small_batches, tidy
 
 #: Bytes of labels that a task's trie may hold before it spills or is emptied.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 24 << 20
 #: Rough cost of a node beside its label.
 NODE_BYTES = 200
 
@@ -162,10 +162,10 @@ def _owners(docs: DataFrame, doc_id: str, text: str, trie_bytes: int) -> DataFra
         yield from _rows(trie)
 
     rows = small_batches(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")))
-    return rows.mapInArrow(run, "length long, hash long, body binary, owner long, copies long")
+    return rows.mapInArrow(tidy(run), "length long, hash long, body binary, owner long, copies long")
 
 
-def _rows(trie: PatriciaOwners, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _rows(trie: PatriciaOwners, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     some, held = [], 0
     for key, owner, count in trie.items():
         some.append((len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, owner, count))
@@ -217,7 +217,7 @@ def text_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tri
     """One row per distinct normalised text: text_sha256, keep_id, group_size."""
     owners = _owners(docs, doc_id, text, trie_bytes)
     parts = owners.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return small_batches(parts).mapInArrow(lambda batches: _settle(batches, trie_bytes), "text_sha256 string, keep_id long, group_size long")
+    return small_batches(parts).mapInArrow(tidy(lambda batches: _settle(batches, trie_bytes)), "text_sha256 string, keep_id long, group_size long")
 
 
 def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import pick, small_batches
+from vitalframe.llm.common import pick, small_batches, tidy
 
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 15
@@ -93,7 +93,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`"))).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    found = small_batches(rows).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = small_batches(rows).mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     labels = found.column("lang").to_pylist()
     languages = sorted(set(labels))
     place = {x: i for i, x in enumerate(languages)}
@@ -141,7 +141,7 @@ def mixtures(texts: list[list[bytes]], model: Model) -> Iterator[tuple[list[str]
         yield [model.languages[t[i]] for i in order], [float(min(1.0, m[i])) for i in order]
 
 
-def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 21) -> DataFrame:
+def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 18) -> DataFrame:
     """Predict every text inside its own scan task from the text alone; the model's size is BUCKETS times languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,14 +170,14 @@ def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     rows = small_batches(pick(docs, doc_id, text)).toDF("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, languages string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, languages string")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     return predict_languages(docs, train(docs, doc_id, text, lang), doc_id, text)
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str = "text", chunk: int = 1 << 21) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str = "text", chunk: int = 1 << 18) -> DataFrame:
     """The input's rows, all columns unchanged, whose text has a language with a proportion of least_score or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
@@ -203,4 +203,4 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str
                 settle()
             yield b.filter(pa.array(keep))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)

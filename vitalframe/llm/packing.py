@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import pick, small_batches
+from vitalframe.llm.common import pick, small_batches, tidy
 
 #: Documents per packing group, on average.
 GROUP_DOCS = 16_384
 #: Words, and pre-tokens, in one generation of a worker's caches; and the bytes of the longest word kept.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 150_000
 LONGEST_KEPT = 64
 #: Sequences that the local search tries to empty in a group before it gives up in a row.
 TRIES = 64
@@ -245,7 +245,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: st
             )
 
     rows = small_batches(pick(docs, doc_id, text)).toDF("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:

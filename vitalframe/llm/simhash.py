@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import checkpointed, pick, small_batches
+from vitalframe.llm.common import checkpointed, pick, small_batches, tidy
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -105,7 +105,7 @@ def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums
 
 
-def fingerprints(texts: list[bytes], shingle: int = 3, chunk: int = 1 << 20) -> np.ndarray:
+def fingerprints(texts: list[bytes], shingle: int = 3, chunk: int = 1 << 18) -> np.ndarray:
     """The unsigned 64-bit fingerprint of each text, given as UTF-8."""
     out = np.zeros(len(texts), np.uint64)
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -148,7 +148,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
     rows = small_batches(pick(docs, doc_id, text)).toDF("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long")
 
 
 def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
@@ -165,7 +165,7 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int =
                 keys, owners = fingerprint_keys(part.view(np.uint64), golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owners])], ["key", "print"])
 
-    keys = prints.select("print").mapInArrow(run, "key long, print long").repartition("key")
+    keys = prints.select("print").mapInArrow(tidy(run), "key long, print long").repartition("key")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keys.join(met, "key")
     few = shared.where(F.col("n") <= pair_bucket)
