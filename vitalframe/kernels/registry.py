@@ -26,6 +26,10 @@ PIPELINES: dict[tuple[str, str], Kernel] = {
     ("signal", "lowpass"): lambda x, fs: (lambda y: y - y.mean())(filters.lowpass(filters.remove_outliers(x, fs, 2000.0, 10.0)[0], fs)),
     ("signal", "ecg_clean"): lambda x, fs: filters.highpass(filters.remove_outliers(x, fs, 200.0, 8.0)[0], fs),
     ("signal", "outliers"): lambda x, fs: filters.remove_outliers(x, fs)[0],
+    ("signal", "resample_fourier"): lambda x, fs: filters.resample_fourier(x, fs, 500.0),
+    ("signal", "resample_cubic"): lambda x, fs: filters.resample_cubic(x, fs, 500.0),
+    ("signal", "inverted_500hz"): lambda x, fs: -filters.resample_fourier(x, fs, 500.0),
+    ("signal", "first_mode"): lambda x, fs: features.sift(x, 1)[0],
     ("signal", "savgol"): lambda x, fs: filters.savgol(x),
     ("quality", "sqi_custom"): lambda x, fs: quality.custom_quality(x, fs),
     ("quality", "sqi_template"): lambda x, fs: quality.template_quality(x, fs),
@@ -85,3 +89,21 @@ def extract(segments: DataFrame, fs: float, fn: Callable[[np.ndarray, float], di
 
 def ppg_table(segments: DataFrame, fs: float, groups: tuple[str, ...] = tuple(features.GROUPS), key: str = "segment_id") -> DataFrame:
     return extract(segments, fs, lambda x, r: features.ppg_features(x, r, groups), features.ppg_names(groups), key)
+
+
+def fiducial_table(segments: DataFrame, fs: float, key: str = "file_id") -> DataFrame:
+    """One row per pulse (key, pulse) with the sample numbers of its points; a point that a pulse lacks is NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, pulse, found = [], [], []
+            for r, x in enumerate(b.column(1)):
+                points = features.fiducial_points(np.array(x.as_py() or [0.0] * 9, float), fs)
+                row += [r] * len(points)
+                pulse += range(len(points))
+                found += points
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(pulse, pa.int32()), *[pa.array([p[n] for p in found], pa.int64()) for n in features.FIDUCIALS]], [key, "pulse", *features.FIDUCIALS])
+
+    rows = segments.select(key, "samples")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, pulse int, " + ", ".join(f"`{n}` long" for n in features.FIDUCIALS))

@@ -256,3 +256,31 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: st
     pairs = base.join(q, F.col(key) != F.col("_q")).select("_q", F.col(key).alias("_b"), F.round(gap, 6).alias("_d"), F.col(value).cast("double").alias("_y"))
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_b"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_q").agg(F.avg("_y").alias("predicted")).withColumnRenamed("_q", key)
+
+
+def evaluated(train: DataFrame, test: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3) -> DataFrame:
+    """(model, key, actual, predicted) on the test rows: each model tuned by grouped folds and refitted on all training rows."""
+    mark = lambda df, held: df.select(key, F.lit(held).alias("_test"), F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    jobs = train.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    kind = train.schema[key].dataType.simpleString()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        test, train = part[part["_test"]], part[~part["_test"]].sort_values([key, "_y"], kind="stable")
+        predict = tuned(part["model"].iloc[0], train[features].to_numpy(), train["_y"].to_numpy(), train[key].to_numpy(), inner)
+        return pd.DataFrame({"model": part["model"].iloc[0], key: test[key].to_numpy(), "actual": test["_y"].to_numpy(), "predicted": predict(test[features].to_numpy())})
+
+    both = mark(train, False).unionByName(mark(test, True))
+    return both.crossJoin(F.broadcast(jobs)).groupBy("model").applyInPandas(run, f"model string, {key} {kind}, actual double, predicted double")
+
+
+def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: dict[str, list[str]], models: Iterable[str]) -> DataFrame:
+    """Test metrics per model for every combination of modalities, each a list of features."""
+    from functools import reduce
+    from itertools import combinations
+
+    parts = []
+    for n in range(1, len(groups) + 1):
+        for names in combinations(groups, n):
+            found = evaluated(train, test, key, target, [f for g in names for f in groups[g]], models)
+            parts.append(found.groupBy("model").agg(*regression_errors("actual", "predicted")).withColumn("modalities", F.lit("+".join(names))))
+    return reduce(DataFrame.unionByName, parts)

@@ -185,3 +185,27 @@ def mrmr(rows: DataFrame, target: str, features: list[str], k: int) -> list[str]
     relevance = {r["feature"]: (r["r"] or 0.0) ** 2 / max(1e-12, 1 - (r["r"] or 0.0) ** 2) * max(1, r["n"] - 2) for r in found}
     pairs = {(r["feature_1"], r["feature_2"]): r["r"] for r in feature_pairs(rows, features).collect()}
     return select_mrmr(relevance, pairs, k)
+
+
+def neighbour_relevance(rows: DataFrame, target: str, features: list[str], k: int = 3) -> DataFrame:
+    """(feature, mi): mutual information of each feature with the target, one task per feature of a study's table."""
+    import pandas as pd
+
+    from vitalframe.kernels.information import neighbour_information
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([target, "value"], kind="stable")
+        return pd.DataFrame({"feature": [part["feature"].iloc[0]], "mi": [neighbour_information(part["value"].to_numpy(float), part[target].to_numpy(float), k)]})
+
+    long = long_form(rows.withColumn(target, F.col(target).cast("double")), [target], features)
+    return long.groupBy("feature").applyInPandas(run, "feature string, mi double")
+
+
+def principal_components(rows: DataFrame, key: str, features: list[str], k: int = 2) -> DataFrame:
+    """Scores on the first k principal components of the scaled features; the covariance is one aggregation."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    made = VectorAssembler(inputCols=features, outputCol="_v").transform(scaled(rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).dropna(), features))
+    scores = PCA(k=k, inputCol="_v", outputCol="_p").fit(made).transform(made).withColumn("_p", vector_to_array("_p"))
+    return scores.select(key, *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(k)])

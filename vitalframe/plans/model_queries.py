@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators import models as M
 from vitalframe.operators import splits as S
+from vitalframe.operators import stats as T
 from vitalframe.plans.catalog import register
 from vitalframe.plans.roles import table
 
@@ -42,3 +43,14 @@ WITH f AS (SELECT l_returnflag, l_suppkey, avg(abs(l_extendedprice - l_quantity
 register("knn_regress", lambda s, d: M.nearest_neighbours(table(s, d, "embeddings"), table(s, d, "embeddings"), "vec_id", "embedding", "label", 5).withColumn("predicted", F.round("predicted", 6)), """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS o, b.label, round(sqrt(greatest(list_dot_product(a.e, a.e) - 2 * list_dot_product(a.e, b.e) + list_dot_product(b.e, b.e), 0)), 6) AS g FROM e a JOIN e b ON a.vec_id <> b.vec_id)
 SELECT vec_id, round(avg(label), 6) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY g, o) AS r FROM p) WHERE r <= 5 GROUP BY 1""")
+
+
+def _parts(s, d):
+    rows = _study(s, d)
+    return rows.where("o_custkey % 4 <> 0"), rows.where("o_custkey % 4 = 0")
+
+
+register("refit_and_test", lambda s, d: M.evaluated(*_parts(s, d), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "ridge", "knn", "gbr"]))
+register("modality_ablation", lambda s, d: M.ablation(*_parts(s, d), "o_custkey", "glc", {"ppg": ["f1"], "ecg": ["f2"], "bio": ["f3"]}, ["ridge"]))
+register("neighbour_information", lambda s, d: T.neighbour_relevance(_study(s, d), "glc", ["f1", "f2", "f3"]))
+register("principal_components", lambda s, d: T.principal_components(_study(s, d), "o_orderkey", ["f1", "f2", "f3"]).select("o_orderkey", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2")))

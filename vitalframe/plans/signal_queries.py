@@ -150,3 +150,4 @@ register("spectral_features", lambda s, d: registry.extract(_waves(s, d), 60.0,
 register("ppg_features", lambda s, d: registry.ppg_table(_waves(s, d), 60.0, key="file_id"))
 register("ecg_features", lambda s, d: registry.extract(_waves(s, d), 60.0, features.ecg_features, ["hr_mean", "hr_std", "n_r_peaks", *[f"HRV_{k}" for k in features.HRV], *[f"s2_{k}" for k in spectrum.SPECTRAL]], "file_id"))
 register("imf_features", lambda s, d: registry.extract(_waves(s, d), 60.0, features.emd_features, [f"IMF_1_{k}" for k in features.IMF], "file_id"))
+register("fiducial_points", lambda s, d: registry.fiducial_table(_waves(s, d), 60.0))
