@@ -251,9 +251,10 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: st
 
     Every query is compared with every base row; partial top-k lists per task keep what is shuffled at k rows per query.
     """
-    q = queries.select(F.col(key).alias("_q"), F.col(vector).alias("_v"))
-    gap = F.sqrt(F.greatest(dot("_v", "_v") - 2 * dot("_v", vector) + dot(vector, vector), F.lit(0.0)))
-    pairs = base.join(q, F.col(key) != F.col("_q")).select("_q", F.col(key).alias("_b"), F.round(gap, 6).alias("_d"), F.col(value).cast("double").alias("_y"))
+    q = queries.select(F.col(key).alias("_q"), F.col(vector).cast("array<double>").alias("_v"), dot(vector, vector).alias("_qq"))
+    b = base.select(F.col(key).alias("_b"), F.col(vector).cast("array<double>").alias("_w"), dot(vector, vector).alias("_bb"), F.col(value).cast("double").alias("_y"))
+    gap = F.sqrt(F.greatest(F.col("_qq") - 2 * dot("_v", "_w") + F.col("_bb"), F.lit(0.0)))
+    pairs = b.join(q, F.col("_b") != F.col("_q")).select("_q", "_b", F.round(gap, 6).alias("_d"), "_y")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_b"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_q").agg(F.avg("_y").alias("predicted")).withColumnRenamed("_q", key)
 
