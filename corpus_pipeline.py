@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import exact_dedup, langid, packing, pii, queries, simhash
+from vitalframe.llm import exact_dedup, jaccard, langid, packing, pii, queries
 from vitalframe.llm.common import documents_of
 
 #: A document goes whose strongest language has a smaller share of its words.
@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate groups, by fingerprints over five-word shingles, keep the row with the smallest doc_id."""
-    return simhash.keep_first(docs, shingle=5, most_bits=2)
+    """Of groups linked by a Jaccard similarity of 0.8 or more over five-word shingles, keep the row with the smallest doc_id."""
+    return jaccard.keep_first(docs, shingle=5)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
