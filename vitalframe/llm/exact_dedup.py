@@ -2,9 +2,10 @@
 
 Texts are normalised (A-Z to lower case) and inserted as full byte strings into compressed radix tries, one per
 partition of (length, content hash); a terminal node keeps the identifier that stays and the number of copies. Each
-scan task first runs its own trie, so a text copied without end leaves a task once; the merged owners are shuffled by
-length and hash, sorted, and inserted again. A trie that outgrows its memory spills its heaviest subtree to the task's
-temporary folder and finishes it afterwards.
+scan task first runs its own trie, emptied when full but for its repeated texts, so a text copied without end leaves a
+task about once; the merged owners are shuffled by length and hash, and each partition is inserted into one trie. A trie
+that outgrows its memory spills its heaviest subtrees to the task's temporary folder and finishes them afterwards; a
+single text is held whole, however long.
 
 Columns of dedup_documents: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -16,9 +17,10 @@ gets kept = true for the largest doc_id; an empty table gives an empty result; a
 from __future__ import annotations
 
 import hashlib
+import shutil
 import struct
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -35,10 +37,10 @@ NODE_BYTES = 200
 
 
 class _Node:
-    __slots__ = ("label", "children", "owner", "count")
+    __slots__ = ("label", "children", "owner", "count", "file")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.owner, self.count = label, None, None, 0
+        self.label, self.children, self.owner, self.count, self.file = label, None, None, 0, None
 
 
 def _shared(a: bytes, at: int, b: bytes) -> int:
@@ -57,13 +59,17 @@ def _shared(a: bytes, at: int, b: bytes) -> int:
 
 
 class PatriciaOwners:
-    """A compressed radix trie from byte strings to (largest identifier, number of copies)."""
+    """A compressed radix trie from byte strings to (largest identifier, number of copies).
 
-    def __init__(self, most_bytes: int = TRIE_BYTES, depth: int = 0):
-        self.root, self.most, self.depth = _Node(b""), most_bytes, depth
-        self.used = 0
-        self.weights: dict[int, int] = {}  # bytes by the first byte of the key
-        self.spilled: dict[int, tempfile._TemporaryFileWrapper] = {}
+    Beyond most_bytes the subtrees of the first node where keys really part are moved, the heaviest first, to temporary
+    files of the task, until half of the bound is free; further keys of such a subtree go straight to its file. A file
+    is finished in a trie of its own, which parts at a deeper place, so a file of one key never spills.
+    """
+
+    def __init__(self, most_bytes: int = TRIE_BYTES):
+        self.root, self.most, self.used = _Node(b""), most_bytes, 0
+        self.stuck = 0  # bytes at which the trie last had nothing to spill
+        self.files: list = []
 
     @staticmethod
     def _merge(node: _Node, owner: int | None, count: int) -> None:
@@ -72,10 +78,6 @@ class PatriciaOwners:
         node.count += count
 
     def add(self, key: bytes, owner: int | None, count: int = 1) -> None:
-        first = key[self.depth] if len(key) > self.depth else -1
-        if first in self.spilled:
-            self._write(self.spilled[first], key, owner, count)
-            return
         node, at, size = self.root, 0, len(key)
         while at < size:
             child = node.children.get(key[at]) if node.children else None
@@ -84,11 +86,12 @@ class PatriciaOwners:
                 if node.children is None:
                     node.children = {}
                 node.children[key[at]] = child
-                cost = NODE_BYTES + size - at
-                self.used += cost
-                self.weights[first] = self.weights.get(first, 0) + cost
+                self.used += NODE_BYTES + size - at
                 node, at = child, size
                 break
+            if child.file is not None:
+                self._write(child.file, key, owner, count)
+                return
             common = _shared(key, at, child.label)
             if common < len(child.label):
                 upper = _Node(child.label[:common])
@@ -99,7 +102,7 @@ class PatriciaOwners:
                 child = upper
             node, at = child, at + common
         self._merge(node, owner, count)
-        if self.used > self.most and len(self.weights) and size > self.depth:
+        if self.used > max(self.most, self.stuck):
             self._spill()
 
     @staticmethod
@@ -108,44 +111,74 @@ class PatriciaOwners:
         f.write(key)
 
     def _spill(self) -> None:
-        """Move the heaviest subtree, by the byte at this trie's depth, to a temporary file of the task."""
-        branch = max((b for b in self.weights if b >= 0), key=lambda b: self.weights[b], default=None)
-        if branch is None:
-            return
-        f = self.spilled[branch] = tempfile.TemporaryFile()
-        keep = []
-        for key, owner, count in self._walk():
-            if len(key) > self.depth and key[self.depth] == branch:
-                self._write(f, key, owner, count)
-            else:
-                keep.append((key, owner, count))
-        self.root, self.used, self.weights = _Node(b""), 0, {}
-        for key, owner, count in keep:
-            self.add(key, owner, count)
-
-    def _walk(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(self.root, b"")]
-        while stack:
-            node, prefix = stack.pop()
-            key = prefix + node.label
-            if node.count:
-                yield key, node.owner, node.count
-            for child in (node.children or {}).values():
-                stack.append((child, key))
+        node, prefix = self.root, b""
+        while not node.count and node.children and len(node.children) == 1:
+            (below,) = node.children.values()
+            if below.file is not None:
+                break
+            node, prefix = below, prefix + below.label
+        weights = {b: _weight(c) for b, c in (node.children or {}).items() if c.file is None}
+        if len(node.children or {}) + bool(node.count) > 1:
+            for byte, weight in sorted(weights.items(), key=lambda x: -x[1]):
+                if self.used <= self.most // 2:
+                    break
+                branch, gone = node.children[byte], _Node(bytes([byte]))
+                gone.file = tempfile.TemporaryFile()
+                for key, owner, count in _terminals(branch, prefix):
+                    self._write(gone.file, key, owner, count)
+                for f in _files(branch):  # a subtree that spilled earlier, before keys parted higher up
+                    f.seek(0)
+                    shutil.copyfileobj(f, gone.file)
+                    self.files.remove(f)
+                    f.close()
+                node.children[byte] = gone
+                self.files.append(gone.file)
+                self.used -= weight
+        self.stuck = self.used * 2 if self.used > self.most // 2 else 0
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
         """Every key once, with its owner and count; spilled subtrees come last, each through a trie of its own."""
-        yield from self._walk()
-        self.root = _Node(b"")
-        for f in self.spilled.values():
+        yield from _terminals(self.root, b"")
+        files, self.files, self.root, self.used = self.files, [], _Node(b""), 0
+        while files:
+            f = files.pop()
             f.seek(0)
-            sub = PatriciaOwners(self.most, self.depth + 1)
+            sub = PatriciaOwners(self.most)
             while head := f.read(25):
                 size, missing, owner, count = struct.unpack("<q?qq", head)
                 sub.add(f.read(size), None if missing else owner, count)
             f.close()
-            yield from sub.items()
-        self.spilled = {}
+            yield from _terminals(sub.root, b"")
+            files += sub.files
+
+
+def _terminals(top: _Node, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    """The keys below a node that are held in memory."""
+    stack = [(top, prefix)]
+    while stack:
+        node, before = stack.pop()
+        key = before + node.label
+        if node.count:
+            yield key, node.owner, node.count
+        stack += [(c, key) for c in (node.children or {}).values() if c.file is None]
+
+
+def _files(top: _Node) -> list:
+    found, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        found += [node.file] if node.file is not None else []
+        stack += (node.children or {}).values()
+    return found
+
+
+def _weight(top: _Node) -> int:
+    total, stack = 0, [top]
+    while stack:
+        node = stack.pop()
+        total += NODE_BYTES + len(node.label)
+        stack += (node.children or {}).values()
+    return total
 
 
 def _owners(docs: DataFrame, doc_id: str, text: str, trie_bytes: int) -> DataFrame:
@@ -157,17 +190,35 @@ def _owners(docs: DataFrame, doc_id: str, text: str, trie_bytes: int) -> DataFra
             for owner, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 trie.add((text or "").encode().lower(), owner)
             if trie.used > trie_bytes // 2:
-                yield from _rows(trie)
+                held = _Repeated(trie.items(), trie_bytes // 8)
+                yield from _rows(held)
                 trie = PatriciaOwners(trie_bytes)
-        yield from _rows(trie)
+                for key, owner, count in held.kept:
+                    trie.add(key, owner, count)
+        yield from _rows(trie.items())
 
     rows = small_batches(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")))
     return rows.mapInArrow(tidy(run), "length long, hash long, body binary, owner long, copies long")
 
 
-def _rows(trie: PatriciaOwners, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+class _Repeated:
+    """Passes the entries of a full trie on, but keeps up to most_bytes of repeated ones, which may repeat again later in the task."""
+
+    def __init__(self, items: Iterator[tuple[bytes, int | None, int]], most_bytes: int):
+        self.items, self.room, self.kept = items, most_bytes, []
+
+    def __iter__(self) -> Iterator[tuple[bytes, int | None, int]]:
+        for key, owner, count in self.items:
+            if count > 1 and len(key) + NODE_BYTES <= self.room:
+                self.room -= len(key) + NODE_BYTES
+                self.kept.append((key, owner, count))
+            else:
+                yield key, owner, count
+
+
+def _rows(items: Iterable[tuple[bytes, int | None, int]], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     some, held = [], 0
-    for key, owner, count in trie.items():
+    for key, owner, count in items:
         some.append((len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, owner, count))
         held += len(key)
         if held >= size:
@@ -186,37 +237,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _settle(batches: Iterator[pa.RecordBatch], trie_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (length, hash): one trie for each run of equal keys, its terminals written when the run ends."""
-    trie, run_of = PatriciaOwners(trie_bytes), None
+    """All rows of a partition of (length, hash) in one trie; its terminals are the groups."""
+    trie = PatriciaOwners(trie_bytes)
+    for b in batches:
+        for body, owner, copies in zip(*[b.column(i).to_pylist() for i in (2, 3, 4)]):
+            trie.add(body, owner, copies)
     sha, keep, size = [], [], []
 
-    def close() -> None:
-        for key, owner, count in trie.items():
-            sha.append(hashlib.sha256(key).hexdigest())
-            keep.append(owner)
-            size.append(count)
-
     def batch() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(keep, pa.int64()), pa.array(size, pa.int64())], ["text_sha256", "keep_id", "group_size"])
         for x in (sha, keep, size):
             x.clear()
         return made
 
-    for b in batches:
-        for length, hashed, body, owner, copies in zip(*[b.column(i).to_pylist() for i in range(5)]):
-            if (length, hashed) != run_of:
-                close()
-                trie, run_of = PatriciaOwners(trie_bytes), (length, hashed)
-            trie.add(body, owner, copies)
-        yield batch()
-    close()
+    for key, owner, count in trie.items():
+        sha.append(hashlib.sha256(key).hexdigest())
+        keep.append(owner)
+        size.append(count)
+        if len(sha) == 10_000:
+            yield batch()
     yield batch()
 
 
 def text_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct normalised text: text_sha256, keep_id, group_size."""
     owners = _owners(docs, doc_id, text, trie_bytes)
-    parts = owners.repartition("length", "hash").sortWithinPartitions("length", "hash")
+    parts = owners.repartition("length", "hash")
     return small_batches(parts).mapInArrow(tidy(lambda batches: _settle(batches, trie_bytes)), "text_sha256 string, keep_id long, group_size long")
 
 
