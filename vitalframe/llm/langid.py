@@ -40,14 +40,15 @@ SMOOTHING = 0.5
 FLOOR = 1e-4
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters become blanks.
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MIX = np.uint32(2654435761)  # Fixed value: the golden ratio's multiplier for 32-bit multiplicative hashing
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is of Unicode category L; number-like word characters such as fractions are none."""
+    return bool(text) and any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
 
 
 def _words(text: str) -> list[bytes]:
@@ -115,8 +116,9 @@ def _em(weight: np.ndarray, starts: np.ndarray, counts: np.ndarray, share: np.nd
     return share, total
 
 
-def mixtures(texts: list[list[bytes]], model: Model) -> Iterator[tuple[list[str], list[float]]]:
-    """The language set of each text, a non-empty list of words, and the proportions in it, the largest first."""
+def mixtures(texts: list[list[bytes]], model: Model) -> Iterator[tuple[list[str], list[float], float]]:
+    """The language set of each text, a non-empty list of words, the proportions in it, the largest first, and the share
+    of the mixture over all languages that the set has."""
     counts = np.array([len(t) for t in texts])
     starts = np.cumsum(counts) - counts
     bucket, begins = _trigrams([w for t in texts for w in t])
@@ -136,9 +138,9 @@ def mixtures(texts: list[list[bytes]], model: Model) -> Iterator[tuple[list[str]
         best[better], chosen[better] = score[better], k
         mixed[better] = 0
         mixed[better, :k] = own[better]
-    for t, k, m in zip(top.tolist(), chosen.tolist(), mixed):
+    for t, k, m, f in zip(top.tolist(), chosen.tolist(), mixed, first):
         order = sorted(range(k), key=lambda i: (-m[i], t[i]))
-        yield [model.languages[t[i]] for i in order], [float(min(1.0, m[i])) for i in order]
+        yield [model.languages[t[i]] for i in order], [float(min(1.0, m[i])) for i in order], float(f[:k].sum())
 
 
 def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 18) -> DataFrame:
@@ -153,7 +155,7 @@ def predict_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", tex
             rows, some, held = [], [], 0
 
             def settle() -> None:
-                for r, (languages, shares) in zip(rows, mixtures(some, model)):
+                for r, (languages, shares, _) in zip(rows, mixtures(some, model)):
                     pred[r], score[r] = languages[0], shares[0]
                     names[r] = ",".join(f"{x}:{s:.3f}" for x, s in zip(languages, shares))
 
@@ -177,8 +179,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict_languages(docs, train(docs, doc_id, text, lang), doc_id, text)
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str = "text", chunk: int = 1 << 18) -> DataFrame:
-    """The input's rows, all columns unchanged, whose text has a language with a proportion of least_score or more."""
+def keep_identified(docs: DataFrame, model: Model, least_share: float, text: str = "text", chunk: int = 1 << 18) -> DataFrame:
+    """The input's rows, all columns unchanged, whose text has a letter and whose language set, of one or several
+    languages, has a share of least_share or more of the mixture. If no language was learned, every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
@@ -188,11 +191,14 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float, text: str
             keep, rows, some, held = np.zeros(b.num_rows, bool), [], [], 0
 
             def settle() -> None:
-                for r, (_, shares) in zip(rows, mixtures(some, model)):
-                    keep[r] = shares[0] >= least_score
+                for r, (_, _, share) in zip(rows, mixtures(some, model)):
+                    keep[r] = share >= least_share
 
             for r, t in enumerate(b.column(place).to_pylist()):
-                if model.languages and has_letter(t) and (words := _words(t)):
+                if not has_letter(t):
+                    continue
+                keep[r] = not model.languages
+                if model.languages and (words := _words(t)):
                     rows.append(r)
                     some.append(words)
                     held += len(t)
