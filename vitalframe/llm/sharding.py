@@ -6,7 +6,8 @@ into the new shard.
 
 Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, law ('key'), shard, slot, grown_shard.
 
-Defined cases: a null text counts as the empty text (size 1, checksum 0); a null doc_id hashes like 0; rows that
+Defined cases: a null text counts as the empty text (size 1, checksum 0); a null doc_id hashes like 0; an id that is no
+whole number takes its 64-bit hash as the key; rows that
 repeat doc_id and text all stay and get neighbouring slots; an empty table gives an empty result; any further columns
 of the input are ignored.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 #: Fixed value: the multiplier of the generator in the published algorithm, 2862933555777941757, as 16-bit limbs, lowest first.
@@ -24,6 +26,8 @@ M16, M32 = 0xFFFF, 0xFFFFFFFF
 #: Slots are counted in SLICES parts of each shard, whatever the size of the table; a part is small enough for one task
 #: up to some 10^11 rows.
 SLICES = 4096
+#: Slots of one repeated row that are written at once.
+BLOCK = 1 << 16
 
 
 def _halves(key):
@@ -70,7 +74,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
     repeated without end is one row there; slots come from counts per (shard, slice) and a running sum over slices.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0).cast("long"))
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    own = F.col(f"`{doc_id}`").cast("long") if whole else F.xxhash64(F.col(f"`{doc_id}`"))
+    key = F.when(F.col(f"`{doc_id}`").isNull(), F.lit(0).cast("long")).otherwise(own)
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), key.alias("_key"),
     ).groupBy("doc_id", "size", "text_crc32", "_key").agg(F.count(F.lit(1)).alias("_n"))
@@ -85,5 +91,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
     placed = rows.withColumn("_at", F.sum("_n").over(slice_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
     return placed.join(starts, ["shard", "_slice"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("_start") + F.col("_at"), F.col("_start") + F.col("_at") + F.col("_n") - 1)).alias("slot"), "grown_shard",
+        (F.col("_start") + F.col("_at")).alias("_first"), "_n", "grown_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BLOCK).cast("long"))).alias("_block"),
+    ).select(
+        "doc_id", "size", "text_crc32", "law", "shard",
+        F.explode(F.sequence(F.col("_first") + F.col("_block"), F.col("_first") + F.least(F.col("_block") + BLOCK, F.col("_n")) - 1)).alias("slot"), "grown_shard",
     )
