@@ -254,6 +254,17 @@ def test_sharding_negative_and_large_ids(spark):
     assert got == {i: (jump(i, 7), jump(i, 8)) for i in ids}
 
 
+def test_sharding_of_other_ids_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    docs = spark.createDataFrame([("a", "t")] * 10 + [("b", None), (None, "t")], "doc_id string, text string")
+    got = sharding.shard_documents(docs, 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 12 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == "a"}) == 1
+
+
 # 6 media
 
 
@@ -273,6 +284,16 @@ def test_media(docs, rows):
     assert all(len(v) == 1 for v in by_payload.values())
 
 
+def test_media_of_long_texts(spark):
+    rows = [(1, "x" * 600_000), (2, "é" * 1_200_000), (3, "x" * 600_000)]
+    got = {r["doc_id"]: r for r in media.media_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        b = t.encode()
+        p = b + bytes(-len(b) % 64)
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"]) == (len(b), len(p), hashlib.sha256(p).hexdigest())
+    assert got[1]["media_sha256"] == got[3]["media_sha256"] and got[1]["feature"] == got[3]["feature"]
+
+
 def bits_of(value):
     size = abs(value).bit_length()
     return size, format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
@@ -357,7 +378,7 @@ def test_languages(spark):
     say = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(n))
     rows = [(i, say(lang, 30), lang) for i, lang in enumerate(rng.choices(list(parts), k=240))]
     mixed = [(1000 + k, say("aa", 60 + k) + " " + say("bb", 20), None) for k in range(5)]
-    odd = [(2000, None, "aa"), (2001, "12 !?", "bb"), (None, "x", None), (2003, "", "cc"), (2004, say("cc", 3000), None), (2005, "q", None)]
+    odd = [(2006, "½ ² ① Ⅷ", "aa"), (2000, None, "aa"), (2001, "12 !?", "bb"), (None, "x", None), (2003, "", "cc"), (2004, say("cc", 3000), None), (2005, "q", None)]
     docs = spark.createDataFrame(rows + mixed + odd, "doc_id long, text string, lang string").selectExpr("*", "'x' AS score", "1 AS held_out")
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert len(got) == len(rows) + len(mixed) + len(odd)
@@ -366,7 +387,7 @@ def test_languages(spark):
     assert sum(got[i]["lang_pred"] == lang for i, lang in held) >= 0.95 * len(held)
     for i, _, _ in mixed:
         assert got[i]["lang_pred"] == "aa" and 0.5 < got[i]["score"] < 0.95 and "bb" in got[i]["languages"]
-    assert [got[i]["lang_pred"] for i in (2000, 2001, 2003, 2004)] == ["und", "und", "und", "cc"]
+    assert [got[i]["lang_pred"] for i in (2000, 2001, 2003, 2004, 2006)] == ["und", "und", "und", "cc", "und"]
     assert got[2000]["score"] == 0.0 and got[None]["held_out"] is False and got[2005]["lang_pred"] in parts
 
 
@@ -408,6 +429,38 @@ def test_trie_spills_by_subtree(most):
     assert len(found) == len(want) and {k: (o, n) for k, o, n in found} == want
 
 
+@pytest.mark.parametrize("most", [1000, 100_000])
+def test_trie_with_long_keys(most):
+    long = bytes(range(256)) * 40
+    keys = [long, long[:5000], long[:5000] + b"x", long[:5000] + b"xy", b"q" * 9000, b"q" * 9000, long, b"", b"z" * 30_000] + [long[:5000] + bytes([i % 7, i % 5]) * 50 for i in range(300)]
+    trie, want = exact_dedup.PatriciaOwners(most), {}
+    for i, k in enumerate(keys):
+        trie.add(k, i)
+        want[k] = (i, want.get(k, (0, 0))[1] + 1)
+    found = list(trie.items())
+    assert len(found) == len(want) and {k: (o, n) for k, o, n in found} == want
+
+
+def test_texts_beyond_the_trie(spark):
+    long = "ab" * 40_000
+    rows = [(1, long), (2, long.upper()), (3, long + "c"), (4, long[:-1]), (5, "z"), (6, None), (7, ""), (8, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for limit in (2000, 100_000):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_documents(docs, trie_bytes=limit).collect()}
+        assert got == {1: (8, 3, False), 2: (8, 3, False), 8: (8, 3, True), 3: (3, 1, True), 4: (4, 1, True), 5: (5, 1, True), 6: (7, 2, False), 7: (7, 2, True)}
+
+
+def test_repeated_texts_stay_in_a_full_trie(spark):
+    rows = [(i, "hot text" if i % 2 else f"text {i} " * 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        owners = exact_dedup._owners(docs, "doc_id", "text", 20_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["copies"] for r in owners) == 400 and [r["copies"] for r in owners if r["body"] == b"hot text"] == [200]
+
+
 # 9 personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -460,6 +513,17 @@ def test_masking(spark):
     assert got == {1: "at [EMAIL] and [IP]!", 2: None, 3: "clean"}
 
 
+def test_masking_of_odd_rows(spark):
+    """Long texts, clashing columns, repeated rows and no rows."""
+    long = "word " * 40_000
+    rows = [(1, long + "a@b.co " + long), (1, long + "a@b.co " + long), (None, "+49 170 1234567"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS spans", "'y' AS base", "'z' AS email", "1 AS _row")
+    out = pii.mask_personal_data(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["text"] for r in out.collect()) == Counter([long + "[EMAIL] " + long] * 2 + ["[PHONE]", ""])
+    assert pii.mask_personal_data(docs.limit(0)).count() == 0
+
+
 # 10 BPE
 
 

@@ -19,7 +19,7 @@ gives an empty result; any further columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import checkpointed, pick, small_batches, tidy
-from vitalframe.llm.simhash import SEED, components
+from vitalframe.llm.common import SEED, checkpointed, pick, small_batches, tidy
+from vitalframe.llm.graph import components
 
 #: Sets under one key from which on hubs come first.
 PAIR_BUCKET = 32
@@ -81,28 +81,33 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def signed_documents(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), node, size, bits and keys of each text that has words."""
+def signed_documents(docs: DataFrame, doc_id: str, text: str, shingle: int, prints_of: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """doc_id, mark (a hash of the text), node, size, print (by prints_of, from the sets), bits and keys of each text that has words."""
     known, counts = common_shingles(docs, text, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, bits, keys = [], [], [], []
-            for t in b.column(2).to_pylist():
+            rows, sets, bits, keys = [], [], [], []
+            for r, t in enumerate(b.column(2).to_pylist()):
                 found = shingles(t, shingle)
+                if not len(found):
+                    continue
                 often = np.zeros(len(found), np.int64)
-                if len(known) and len(found):
+                if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     often = np.where(known[at] == found, counts[at], 0)
-                nodes.append(node_of(found))
-                sizes.append(len(found))
+                rows.append(r)
+                sets.append(found)
                 bits.append(bitmap(found))
                 keys.append(found[np.lexsort((found, often))[: len(found) // 5 + 1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "size", "bits", "keys"])
+            if rows:
+                nodes, sizes = pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                more = [pa.array(prints_of(sets), pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), nodes, sizes, *more], ["doc_id", "mark", "node", "size", "print", "bits", "keys"])
 
     rows = small_batches(pick(docs, doc_id, text)).toDF("doc_id", "text").selectExpr("doc_id", "xxhash64(text) AS mark", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, size int, bits array<long>, keys array<long>").where("size > 0")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, size int, print long, bits array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -149,17 +154,18 @@ def _all_pairs(rows: DataFrame, apart) -> DataFrame:
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """(node, root) of all nodes that are linked to another one."""
+def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int, proposed: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that are linked to another one; the pairs proposed are verified beside those found here."""
     nodes = checkpointed(signed.groupBy("node").agg(F.min(F.struct("mark", "size", "bits")).alias("own")).select("node", "own.*"))
-    keys = signed.select(F.explode("keys").alias("key"), "node", "size").repartition("key")
+    keys = signed.select(F.explode("keys").alias("key"), "node", "size")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Rows of equal sets meet under all of their keys; each set counts once.
     shared = checkpointed(keys.join(met, "key").select("key", "node", "size").distinct())
     shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     crowded = shared.where(F.col("n") > pair_bucket).select("key", "node", "size")
     first = _all_pairs(shared.where(F.col("n") <= pair_bucket), F.lit(True))
-    links = checkpointed(verified(first.unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0)), nodes, docs, text, shingle))
+    pairs = proposed.unionByName(first).unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0))
+    links = checkpointed(verified(pairs, nodes, docs, text, shingle))
     roots = components(links)
     for turn in range(1, MOST_ROUNDS + 1):
         parts = crowded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -178,10 +184,8 @@ def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, p
     return roots
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """The input's rows, all columns unchanged, without the copies of similarity 4/5 or more, linked over others, of a row with a smaller doc_id."""
-    signed = checkpointed(signed_documents(docs, doc_id, text, shingle))
-    roots = similar_roots(signed, docs, text, shingle, pair_bucket)
+def without_copies(docs: DataFrame, signed: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs but for those that are linked to a row with a smaller doc_id."""
     rows = signed.join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = rows.groupBy("root").agg(F.min(own).alias("own"))

@@ -31,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import checkpointed, pick, small_batches, tidy
+from vitalframe.llm import jaccard
+from vitalframe.llm.common import SEED, checkpointed, pick, small_batches, tidy
+from vitalframe.llm.graph import components
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -39,8 +41,6 @@ GENERATOR = 0b110001110101
 SEGMENTS = (22, 21, 21)
 #: Fingerprints under one key from which on they are linked by shared variants instead of pairs.
 PAIR_BUCKET = 32
-#: Fixed value: the seed of the shingles' hash.
-SEED = 42
 
 
 def _remainder(word: int) -> int:
@@ -165,7 +165,8 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int =
                 keys, owners = fingerprint_keys(part.view(np.uint64), golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owners])], ["key", "print"])
 
-    keys = prints.select("print").mapInArrow(tidy(run), "key long, print long").repartition("key")
+    # Keys are a table of their own: counts combine before their shuffle, and Spark can split a crowded key's join.
+    keys = checkpointed(prints.select("print").mapInArrow(tidy(run), "key long, print long"))
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keys.join(met, "key")
     few = shared.where(F.col("n") <= pair_bucket)
@@ -179,28 +180,6 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int =
     return pairs.unionByName(stars).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of a link, root being the smallest node reachable.
-
-    Large-star joins each node's larger neighbours to its smallest neighbour, small-star its smaller ones; they
-    alternate until the links no longer change, some log of the longest path. Each step is two shuffles by node.
-    """
-    edges = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = checkpointed(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(now)
-
-
 def component_ids(rows: DataFrame, most_bits: int, pair_bucket: int) -> DataFrame:
     """(print, component_id) for each distinct fingerprint of rows (doc_id, print)."""
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
@@ -217,8 +196,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(found, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """The input's rows, all columns unchanged, whose doc_id is the smallest of their group."""
-    rows = checkpointed(fingerprint_documents(docs, doc_id, text, shingle))
-    gone = rows.join(component_ids(rows, most_bits, pair_bucket), "print").where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == gone["_gone"], "left_anti")
+def _majority(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each set of hashes, none of them empty, as a signed number."""
+    counts = np.array(list(map(len, sets)))
+    sums = _bit_sums(np.concatenate(sets).view(np.uint64), np.cumsum(counts) - counts)
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return ((sums * 2 > counts[:, None]) * powers).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _candidates(nodes: DataFrame, pair_bucket: int) -> DataFrame:
+    """Pairs (a, b) of sets, given as node and print, that connect those whose fingerprints are equal or linked."""
+    least = nodes.groupBy("print").agg(F.min("node").alias("least"))
+    equal = nodes.join(least, "print").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(least.select("print"), 2, pair_bucket)
+    a, b = least.toDF("a", "x"), least.toDF("b", "y")
+    return equal.unionByName(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """The input's rows, all columns unchanged, without the near copies of a row with a smaller doc_id.
+
+    Near copies have shingle sets of a Jaccard similarity of 4/5 or more, or are linked over such. Fingerprints of the
+    sets, met through Golay keys, propose the first pairs; since sets of that similarity mostly differ in more than two
+    bits, the exact search of `jaccard` completes them. Every pair is verified by its whole sets.
+    """
+    signed = checkpointed(jaccard.signed_documents(docs, doc_id, text, shingle, _majority))
+    nodes = signed.groupBy("node").agg(F.min("print").alias("print"))
+    roots = jaccard.similar_roots(signed, docs, text, shingle, pair_bucket, _candidates(checkpointed(nodes), pair_bucket))
+    return jaccard.without_copies(docs, signed, roots, doc_id, text)
