@@ -7,22 +7,21 @@ stages to the documents table of a folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import exact_dedup, jaccard, langid, packing, pii, queries
-from vitalframe.llm.common import documents_of
+from vitalframe.llm import exact_dedup, langid, packing, pii, queries, simhash
+from vitalframe.llm.common import documents_of, remove_folder, shared_folder, written
 
-#: A document goes whose strongest language has a smaller share of its words.
-LEAST_SCORE = 0.5
+#: A document goes whose set of languages has a smaller share of its mixture.
+LEAST_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those without a main language; the models are learned from the stage's own input."""
-    return langid.keep_identified(docs, langid.train(docs), LEAST_SCORE)
+    """Drop documents without a letter and those that no set of languages fits; the models are learned from the stage's own input."""
+    return langid.keep_identified(docs, langid.train(docs), LEAST_SHARE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of groups linked by a Jaccard similarity of 0.8 or more over five-word shingles, keep the row with the smallest doc_id."""
-    return jaccard.keep_first(docs, shingle=5)
+    return simhash.keep_first(docs, shingle=5)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +57,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, where every executor can read what another wrote."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='vitalframe-pipeline-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; every stage's rows are written before the next one reads them."""
-    docs, folder = documents_of(spark, sf_dir), _shared_folder(spark)
+    """All stages over the documents of sf_dir; every stage's rows are written before the next one reads them, and removed after it wrote its own."""
+    docs, folder, before = documents_of(spark, sf_dir), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
