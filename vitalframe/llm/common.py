@@ -54,6 +54,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
 
 
+class Tables:
+    """Written tables of one computation, removed together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return written(df, f"{self.folder}/{self.count}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The rows as a table that stays, after which the others are removed."""
+        made = checkpointed(df)
+        remove_folder(self.spark, self.folder)
+        return made
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,13 @@ common order, two sets of similarity 4/5 or more share one of the first n // 5 +
 Any order finds every pair. The order here puts shingles last that are frequent in a hash sample of the texts, so that a
 common passage is rarely a key. The sample changes the cost only, never the result.
 
-Pairs that meet under a key are checked by bitmaps of parities, where each differing bit means a shingle that only one of
-the sets has, so that no pair of similarity 4/5 is lost; those left are verified by their whole sets. A key under which more than PAIR_BUCKET sets meet is first
-linked to a few hubs drawn from its own sets, in rounds; after each, only its sets in different components still matter.
-When the pairs of these are few, or after MOST_ROUNDS, all of them are verified. So components are those of all pairs of
-similarity 4/5 or more; the work is linear for groups around common texts, and grows with the square of a key only for
-sets that share it and are not linked.
+Pairs that meet under a key are checked by bitmaps of parities, two bits or more for each shingle, where every differing
+bit means a shingle that only one of the sets has, so that no pair of similarity 4/5 is lost. Those left are verified by
+their whole sets: first one pair for each set, then those that this has not linked already. A key under which more than
+PAIR_BUCKET sets meet is first linked to hubs from its own sets, preferably ones that share the most such keys; after
+each round only its sets in different components still matter. When the pairs of these are few, or after MOST_ROUNDS, all
+of them are checked. So components are those of all pairs of similarity 4/5 or more; the work is linear for groups around
+common texts, and grows with the square of a key only for sets that share it and are not linked.
 
 Defined cases: a null text or one without words is near no other; fewer words than a shingle make one shingle; a null
 doc_id is kept only if all of its group are null; rows of equal doc_id and text stay or go together; an empty table
@@ -27,17 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import SEED, checkpointed, pick, small_batches, tidy
+from vitalframe.llm.common import SEED, Tables, pick, small_batches, tidy
 from vitalframe.llm.graph import components
 
 #: Sets under one key from which on hubs come first.
 PAIR_BUCKET = 32
-#: Hubs of a crowded key in each round, and the most rounds.
-HUBS, MOST_ROUNDS = 3, 6
+#: Hubs of a crowded key that are drawn in each round, and the most rounds.
+HUBS, MOST_ROUNDS = 2, 3
 #: Pairs left for each row of the crowded keys up to which all are verified.
-PAIRS_A_ROW = 8
-#: 64-bit lanes of a bitmap, a power of two.
-LANES = 8
+PAIRS_A_ROW = 32
 #: One text in so many counts for the order, and the most frequent shingles that it knows.
 SAMPLE, MOST_COMMON = 16, 1 << 17
 
@@ -62,8 +61,10 @@ def node_of(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the set's shingles falls to each bit; sets differ in at least as many shingles as in bits."""
-    odd = np.bincount(found & (64 * LANES - 1), minlength=64 * LANES) & 1
+    """Whether an odd number of the set's shingles falls to each bit, as 64-bit lanes; the bits are a power of two, twice
+    the shingles at least. Halves folded by XOR are the bitmap of half the bits."""
+    bits = max(64, 1 << (2 * len(found) - 1).bit_length())
+    odd = np.bincount(found & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -110,26 +111,48 @@ def signed_documents(docs: DataFrame, doc_id: str, text: str, shingle: int, prin
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, size int, print long, bits array<long>, keys array<long>")
 
 
+def _bits_apart(m, x, n, y):
+    """Differing bits of the bitmaps x and y of sets of sizes m and n, one of which may have twice the lanes."""
+    small, large = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    half = F.size(small)
+    folded = F.when(F.size(large) == half, large).otherwise(F.zip_with(F.slice(large, F.lit(1), half), F.slice(large, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
+    return F.aggregate(F.zip_with(small, folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets have a similarity of 4/5 or more; sets are made again from one text of each node."""
+    """Of the pairs (a, b) of nodes, a < b, links of a similarity of 4/5 or more that connect all those of this similarity.
+
+    Whole sets are made again from one text of each node, and only for pairs that their bitmaps allow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
+    tables = Tables(docs.sparkSession)
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
     b = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
-    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(LANES)), F.lit(0))
-    pairs = checkpointed(pairs.distinct().join(a, "a").join(b, "b").where(apart * 9 <= F.col("m") + F.col("n")).select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = nodes.join(wanted, "node", "left_semi").select("node", "mark")
-    texts = pick(docs, text).toDF("text").withColumn("mark", F.xxhash64("text")).join(marks, "mark").select("node", "text").dropDuplicates(["node"])
-    sets = checkpointed(small_batches(texts).mapInArrow(tidy(run), "node long, found array<long>"))
-    a = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").where(both * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+    met = pairs.distinct().join(a, "a").join(b, "b").where(_alike(F.col("m"), F.col("n")))
+    left = tables.add(met.where(_bits_apart(F.col("m"), F.col("x"), F.col("n"), F.col("y")) * 9 <= F.col("m") + F.col("n")).select("a", "b"))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
+    marks = tables.add(nodes.join(wanted, "node", "left_semi").select("node", "mark"))
+    texts = pick(docs, text).toDF("text").withColumn("mark", F.xxhash64("text")).join(marks, "mark").select("node", "text")
+    sets = tables.add(small_batches(texts).mapInArrow(tidy(run), "node long, found array<long>"))
+
+    def alike(some: DataFrame) -> DataFrame:
+        b = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
+        hubs = sets.join(some.select(F.col("a").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("found").alias("x"))
+        both = F.size(F.array_intersect("x", "y"))
+        found = some.join(b, "b").join(hubs.withColumnRenamed("node", "a"), "a")
+        return tables.add(found.where(both * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b").distinct())
+
+    first = alike(tables.add(left.groupBy("b").agg(F.min("a").alias("a"))))
+    ours, theirs = first.select(F.col("b").alias("a"), F.col("a").alias("p")), first.select("b", F.col("a").alias("q"))
+    # a and b are linked already where b went to a, or both went to one set
+    rest = left.join(ours, "a", "left").join(theirs, "b", "left").where((F.coalesce("q", "b") != F.coalesce("p", "a")) & ~F.col("q").eqNullSafe(F.col("a")))
+    return tables.result(first.unionByName(alike(tables.add(rest.select("a", "b")))))
 
 
 def _alike(x, y):
@@ -138,9 +161,11 @@ def _alike(x, y):
 
 
 def _hub_pairs(crowded: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each set under a key with the key's hubs; crowded has key, node, size and root, and pairs within a root are left out."""
+    """Pairs of each set under a key with the key's hubs; crowded has key, node, size, weight and root, and pairs within a root are left out."""
     one = F.struct("node", "size", "root")
     draws = [F.min_by(one, F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS)]
+    if turn == 0:
+        draws.append(F.max_by(one, F.struct("weight", "node")))
     hubs = crowded.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("hubs"))
     met = crowded.join(hubs, "key").select("node", "size", "root", F.explode("hubs").alias("hub"))
     met = met.where((F.col("root") != F.col("hub.root")) & _alike(F.col("size"), F.col("hub.size")))
@@ -156,32 +181,34 @@ def _all_pairs(rows: DataFrame, apart) -> DataFrame:
 
 def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int, proposed: DataFrame) -> DataFrame:
     """(node, root) of all nodes that are linked to another one; the pairs proposed are verified beside those found here."""
-    nodes = checkpointed(signed.groupBy("node").agg(F.min(F.struct("mark", "size", "bits")).alias("own")).select("node", "own.*"))
+    tables = Tables(docs.sparkSession)
+    nodes = tables.add(signed.groupBy("node").agg(F.min(F.struct("mark", "size", "bits")).alias("own")).select("node", "own.*"))
     keys = signed.select(F.explode("keys").alias("key"), "node", "size")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Rows of equal sets meet under all of their keys; each set counts once.
-    shared = checkpointed(keys.join(met, "key").select("key", "node", "size").distinct())
+    shared = tables.add(keys.join(met, "key").select("key", "node", "size").distinct())
     shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     crowded = shared.where(F.col("n") > pair_bucket).select("key", "node", "size")
+    crowded = tables.add(crowded.join(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "node"))
     first = _all_pairs(shared.where(F.col("n") <= pair_bucket), F.lit(True))
     pairs = proposed.unionByName(first).unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0))
-    links = checkpointed(verified(pairs, nodes, docs, text, shingle))
+    links = verified(pairs, nodes, docs, text, shingle)
     roots = components(links)
     for turn in range(1, MOST_ROUNDS + 1):
-        parts = crowded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        parts = crowded.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
         counts = parts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        parts = checkpointed(parts.join(counts.select("key", "n", "within"), "key"))
+        parts = tables.add(parts.join(counts.select("key", "n", "within"), "key"))
         left = parts.select("key", "n", "within").distinct().agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
         if not left[0]:
             break
         last = turn == MOST_ROUNDS or left[1] <= PAIRS_A_ROW * left[0]
-        rows = parts.select("key", "node", "size", "root")
+        rows = parts.select("key", "node", "size", "weight", "root")
         pairs = _all_pairs(rows, F.col("x.root") != F.col("y.root")) if last else _hub_pairs(rows, turn)
-        links = checkpointed(links.unionByName(verified(pairs, nodes, docs, text, shingle)))
+        links = links.unionByName(verified(pairs, nodes, docs, text, shingle))
         roots = components(links)
         if last:
             break
-    return roots
+    return tables.result(roots)
 
 
 def without_copies(docs: DataFrame, signed: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
