@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, col_of, row_mean
+from vitalframe.operators.ordering import running, with_neighbour
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -71,9 +72,9 @@ def step_cdf(rows: DataFrame, x: str, key: str | None = None) -> DataFrame:
     """
     own = [key] if key else []
     counts = rows.groupBy(*own, x).agg(F.count(F.lit(1)).alias("_n"))
-    part = Window.partitionBy(*own)
-    run = part.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*own, x, (F.sum("_n").over(run) / F.sum("_n").over(part)).alias("cdf"))
+    total = counts.groupBy(*own).agg(F.sum("_n").alias("_total"))
+    upto = running(counts, x, "_n", "_upto", own)
+    return (upto.join(total, key) if key else upto.crossJoin(F.broadcast(total))).select(*own, x, (F.col("_upto") / F.col("_total")).alias("cdf"))
 
 
 def pivoted_stats(rows: DataFrame, key: str, modality: str, value: str, modalities: list[str]) -> DataFrame:
@@ -89,8 +90,8 @@ def combined_rank(stats: DataFrame, columns: list[str], score: str = "sqi_combin
     Ranks come from the distinct scores, whose number a rounding of the score bounds.
     """
     scored = stats.withColumn(score, row_mean(*columns))
-    ranked = F.dense_rank().over(Window.orderBy(F.col(score).desc_nulls_last()))
-    places = scored.where(F.col(score).isNotNull()).select(F.col(score).alias("_score")).distinct().withColumn(score, F.col("_score")).withColumn(rank, ranked).drop(score)
+    scores = scored.where(F.col(score).isNotNull()).select((-F.col(score)).alias("_falling")).distinct()
+    places = running(scores, "_falling", F.lit(1), rank).select((-F.col("_falling")).alias("_score"), F.col(rank).cast("int").alias(rank))
     return scored.join(places, scored[score] == places["_score"], "left").drop("_score")
 
 
@@ -127,7 +128,7 @@ def amplitude_levels(rows: DataFrame, x: str) -> DataFrame:
     """Distinct levels, the bits they need, the smallest step, whether all steps are equal, and the range."""
     v = clean_num(x)
     levels = rows.select(v.alias("v")).where("v IS NOT NULL").distinct()
-    steps = levels.withColumn("step", F.col("v") - F.lag("v").over(Window.orderBy("v")))
+    steps = with_neighbour(levels, "v", "before").withColumn("step", F.col("v") - F.col("before"))
     return steps.agg(
         F.count(F.lit(1)).alias("n_levels"), F.ceil(F.log2(F.count(F.lit(1)))).cast("long").alias("bits"), F.min("step").alias("min_step"),
         F.coalesce(F.max("step") - F.min("step") <= 1e-9, F.lit(True)).alias("uniform"), F.min("v").alias("min"), F.max("v").alias("max"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import row_mean
+from vitalframe.operators.ordering import running, with_neighbour
 
 
 def with_metadata(rows: DataFrame, info: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -100,7 +101,11 @@ def merged_and_numbered(tables: list[tuple[str, DataFrame]], columns: list[str],
     union = reduce(DataFrame.unionByName, parts)
     before = Window.orderBy("_dataset").rowsBetween(Window.unboundedPreceding, -1)
     starts = union.groupBy("_dataset").agg(F.count(F.lit(1)).alias("_n")).select("_dataset", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = union.withColumn("_own", F.row_number().over(Window.partitionBy("_dataset").orderBy(order))).join(F.broadcast(starts), "_dataset")  # one row per dataset
+    # Rows of one order value are numbered among themselves; values are counted before they are summed up.
+    nth = F.row_number().over(Window.partitionBy("_dataset", order).orderBy(*[c for c in columns if c != order]))
+    counts = running(union.groupBy("_dataset", order).agg(F.count(F.lit(1)).alias("_n")), order, "_n", "_upto", ["_dataset"])
+    numbered = union.withColumn("_nth", nth).join(counts, ["_dataset", order]).withColumn("_own", F.col("_upto") - F.col("_n") + F.col("_nth"))
+    numbered = numbered.drop("_nth", "_n", "_upto").join(F.broadcast(starts), "_dataset")  # one row per dataset
     made = numbered.withColumn("number", (F.col("_before") + F.col("_own")).cast("long")).withColumn(prefix, F.concat(F.lit(prefix), F.col("number").cast("string")))
     return (made if exclude is None else made.where(~exclude)).drop("_dataset", "_own", "_before")
 
@@ -109,5 +114,5 @@ def missing_numbers(rows: DataFrame, number: str, start: int) -> DataFrame:
     """Numbers from start to the largest that no row has, by gaps between neighbours instead of a full sequence."""
     have = rows.select(F.col(number).cast("long").alias("n")).distinct().where(F.col("n") >= start)
     have = have.unionByName(rows.sparkSession.range(1).select(F.lit(start - 1).cast("long").alias("n")))
-    gaps = have.withColumn("next", F.lead("n").over(Window.orderBy("n"))).where("next > n + 1")
+    gaps = with_neighbour(have, "n", "next", ahead=True).where("next > n + 1")
     return gaps.select(F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("missing"))

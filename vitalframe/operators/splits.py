@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.functions.scalars import participant_name, stratum
+from vitalframe.operators.ordering import running
 
 
 def listed_split(rows: DataFrame, participants: dict[str, DataFrame], key: str = "participant_id") -> dict[str, DataFrame]:
@@ -31,8 +32,11 @@ def hash_split(rows: DataFrame, key: str, shares: dict[str, float], seed: int =
     """
     own = [strata] if strata else []
     people = rows.select(key, *own).distinct().withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    part = Window.partitionBy(*own)
-    people = people.withColumn("_u", (F.row_number().over(part.orderBy("_h", key)) - 0.5) / F.count(F.lit(1)).over(part))
+    # The hash's first digits cut people into ranges of equal size; the key parts equal hashes.
+    people = people.withColumn("_place", F.struct("_h", key))
+    ranked = running(people, "_place", F.lit(1), "_rank", own, F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    size = people.groupBy(*own).agg(F.count(F.lit(1)).alias("_size"))
+    people = (ranked.join(size, own) if own else ranked.crossJoin(F.broadcast(size))).withColumn("_u", (F.col("_rank") - 0.5) / F.col("_size"))
     total, chosen, names = 0.0, None, list(shares)
     for name in names[:-1]:
         total += shares[name]
@@ -55,15 +59,38 @@ def overlapping(parts: dict[str, DataFrame], key: str) -> list[tuple[str, str]]:
 
 
 def group_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
-    """(key, fold): groups in falling order of size go to the fold with the fewest rows so far.
+    """(key, fold): groups in falling order of size, then by key, go each to the fold with the fewest rows so far.
 
-    Greedy assignment is sequential by nature; it reads one row per participant of a study, not the samples.
+    Groups of one size that go to folds with given loads take these in the order of load + size * j over all folds and
+    j = 0, 1, ...; so a group's place within its size tells its fold, and the driver reads only how many groups there
+    are of each size.
     """
-    sizes = sorted(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], r[key]))
-    load, assigned = [0] * folds, []
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = groups.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_size")).collect()
+    load, plan = [0] * folds, []
     for r in sizes:
-        f = min(range(folds), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        assigned.append((r[key], f))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(assigned, f"{key} {kind}, fold int")
+        size, left = r["_size"], r["n"]
+        low, high = min(load), max(load) + size * (left + 1)
+        while low < high:  # the least level below which the folds take that many groups
+            level = (low + high) // 2
+            if sum(max(0, -(-(level - x) // size)) for x in load) >= left:
+                high = level
+            else:
+                low = level + 1
+        taken = [max(0, -(-(low - x) // size)) for x in load]
+        over = sum(taken) - left
+        for f in reversed(range(folds)):  # of the folds that reach the level last, the higher ones wait
+            if over and taken[f] and load[f] + size * (taken[f] - 1) == low - 1:
+                taken[f] -= 1
+                over -= 1
+        plan.append((size, list(load), taken))
+        load = [x + size * n for x, n in zip(load, taken)]
+    spark = rows.sparkSession
+    steps = spark.createDataFrame([(size, f, n, at, at[f]) for size, at, taken in plan for f, n in enumerate(taken) if n], "_size long, fold int, _taken long, _loads array<long>, _load long")
+    steps = steps.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1)))
+    value = F.col("_load") + F.col("_j") * F.col("_size")
+    earlier = lambda x, f: F.greatest(F.lit(0).cast("long"), F.floor((value - x + F.when(f < F.col("fold"), F.col("_size")).otherwise(F.col("_size") - 1)) / F.col("_size")).cast("long"))
+    nth = F.aggregate(F.transform("_loads", earlier), F.lit(1).cast("long"), lambda s, x: s + x)
+    steps = steps.select("_size", "fold", nth.alias("_nth"))
+    ranked = running(groups, key, F.lit(1), "_nth", ["_size"])
+    return ranked.join(steps, ["_size", "_nth"]).select(key, "fold")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, safe_corr, to_number
+from vitalframe.operators.ordering import exact_quantiles, running
 
 
 def long_form(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -35,8 +36,10 @@ def clean_and_impute(rows: DataFrame, features: list[str], most_bad: float = 0.1
     """
     source = fit_on if fit_on is not None else rows
     fitted = source.select(*[to_number(f).alias(f) for f in features])
-    parts = [x for f in features for x in (F.avg(F.col(f).isNull().cast("double")).alias(f"{f}|bad"), F.median(f).alias(f"{f}|median"), F.min(f).alias(f"{f}|min"), F.max(f).alias(f"{f}|max"))]
+    parts = [x for f in features for x in (F.avg(F.col(f).isNull().cast("double")).alias(f"{f}|bad"), F.min(f).alias(f"{f}|min"), F.max(f).alias(f"{f}|max"))]
     stats = fitted.agg(*parts).first().asDict()
+    medians = exact_quantiles(fitted.unpivot([], features, "feature", "value"), "value", [0.5], ["feature"])
+    stats |= {f"{f}|median": None for f in features} | {f"{r['feature']}|median": r["quantile"] for r in medians.collect()}
     keep = []
     for f in features:
         bad, median, low, high = (stats[f"{f}|{k}"] for k in ("bad", "median", "min", "max"))
@@ -106,8 +109,7 @@ def centered(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, rank: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Average rank of each value. Values are counted first; ranks are running sums over the distinct ones."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*keys, value, (F.sum("_n").over(run) - (F.col("_n") - 1) / 2.0).alias(rank))
+    ranks = running(counts, value, "_n", "_upto", keys).select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank))
     return rows.join(ranks, [*keys, value])
 
 
@@ -144,8 +146,8 @@ def interpretation(within, pearson, icc) -> Column:
 
 def equal_frequency_edges(rows: DataFrame, value: str, bins: int) -> list[float]:
     """Distinct quantiles that bound at most `bins` buckets."""
-    q = rows.agg(F.percentile(clean_num(value), F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("q")).first()["q"]
-    return sorted(set(q or []))
+    found = exact_quantiles(rows.select(clean_num(value).alias("v")), "v", [k / bins for k in range(bins + 1)])
+    return sorted({r["quantile"] for r in found.collect()})
 
 
 def bucketed(value, edges: list[float]) -> Column:
