@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalframe.functions import nulls, scalars
-from vitalframe.operators import aggregates, joins, models, segments, signals, splits, stats
+from vitalframe.operators import aggregates, joins, models, ordering, segments, signals, splits, stats
 
 NAN, INF = float("nan"), float("inf")
 
@@ -129,14 +129,108 @@ def test_splits(spark):
 def test_models():
     import numpy as np
 
+    from vitalframe.kernels.regressors import MODEL_SETS
+
+    assert sum(len(grid) for _, grid in MODEL_SETS["low_overfit"].values()) == 416
     rng = np.random.default_rng(0)
     x = rng.normal(size=(80, 3))
     y = 3 * x[:, 0] - 2 * x[:, 1] + 5
-    best = {}
-    for name, (fit, grid) in models.MODELS.items():
-        best[name] = min(np.sqrt(np.mean((fit(x[:60], y[:60], **s)(x[60:]) - y[60:]) ** 2)) for s in grid)
-    assert best["ridge"] < 0.05 * best["dummy"] and best["lasso"] < 0.05 * best["dummy"]  # the target is linear
-    assert all(e < 0.75 * best["dummy"] for name, e in best.items() if name != "dummy"), best  # all learn from sixty rows
+    for families in MODEL_SETS.values():
+        best = {}
+        for name, (fit, grid) in families.items():
+            best[name] = min(np.sqrt(np.mean((fit(x[:60], y[:60], **s)(x[60:]) - y[60:]) ** 2)) for s in grid[:: max(1, len(grid) // 12)] + grid[-1:])
+        for name in {"ridge", "lasso", "elasticnet", "huber", "quantile", "ransac", "ard"} & set(best):
+            assert best[name] < 0.1 * best["dummy"], (name, best)  # the target is linear
+        assert all(e < 0.75 * best["dummy"] for name, e in best.items() if name != "dummy"), best  # all learn from sixty rows
+
+
+def test_vector_regression_meets_its_conditions():
+    import numpy as np
+
+    from vitalframe.kernels.regressors import kernel_svr
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    y = 20 * np.sin(x[:, 0]) + 5 + rng.normal(size=60)
+    inside = np.abs(kernel_svr(x, y, kernel="rbf", c=100.0, epsilon=3.0, gamma=0.5, rounds=5000)(x) - y)
+    assert inside.max() < 3.3  # a large budget leaves every row within epsilon
+    flat = kernel_svr(x, y, kernel="rbf", c=1e-9, epsilon=1.0)(x)
+    assert np.ptp(flat) < 1e-3 and y.min() <= flat[0] <= y.max()
+
+
+@pytest.mark.parametrize("rows", [1000, 20])
+def test_nested_cv_matches_plain_loops(spark, rows):
+    """Every setting, fold and row by hand; with few rows allowed, on the same sample."""
+    import numpy as np
+
+    from vitalframe.kernels.regressors import MODEL_SETS
+
+    rng = np.random.default_rng(2)
+    data = [(int(g), float(3 * a + rng.normal()), float(a), float(b)) for g, a, b in zip(rng.integers(0, 20, 150), rng.normal(size=150), rng.normal(size=150))]
+    df = spark.createDataFrame([*data, (3, 1.0, None, 2.0)], "g long, y double, a double, b double")
+    folds = splits.group_folds(df, "g", 3)
+    fold = {r["g"]: r["fold"] for r in folds.collect()}
+    got = models.nested_cv(df, folds, "g", "y", ["a", "b"], ["dummy", "lasso", "knn"], fold_rows=rows).collect()
+    assert len(got) == 3 * 151 and sum(r["predicted"] is None for r in got) == 3
+    sample = models.bounded_sample(models._numbers(df.join(folds, "g"), "g", "y", ["a", "b"], "fold"), ["a", "b"], "fold", rows)
+    assert len(sample) == sum(min(rows, sum(fold[g] == f for g, *_ in data)) for f in range(3))
+    have = {(r["model"], round(r["actual"], 9)): r["predicted"] for r in got if r["predicted"] is not None}
+    for h in range(3):
+        part = sample[sample["fold"] != h]
+        x, y, groups = part[["a", "b"]].to_numpy(), part["_y"].to_numpy(), part["_key"].to_numpy()
+        inner = models.inner_folds(groups, 3)
+        for m in ("dummy", "lasso", "knn"):
+            fit, grid = MODEL_SETS["low_overfit"][m]
+            error = [np.mean([np.sqrt(np.mean((fit(x[inner != f], y[inner != f], **s)(x[inner == f]) - y[inner == f]) ** 2)) for f in range(3)]) for s in grid]
+            predict = fit(x, y, **grid[int(np.argmin(error))])
+            for g, t, a, b in data:
+                if fold[g] == h:
+                    assert abs(have[m, round(t, 9)] - predict(np.array([[a, b]]))[0]) < 1e-9
+
+
+def test_folds_match_the_greedy_rule(spark):
+    import random
+
+    rng = random.Random(4)
+    for sizes, k in (([rng.choice([1, 1, 2, 3, 7]) for _ in range(60)], 4), ([500, 3, 3, 3, 2, 1, 1, 1, 1], 3), ([5] * 17, 5), ([2, 2], 4)):
+        rows = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g long")
+        load, want = [0] * k, {}
+        for g in sorted(range(len(sizes)), key=lambda g: (-sizes[g], g)):
+            f = min(range(k), key=lambda i: (load[i], i))
+            load[f] += sizes[g]
+            want[g] = f
+        assert {r["g"]: r["fold"] for r in splits.group_folds(rows, "g", k).collect()} == want
+
+
+def test_ordering(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    values = [rng.choice([1.5, 2.0, 7.0, rng.random()]) for _ in range(400)]
+    df = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(values)] + [("a", None)], "k string, v double").repartition(5)
+    for share, q in [(r["share"], r["quantile"]) for r in ordering.exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()]:
+        assert abs(q - np.quantile(values, share)) < 1e-12
+    for r in ordering.exact_quantiles(df, "v", [0.25], ["k"]).collect():
+        assert abs(r["quantile"] - np.quantile([v for i, v in enumerate(values) if (i % 3 > 0) == (r["k"] == "a")], 0.25)) < 1e-12
+    words = spark.createDataFrame([(w,) for w in ("b", "a", "ab", "é", "", "zz", "abcdefgh", "abcdefgi")], "w string")
+    got = {r["w"]: r["n"] for r in ordering.running(words, "w", F.lit(1), "n").collect()}
+    assert sorted(got, key=got.get) == sorted(got, key=lambda w: w.encode())
+    assert ordering.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 4))
+    v[5] = v[6]
+    df = spark.createDataFrame([(i, v[i].tolist(), float(i % 7)) for i in range(90)], "id long, e array<double>, y double")
+    got = {r["id"]: r["predicted"] for r in models.nearest_neighbours(df, df, "id", "e", "y", 3, block=20).collect()}
+    for i in range(90):
+        near = sorted((round(float(np.linalg.norm(v[i] - v[j])), 6), j) for j in range(90) if j != i)[:3]
+        assert abs(got[i] - np.mean([j % 7 for _, j in near])) < 1e-12
 
 
 def test_neighbour_information():

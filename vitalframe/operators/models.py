@@ -1,160 +1,28 @@
-"""Regression models and their grouped evaluation.
+"""Grouped evaluation of regression models.
 
-Studies have few rows per model and many models, so a model fits on one task's rows: rows are sent to each held-out fold
-by an equi-join with the list of folds, and every fold is one group of applyInPandas.
+Models of a study fit on few rows and have many settings, so the settings are the unit of work: a bounded sample of
+rows is given to every task, each (model, setting, fold) is fitted on its own, and only the errors come together. The
+chosen models, whose size the sample bounds, then predict every row of the table where it lies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalframe.functions.scalars import dot
+from vitalframe.kernels.regressors import MODEL_SETS
 from vitalframe.operators.aggregates import regression_errors
 
-Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
-
-
-def dummy(x: np.ndarray, y: np.ndarray, how: str = "mean"):
-    level = float(np.mean(y) if how == "mean" else np.median(y))
-    return lambda z: np.full(len(z), level)
-
-
-def _standardised(fit):
-    def run(x: np.ndarray, y: np.ndarray, *a, **k):
-        m, s = x.mean(0), x.std(0)
-        s[s == 0] = 1
-        f = fit((x - m) / s, y, *a, **k)
-        return lambda z: f((z - m) / s)
-
-    return run
-
-
-@_standardised
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0):
-    c = y.mean()
-    w = np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ (y - c))
-    return lambda z: z @ w + c
-
-
-@_standardised
-def lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, rounds: int = 500):
-    """Coordinate descent on half the mean squared error plus alpha times the absolute weights."""
-    n, c = len(y), y.mean()
-    w, r, norm = np.zeros(x.shape[1]), y - c, (x**2).sum(0) / len(y)
-    for _ in range(rounds):
-        moved = 0.0
-        for j in np.flatnonzero(norm):
-            old = w[j]
-            g = x[:, j] @ r / n + norm[j] * old
-            w[j] = np.sign(g) * max(abs(g) - alpha, 0) / norm[j]
-            r -= x[:, j] * (w[j] - old)
-            moved = max(moved, abs(w[j] - old))
-        if moved < 1e-7:
-            break
-    return lambda z: z @ w + c
-
-
-@_standardised
-def knn(x: np.ndarray, y: np.ndarray, k: int = 5):
-    def predict(z: np.ndarray) -> np.ndarray:
-        out = []
-        for part in np.array_split(z, max(1, len(z) * len(x) // 1_000_000)):
-            gap = ((part[:, None, :] - x[None]) ** 2).sum(2)
-            out.append(y[np.argsort(gap, axis=1, kind="stable")[:, : min(k, len(y))]].mean(1))
-        return np.concatenate(out) if out else np.zeros(0)
-
-    return predict
-
-
-@_standardised
-def gaussian_process(x: np.ndarray, y: np.ndarray, length: float = 1.0, noise: float = 0.1):
-    """Posterior mean under a squared-exponential kernel."""
-    kernel = lambda a, b: np.exp(-0.5 * ((a[:, None, :] - b[None]) ** 2).sum(2) / length**2)
-    c, s = y.mean(), y.std() or 1.0
-    weight = np.linalg.solve(kernel(x, x) + noise * np.eye(len(x)), (y - c) / s)
-    return lambda z: kernel(z, x) @ weight * s + c
-
-
-@_standardised
-def kernel_svr(x: np.ndarray, y: np.ndarray, c: float = 1.0, epsilon: float = 0.1, length: float = 1.0, rounds: int = 300):
-    """Support vector regression with a squared-exponential kernel, by projected gradient on the dual."""
-    kernel = lambda a, b: np.exp(-0.5 * ((a[:, None, :] - b[None]) ** 2).sum(2) / length**2)
-    m, s = y.mean(), y.std() or 1.0
-    t, k = (y - m) / s, kernel(x, x)
-    beta, rate = np.zeros(len(t)), 1.0 / max(1e-9, np.linalg.norm(k, 2))
-    for _ in range(rounds):
-        b = beta - rate * (k @ beta - t)
-        beta = np.clip(np.sign(b) * np.maximum(np.abs(b) - rate * epsilon, 0), -c, c)
-    return lambda z: kernel(z, x) @ beta * s + m
-
-
-def _tree(x: np.ndarray, y: np.ndarray, depth: int, least: int, columns: int | None, rng: np.random.Generator):
-    if depth == 0 or len(y) < 2 * least or np.ptp(y) == 0:
-        return float(y.mean())
-    best = None
-    wanted = np.arange(x.shape[1]) if columns is None else rng.choice(x.shape[1], min(columns, x.shape[1]), replace=False)
-    for j in wanted.tolist():
-        order = np.argsort(x[:, j], kind="stable")
-        v, t = x[order, j], y[order]
-        left = np.cumsum(t)[:-1]
-        n = np.arange(1, len(t))
-        gain = left**2 / n + (t.sum() - left) ** 2 / (len(t) - n)
-        gain[(v[1:] == v[:-1]) | (n < least) | (len(t) - n < least)] = -np.inf
-        i = int(np.argmax(gain))
-        if np.isfinite(gain[i]) and (best is None or gain[i] > best[0]):
-            best = (gain[i], j, v[i])
-    if best is None:
-        return float(y.mean())
-    side = x[:, best[1]] <= best[2]
-    return best[1], best[2], _tree(x[side], y[side], depth - 1, least, columns, rng), _tree(x[~side], y[~side], depth - 1, least, columns, rng)
-
-
-def _walk(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    side, out = x[:, tree[0]] <= tree[1], np.empty(len(x))
-    out[side], out[~side] = _walk(tree[2], x[side]), _walk(tree[3], x[~side])
-    return out
-
-
-def forest(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 6, least: int = 2, seed: int = 42):
-    rng = np.random.default_rng(seed)
-    grown = []
-    for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
-        grown.append(_tree(x[pick], y[pick], depth, least, max(1, x.shape[1] // 3), rng))
-    return lambda z: np.mean([_walk(t, z) for t in grown], axis=0)
-
-
-def boosting(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3, rate: float = 0.1, least: int = 2):
-    rng, base = np.random.default_rng(0), float(y.mean())
-    grown, level = [], np.full(len(y), base)
-    for _ in range(trees):
-        t = _tree(x, y - level, depth, least, None, rng)
-        grown.append(t)
-        level = level + rate * _walk(t, x)
-    return lambda z: base + rate * sum(_walk(t, z) for t in grown)
-
-
-#: Model families and their grids of settings.
-MODELS: dict[str, tuple[Callable, list[dict]]] = {
-    "dummy": (dummy, [{"how": "mean"}, {"how": "median"}]),
-    "ridge": (ridge, [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)]),
-    "lasso": (lasso, [{"alpha": a} for a in (0.001, 0.01, 0.1, 1.0)]),
-    "knn": (knn, [{"k": k} for k in (3, 5, 9, 15)]),
-    "svr": (kernel_svr, [{"c": c, "length": s} for c in (1.0, 10.0) for s in (1.0, 3.0)]),
-    "gpr": (gaussian_process, [{"length": s, "noise": n} for s in (1.0, 3.0) for n in (0.1, 1.0)]),
-    "rf": (forest, [{"depth": d} for d in (4, 8)]),
-    "gbr": (boosting, [{"depth": d, "rate": r} for d in (2, 3) for r in (0.05, 0.1)]),
-}
-
-
-def _folds(groups: np.ndarray, k: int) -> np.ndarray:
+#: Rows of a fold, and rows in all, that models are fitted on at most; the rows with the smallest hashes are taken.
+FOLD_ROWS = 256
+
+
+def inner_folds(groups: np.ndarray, k: int) -> np.ndarray:
     """Largest group first to the lightest fold."""
     names, counts = np.unique(groups, return_counts=True)
     load, place = [0] * k, {}
@@ -165,38 +33,100 @@ def _folds(groups: np.ndarray, k: int) -> np.ndarray:
     return np.array([place[g] for g in groups])
 
 
-def tuned(model: str, x: np.ndarray, y: np.ndarray, groups: np.ndarray, inner: int = 3):
-    """The model of the setting with the least mean RMSE over inner grouped folds, fitted on all rows."""
-    fit, grid = MODELS[model]
-    fold = _folds(groups, min(inner, len(np.unique(groups))))
-    if fold.max() == 0 or len(grid) == 1:
-        return fit(x, y, **grid[0])
-    error = [np.mean([np.sqrt(np.mean((fit(x[fold != f], y[fold != f], **s)(x[fold == f]) - y[fold == f]) ** 2)) for f in range(fold.max() + 1)]) for s in grid]
-    return fit(x, y, **grid[int(np.argmin(error))])
-
-
-def nested_cv(rows: DataFrame, folds: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3) -> DataFrame:
-    """(model, fold, key, actual, predicted) for every held-out row: each (model, fold) tunes on the other folds.
-
-    Rows are copied once per (model, fold), which is the work itself; each such task holds one study's training rows. A
-    model that fails gives NULL predictions for its fold.
+def _numbers(rows: DataFrame, key: str, target: str, features: list[str], *more: str) -> DataFrame:
+    return rows.select(F.col(key).alias("_key"), *more, F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+
+
+def bounded_sample(data: DataFrame, features: list[str], part: str, most_rows: int) -> pd.DataFrame:
+    """Complete rows with the smallest hashes of each part, at most most_rows of each, on the driver in a fixed order."""
+    whole = data.dropna(subset=["_y", *features])
+    first = F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64("_key", "_y", *features), "_key", "_y", *features))
+    return whole.withColumn("_n", first).where(F.col("_n") <= most_rows).drop("_n").toPandas().sort_values([part, "_key", "_y", *features], kind="stable", ignore_index=True)
+
+
+def fitted_models(data: DataFrame, sample: pd.DataFrame, features: list[str], held: list[int], models: Iterable[str], inner: int, model_set: str) -> dict[tuple[str, int], Callable]:
+    """The model of each (family, held-out fold) whose setting has the least mean RMSE over inner grouped folds; a family
+    that fails in a fold is absent. Every setting is a row of its own, spread over all tasks."""
+    spark, families = data.sparkSession, MODEL_SETS[model_set]
+    shared = spark.sparkContext.broadcast(sample)
+    jobs = [(m, i, int(h)) for m in models for i in range(len(families[m][1])) for h in held]
+    jobs = spark.createDataFrame(jobs, "model string, setting int, held int").repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)))
+
+    def training(h: int):
+        part = shared.value[shared.value["fold"] != h]
+        return part[features].to_numpy(float), part["_y"].to_numpy(float), part["_key"].to_numpy()
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for m, i, h in zip(b["model"], b["setting"], b["held"]):
+                x, y, groups = training(h)
+                fit, grid = MODEL_SETS[model_set][m]
+                fold = inner_folds(groups, min(inner, len(np.unique(groups)))) if len(y) else np.zeros(0, int)
+                try:
+                    each = [float(np.sqrt(np.mean((fit(x[fold != f], y[fold != f], **grid[i])(x[fold == f]) - y[fold == f]) ** 2))) for f in range(fold.max(initial=0) + 1)] if fold.max(initial=0) else [0.0]
+                    found.append(float(np.mean(each)))
+                except (ValueError, np.linalg.LinAlgError, FloatingPointError):
+                    found.append(float("nan"))
+            yield b.assign(error=found)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            blobs = []
+            for m, i, h in zip(b["model"], b["setting"], b["held"]):
+                x, y, _ = training(h)
+                fit, grid = MODEL_SETS[model_set][m]
+                try:
+                    blobs.append(cloudpickle.dumps(fit(x, y, **grid[i])) if len(y) else None)
+                except (ValueError, np.linalg.LinAlgError, FloatingPointError):
+                    blobs.append(None)
+            yield b.assign(blob=blobs)[["model", "held", "setting", "blob"]]
+
+    tried = jobs.mapInPandas(errors, "model string, setting int, held int, error double").where(~F.isnan("error"))
+    chosen = tried.groupBy("model", "held").agg(F.min_by("setting", F.struct("error", "setting")).alias("setting"))
+    rows = chosen.mapInPandas(best, "model string, held int, setting int, blob binary").where("blob IS NOT NULL").collect()
+    return {(r["model"], r["held"]): cloudpickle.loads(bytes(r["blob"])) for r in rows}
+
+
+def predictions(data: DataFrame, found: dict[tuple[str, int], Callable], features: list[str], models: Iterable[str], key: str) -> DataFrame:
+    """(model, fold, key, actual, predicted) of every row by the models of its fold; NULL without a model or with a missing feature."""
+    shared, names = data.sparkSession.sparkContext.broadcast(cloudpickle.dumps(found)), list(models)
+    kind = data.schema["_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = cloudpickle.loads(shared.value)
+        for b in batches:
+            for m in names:
+                out = np.full(len(b), np.nan)
+                for h in b["fold"].unique():
+                    at = np.flatnonzero((b["fold"] == h).to_numpy() & np.isfinite(b[features].to_numpy(float)).all(1))
+                    if (m, h) in made and len(at):
+                        out[at] = made[m, h](b[features].to_numpy(float)[at])
+                yield pd.DataFrame({"model": m, "fold": b["fold"], key: b["_key"], "actual": b["_y"], "predicted": out})
+
+    made = data.mapInPandas(run, f"model string, fold int, `{key}` {kind}, actual double, predicted double")
+    return made.withColumn("predicted", F.when(~F.isnan("predicted"), F.col("predicted")))
+
+
+def nested_cv(rows: DataFrame, folds: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3, model_set: str = "low_overfit", fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """(model, fold, key, actual, predicted) for every row, held out from its model, which is tuned on the other folds.
+
+    Models are fitted on at most fold_rows rows of each fold; every row of the table is predicted.
     """
-    spark = rows.sparkSession
-    data = rows.join(folds, key).select(key, "fold", F.col(target).cast("double").alias("actual"), *[F.col(f).cast("double").alias(f) for f in features])
-    jobs = folds.select(F.col("fold").alias("held")).distinct().crossJoin(spark.createDataFrame([(m,) for m in models], "model string"))
-    kind = rows.schema[key].dataType.simpleString()
+    models = list(models)
+    data = _numbers(rows.join(folds, key), key, target, features, "fold")
+    sample = bounded_sample(data, features, "fold", fold_rows)
+    found = fitted_models(data, sample, features, sorted(sample["fold"].unique().tolist()), models, inner, model_set)
+    return predictions(data, found, features, models, key)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held, model = int(part["held"].iloc[0]), part["model"].iloc[0]
-        test, train = part[part["fold"] == held], part[part["fold"] != held].sort_values([key, "actual"], kind="stable")
-        try:
-            predict = tuned(model, train[features].to_numpy(), train["actual"].to_numpy(), train[key].to_numpy(), inner)
-            found = predict(test[features].to_numpy())
-        except (ValueError, np.linalg.LinAlgError):
-            found = np.full(len(test), np.nan)
-        return pd.DataFrame({"model": model, "fold": held, key: test[key].to_numpy(), "actual": test["actual"].to_numpy(), "predicted": found})
 
-    return data.crossJoin(F.broadcast(jobs)).groupBy("model", "held").applyInPandas(run, f"model string, fold int, {key} {kind}, actual double, predicted double")
+def evaluated(train: DataFrame, test: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3, model_set: str = "low_overfit", most_rows: int = 4 * FOLD_ROWS) -> DataFrame:
+    """(model, key, actual, predicted) on the test rows: each model tuned by grouped folds and refitted on the training sample."""
+    models = list(models)
+    data = _numbers(train.withColumn("fold", F.lit(0)), key, target, features, "fold")
+    sample = bounded_sample(data, features, "fold", most_rows)
+    found = fitted_models(data, sample, features, [1], models, inner, model_set)
+    return predictions(_numbers(test.withColumn("fold", F.lit(1)), key, target, features, "fold"), found, features, models, key).drop("fold")
 
 
 def summary(predictions: DataFrame) -> DataFrame:
@@ -246,35 +176,40 @@ def personalised(rows: DataFrame, key: str, session: str, target: str, features:
     return data.groupBy(key).applyInPandas(run, f"{key} {kind}, method string, actual double, predicted double")
 
 
-def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, value: str, k: int) -> DataFrame:
-    """The mean value of the k nearest base rows by Euclidean distance, ties by key, for each query vector of a study.
+def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, value: str, k: int, block: int = 2048) -> DataFrame:
+    """The mean value of the k nearest base rows by Euclidean distance, ties by key, for each query vector.
 
-    Every query is compared with every base row; partial top-k lists per task keep what is shuffled at k rows per query.
+    Both sides are dealt to blocks of about `block` rows; each pair of blocks is one group, which keeps k rows per
+    query, and the lists of a query's groups are merged. An exact search compares every query with every base row.
     """
-    q = queries.select(F.col(key).alias("_q"), F.col(vector).cast("array<double>").alias("_v"), dot(vector, vector).alias("_qq"))
-    b = base.select(F.col(key).alias("_b"), F.col(vector).cast("array<double>").alias("_w"), dot(vector, vector).alias("_bb"), F.col(value).cast("double").alias("_y"))
-    gap = F.sqrt(F.greatest(F.col("_qq") - 2 * dot("_v", "_w") + F.col("_bb"), F.lit(0.0)))
-    pairs = b.join(q, F.col("_b") != F.col("_q")).select("_q", "_b", F.round(gap, 6).alias("_d"), "_y")
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_b"))
-    return pairs.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_q").agg(F.avg("_y").alias("predicted")).withColumnRenamed("_q", key)
-
-
-def evaluated(train: DataFrame, test: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3) -> DataFrame:
-    """(model, key, actual, predicted) on the test rows: each model tuned by grouped folds and refitted on all training rows."""
-    mark = lambda df, held: df.select(key, F.lit(held).alias("_test"), F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
-    jobs = train.sparkSession.createDataFrame([(m,) for m in models], "model string")
-    kind = train.schema[key].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        test, train = part[part["_test"]], part[~part["_test"]].sort_values([key, "_y"], kind="stable")
-        predict = tuned(part["model"].iloc[0], train[features].to_numpy(), train["_y"].to_numpy(), train[key].to_numpy(), inner)
-        return pd.DataFrame({"model": part["model"].iloc[0], key: test[key].to_numpy(), "actual": test["_y"].to_numpy(), "predicted": predict(test[features].to_numpy())})
-
-    both = mark(train, False).unionByName(mark(test, True))
-    return both.crossJoin(F.broadcast(jobs)).groupBy("model").applyInPandas(run, f"model string, {key} {kind}, actual double, predicted double")
-
-
-def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: dict[str, list[str]], models: Iterable[str]) -> DataFrame:
+    n_q, n_b = (max(1, -(-t.count() // block)) for t in (queries, base))
+    own = lambda t, n, name: t.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), *([F.col(value).cast("double").alias("_y")] if name == "b" else []), F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}"))
+    q = own(queries, n_q, "q").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))))
+    b = own(base, n_b, "b").withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    kind = queries.schema[key].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_id": left["_id"][:0], "_o": right["_id"][:0], "_d": np.zeros(0), "_y": np.zeros(0)})
+        right = right.sort_values("_id", kind="stable", ignore_index=True)
+        w, ids, y = np.vstack(right["_v"]), right["_id"].to_numpy(), right["_y"].to_numpy(float)
+        ww, out = (w**2).sum(1), []
+        for at in range(0, len(left), 512):
+            part = left.iloc[at : at + 512]
+            v = np.vstack(part["_v"])
+            gap = np.round(np.sqrt(np.maximum((v**2).sum(1)[:, None] - 2 * v @ w.T + ww, 0)), 6)
+            gap[part["_id"].to_numpy()[:, None] == ids[None]] = np.inf
+            near = np.argsort(gap, axis=1, kind="stable")[:, :k]
+            rows, d = np.repeat(part["_id"].to_numpy(), near.shape[1]), np.take_along_axis(gap, near, axis=1).ravel()
+            out.append(pd.DataFrame({"_id": rows, "_o": ids[near.ravel()], "_d": d, "_y": y[near.ravel()]})[np.isfinite(d)])
+        return pd.concat(out)
+
+    lists = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(run, f"_id {kind}, _o {base.schema[key].dataType.simpleString()}, _d double, _y double")
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_d", "_o"))
+    return lists.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_id").agg(F.avg("_y").alias("predicted")).withColumnRenamed("_id", key)
+
+
+def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: dict[str, list[str]], models: Iterable[str], model_set: str = "low_overfit") -> DataFrame:
     """Test metrics per model for every combination of modalities, each a list of features."""
     from functools import reduce
     from itertools import combinations
@@ -282,6 +217,6 @@ def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: d
     parts = []
     for n in range(1, len(groups) + 1):
         for names in combinations(groups, n):
-            found = evaluated(train, test, key, target, [f for g in names for f in groups[g]], models)
+            found = evaluated(train, test, key, target, [f for g in names for f in groups[g]], models, model_set=model_set)
             parts.append(found.groupBy("model").agg(*regression_errors("actual", "predicted")).withColumn("modalities", F.lit("+".join(names))))
     return reduce(DataFrame.unionByName, parts)

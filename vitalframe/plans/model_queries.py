@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitalframe.kernels.regressors import MODEL_SETS
 from vitalframe.operators import models as M
 from vitalframe.operators import splits as S
 from vitalframe.operators import stats as T
@@ -29,14 +30,9 @@ def _whole(s, d):
     return table(s, d, "orders").join(li, "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("glc"), "f1", "f2", "f3")
 
 
-def _study(s, d):
-    """Orders of some customers: a table of a study's size, for the queries that hold it in one task."""
-    return _whole(s, d).where("o_custkey < 60")
-
-
 register("group_kfold", lambda s, d: S.group_folds(table(s, d, "orders"), "o_custkey", 5))
-register("nested_cv", lambda s, d: M.nested_cv(_study(s, d), S.group_folds(_study(s, d), "o_custkey", 5), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "ridge", "lasso", "knn"]))
-register("nested_cv_summary", lambda s, d: M.summary(M.nested_cv(_study(s, d), S.group_folds(_study(s, d), "o_custkey", 3), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "ridge", "gpr", "svr", "rf", "gbr"])))
+register("nested_cv", lambda s, d: M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 5), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "lasso", "knn", "gpr"]))
+register("nested_cv_summary", lambda s, d: M.summary(M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 3), "o_custkey", "glc", ["f1", "f2", "f3"], list(MODEL_SETS["low_overfit"]))))
 register("personalised_loso", lambda s, d: M.personalised(_whole(s, d), "o_custkey", "o_orderstatus", "glc", ["f1", "f2"], "F", "O"))
 
 register("fold_metrics", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", (F.col("l_orderkey") % 5).alias("fold")).agg(F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("l_quantity") * 1500, F.lit(2.0)))).alias("rmse"))
@@ -51,11 +47,11 @@ SELECT vec_id, round(avg(label), 6) AS predicted FROM (SELECT *, row_number() OV
 
 
 def _parts(s, d):
-    rows = _study(s, d)
+    rows = _whole(s, d)
     return rows.where("o_custkey % 4 <> 0"), rows.where("o_custkey % 4 = 0")
 
 
-register("refit_and_test", lambda s, d: M.evaluated(*_parts(s, d), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "ridge", "knn", "gbr"]))
-register("modality_ablation", lambda s, d: M.ablation(*_parts(s, d), "o_custkey", "glc", {"ppg": ["f1"], "ecg": ["f2"], "bio": ["f3"]}, ["ridge"]))
-register("neighbour_information", lambda s, d: T.neighbour_relevance(_study(s, d), "glc", ["f1", "f2", "f3"]))
+register("refit_and_test", lambda s, d: M.evaluated(*_parts(s, d), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "ridge", "elasticnet", "huber", "quantile", "ransac", "ard"], model_set="complex"))
+register("modality_ablation", lambda s, d: M.ablation(*_parts(s, d), "o_custkey", "glc", {"ppg": ["f1"], "ecg": ["f2"], "bio": ["f3"]}, ["ridge"], "stable"))
+register("neighbour_information", lambda s, d: T.neighbour_relevance(_whole(s, d), "glc", ["f1", "f2", "f3"]))
 register("principal_components", lambda s, d: T.principal_components(_whole(s, d), "o_orderkey", ["f1", "f2", "f3"]).select("o_orderkey", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2")))
