@@ -12,8 +12,51 @@ def digamma(n: np.ndarray) -> np.ndarray:
     return harmonic[np.asarray(n, int) - 1] - np.euler_gamma
 
 
-def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 3, block: int = 512) -> float:
-    """I(X; Y) in nats, at least 0; NaN below five rows, 0 for a constant side. Distances are taken block by block."""
+def _within(s: np.ndarray, v: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """How many members of the sorted s are closer to each v than its reach, by their true distances."""
+    low, high = np.searchsorted(s, v - reach, side="left"), np.searchsorted(s, v + reach, side="right")
+    last = len(s) - 1
+    while (far := (high > 0) & (s[np.maximum(high - 1, 0)] - v >= reach)).any():
+        high -= far
+    while (near := (high <= last) & (s[np.minimum(high, last)] - v < reach)).any():
+        high += near
+    while (far := (low <= last) & (v - s[np.minimum(low, last)] >= reach)).any():
+        low += far
+    while (near := (low > 0) & (v - s[np.maximum(low - 1, 0)] < reach)).any():
+        low -= near
+    return high - low
+
+
+def neighbour_reach(x: np.ndarray, y: np.ndarray, k: int, width: int = 64, cells: int = 1 << 22) -> np.ndarray:
+    """The distance, the larger of both coordinates', of each point to its k-th nearest other one.
+
+    With points in order of x, the nearest among the `width` on either side are the nearest of all if no point beyond
+    these is closer in x alone; the others are looked at again in wider windows.
+    """
+    order = np.argsort(x, kind="stable")
+    xs, ys, n = x[order], y[order], len(x)
+    reach, left = np.empty(n), np.arange(n)
+    width = max(width, k + 1)
+    while len(left):
+        again = []
+        for part in np.array_split(left, max(1, len(left) * (2 * width + 1) // cells)):
+            at = part[:, None] + np.arange(-width, width + 1)[None]
+            inside = (at >= 0) & (at < n)
+            near = np.clip(at, 0, n - 1)
+            gap = np.maximum(np.abs(xs[near] - xs[part, None]), np.abs(ys[near] - ys[part, None]))
+            gap[~inside] = np.inf
+            found = np.partition(gap, k, axis=1)[:, k] if gap.shape[1] > k else np.full(len(part), np.inf)
+            edge = np.minimum(np.where(part - width > 0, xs[part] - xs[np.maximum(part - width, 0)], np.inf), np.where(part + width < n - 1, xs[np.minimum(part + width, n - 1)] - xs[part], np.inf))
+            reach[part] = found
+            again.append(part[found > edge])
+        left, width = np.concatenate(again), width * 4
+    out = np.empty(n)
+    out[order] = reach
+    return out
+
+
+def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """I(X; Y) in nats, at least 0; NaN below five rows, 0 for a constant side."""
     good = np.isfinite(x) & np.isfinite(y)
     x, y = x[good], y[good]
     n = len(x)
@@ -22,15 +65,9 @@ def neighbour_information(x: np.ndarray, y: np.ndarray, k: int = 3, block: int =
     if np.ptp(x) == 0 or np.ptp(y) == 0:
         return 0.0
     x, y = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-    rank = 1e-10 * np.arange(n) / n  # ties are parted by place, the same way each time
-    x, y = x + rank, y + rank[::-1]
-    sx, sy = np.sort(x), np.sort(y)
-    total = 0.0
-    for a in range(0, n, block):
-        gap = np.maximum(np.abs(x[a : a + block, None] - x), np.abs(y[a : a + block, None] - y))
-        reach = np.partition(gap, k, axis=1)[:, k]
-        inner = np.nextafter(reach, 0)
-        for s, v in ((sx, x[a : a + block]), (sy, y[a : a + block])):
-            count = np.searchsorted(s, v + inner, side="right") - np.searchsorted(s, v - inner, side="left")
-            total += digamma(np.maximum(count, 1)).sum()
+    # ties are parted by the place squared, the same way each time; a line of places would make new ones
+    square = np.arange(n, dtype=float) ** 2
+    x, y = (v + 1e-10 * (square * step % 1.0) for v, step in ((x, 0.6180339887498949), (y, 0.7548776662466927)))
+    reach = neighbour_reach(x, y, k)
+    total = sum(digamma(np.maximum(_within(np.sort(v), v, reach), 1)).sum() for v in (x, y))
     return max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - total / n))

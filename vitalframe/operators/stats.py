@@ -113,8 +113,21 @@ def average_ranks(rows: DataFrame, value: str, rank: str, keys: list[str] = [])
     return rows.join(ranks, [*keys, value])
 
 
+def variance_by_feature(long: DataFrame, subject: str) -> DataFrame:
+    """icc and within_pct of each feature of a long table, as variance_components gives them."""
+    groups = long.where(F.col("value").isNotNull() & F.col(subject).isNotNull()).groupBy("feature", subject).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("s2"))
+    n, m = F.col("n"), F.col("m")
+    t = groups.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * F.col("s2")).alias("ssw"), F.avg("n").alias("size"), (F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum("n")).alias("ssb"))
+    fine = (F.col("k") >= 2) & (F.col("total") > F.col("k"))
+    within = F.when(fine, F.try_divide("ssw", F.col("total") - F.col("k")))
+    between = F.when(fine, F.greatest(F.try_divide(F.try_divide("ssb", F.col("k") - 1) - within, F.col("size")), F.lit(0.0)))
+    return t.select("feature", F.try_divide(between, between + within).alias("icc"), (F.try_divide(within, between + within) * 100).alias("within_pct"))
+
+
 def characterised(rows: DataFrame, subject: str, target: str, features: list[str]) -> DataFrame:
-    """Per feature: Pearson, within-subject and repeated-measures correlation with the target, moments, missing share, distinct values."""
+    """Per feature: Pearson, Spearman, within-subject and repeated-measures correlation with the target, moments, missing
+    percentage, distinct values, intraclass correlation and the share of variance within subjects."""
     long = long_form(rows, [subject, target], features).withColumn("value", clean_num("value"))
     both = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
     w = Window.partitionBy("feature", subject)
@@ -123,25 +136,37 @@ def characterised(rows: DataFrame, subject: str, target: str, features: list[str
     related = inner.groupBy("feature").agg(
         safe_corr("value", target).alias("pearson"), safe_corr("_dx", "_dy").alias("centered"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"), F.count_distinct(subject).alias("k"))
-    shape = long.groupBy("feature").agg(F.avg(x.isNull().cast("double")).alias("missing"), F.count_distinct(x).alias("n_unique"))
-    made = related.join(shape, "feature")
-    return made.withColumn("rm_corr", F.when(F.col("k") >= 3, F.col("centered"))).withColumn("cv", F.try_divide("std", F.abs("mean"))).drop("k")
+    shape = long.groupBy("feature").agg((F.avg(x.isNull().cast("double")) * 100).alias("missing_pct"), F.count_distinct(x).alias("n_unique"))
+    ranked = average_ranks(average_ranks(both.select("feature", "value", target), "value", "_rx", ["feature"]), target, "_ry", ["feature"])
+    made = related.join(shape, "feature").join(variance_by_feature(long, subject), "feature", "left").join(ranked.groupBy("feature").agg(safe_corr("_rx", "_ry").alias("spearman")), "feature", "left")
+    return made.withColumn("rm_corr", F.when(F.col("k") >= 3, F.col("centered"))).withColumn("cv", F.when(F.abs("mean") > 1e-8, F.col("std") / F.abs("mean"))).drop("k")
+
+
+def judged_features(rows: DataFrame, subject: str, target: str, features: list[str], k: int = 3) -> DataFrame:
+    """The characteristics with the target's mutual information, the composite score and the interpretation, best first."""
+    made = characterised(rows, subject, target, features).join(neighbour_relevance(rows, target, features, k), "feature", "left").withColumn("mi", F.when(~F.isnan("mi"), F.col("mi")))
+    made = made.withColumn("composite_score", composite_score("rm_corr", "centered", "pearson", "spearman", "mi"))
+    return made.withColumn("interpretation", interpretation("missing_pct", "n_unique", "icc", "within_pct", "rm_corr", "centered", "pearson")).orderBy(F.desc("composite_score"))
 
 
 def composite_score(rm, centred, pearson, spearman, mi) -> Column:
     """Weighted absolute relevance; mutual information is scaled to its range over the table; missing parts count 0."""
     part = lambda c: F.coalesce(F.abs(F.col(c)), F.lit(0.0))
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # one row per feature
     scaled_mi = F.coalesce(F.try_divide(F.col(mi) - F.min(mi).over(w), F.max(mi).over(w) - F.min(mi).over(w)), F.lit(0.0))
     return 0.30 * part(rm) + 0.25 * part(centred) + 0.20 * part(pearson) + 0.15 * part(spearman) + 0.10 * scaled_mi
 
 
-def interpretation(within, pearson, icc) -> Column:
-    """An ordered reading of how a feature relates to the target and to the subject."""
-    w, p, i = F.abs(F.col(within)), F.abs(F.col(pearson)), F.col(icc)
+def interpretation(missing, unique, icc, within, rm, centred, pearson) -> Column:
+    """The first rule that a feature meets; a missing correlation counts 0, a missing share meets no rule."""
+    r, c, p = (F.coalesce(F.abs(F.col(x)), F.lit(0.0)) for x in (rm, centred, pearson))
+    i, w = F.col(icc), F.col(within)
+    # The thresholds and labels of the rules.
     return (
-        F.when(w.isNull() & p.isNull(), "undetermined").when((w >= 0.5) & (p >= 0.5), "strong overall").when(w >= 0.5, "strong within subject")
-        .when((p >= 0.5) & (i >= 0.75), "subject marker").when(p >= 0.5, "strong between subjects").when((w >= 0.3) | (p >= 0.3), "moderate").otherwise("weak"))
+        F.when(F.col(missing) >= 40, "High missingness").when(F.col(unique) <= 3, "Low-resolution / near-constant feature")
+        .when((i >= 0.75) & (r < 0.2) & (c < 0.2), "Mostly subject-specific").when((r >= 0.3) & (w >= 50), "Dynamic biomarker")
+        .when((r >= 0.3) & (i >= 0.5), "Dynamic with strong subject baseline").when((p >= 0.3) & (c < 0.15) & (i >= 0.6), "Mostly between-subject association")
+        .otherwise("Mixed behavior"))
 
 
 def equal_frequency_edges(rows: DataFrame, value: str, bins: int) -> list[float]:
@@ -189,6 +214,47 @@ def mrmr(rows: DataFrame, target: str, features: list[str], k: int) -> list[str]
     return select_mrmr(relevance, pairs, k)
 
 
+def relevance_report(rows: DataFrame, target: str, features: list[str], k: int = 3) -> DataFrame:
+    """Per feature the correlation with the target, its absolute value and the mutual information, most informative first."""
+    long = long_form(rows, [target], features)
+    found = long.groupBy("feature").agg(safe_corr("value", target).alias("r")).join(neighbour_relevance(rows, target, features, k), "feature")
+    return found.withColumn("abs_r", F.abs("r")).orderBy(F.desc("mi"), F.desc("abs_r"))
+
+
+def information_matrix(rows: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(feature_1, feature_2, mi) for every pair of features; each pair is a group of its own."""
+    import pandas as pd
+
+    from vitalframe.kernels.information import neighbour_information
+
+    pairs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), clean_num(a).alias("x"), clean_num(b).alias("y")) for i, a in enumerate(features) for b in features[i + 1 :]]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x"], kind="stable")
+        return pd.DataFrame({"feature_1": part["feature_1"].iloc[:1], "feature_2": part["feature_2"].iloc[:1], "mi": [neighbour_information(part["x"].to_numpy(float), part["y"].to_numpy(float), k)]})
+
+    return rows.select(F.inline(F.array(*pairs))).where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature_1", "feature_2").applyInPandas(run, "feature_1 string, feature_2 string, mi double")
+
+
+def reduced_features(train: DataFrame, features: list[str], least: float = 0.95, tolerance: float = 1e-10) -> tuple[list[str], DataFrame]:
+    """The statistics driver: features that are no line of an earlier one, and the report on all highly correlated pairs."""
+    scaled_rows = scaled(train.select(*features), features)
+    close = near_duplicate_pairs(feature_pairs(scaled_rows, features), least)
+    lines = affine_pairs(scaled_rows, close, features, tolerance)
+    report = close.join(lines, ["feature_1", "feature_2"], "left")
+    gone = {r["feature_2"] for r in lines.where("affine").select("feature_2").distinct().collect()}  # names of features
+    return [f for f in features if f not in gone], report
+
+
+def selected_features(train: DataFrame, test: DataFrame, target: str, features: list[str], k: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The selection driver: drop lines of other features, choose k by mRMR on the training rows alone, and cut both tables
+    to the chosen features and all columns that are no features. k below 1 keeps every feature that is left."""
+    left, _ = reduced_features(train, features)
+    chosen = mrmr(scaled(train, left), target, left, k) if k > 0 else left
+    others = [c for c in train.columns if c not in features]
+    return train.select(*chosen, *others), test.select(*chosen, *[c for c in others if c in test.columns]), chosen
+
+
 def neighbour_relevance(rows: DataFrame, target: str, features: list[str], k: int = 3) -> DataFrame:
     """(feature, mi): mutual information of each feature with the target, one task per feature of a study's table."""
     import pandas as pd

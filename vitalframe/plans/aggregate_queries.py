@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators import aggregates as A
 from vitalframe.operators import segments as S
+from vitalframe.operators.ordering import exact_quantiles
 from vitalframe.plans.catalog import register
 from vitalframe.plans.roles import FS, MODALITY_SAMPLES_SQL, SAMPLES_SQL, modality_samples, samples, table
 
@@ -80,13 +81,13 @@ FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_totalprice FROM orders) GROUP
 
 
 def _full_stats(s, d):
-    glc = A.target_stats(table(s, d, "orders").where("o_custkey < 200"), ["o_custkey", "o_orderkey"], "o_custkey", "o_totalprice").withColumnRenamed("o_custkey", "id")
+    glc = A.target_stats(table(s, d, "orders"), ["o_custkey", "o_orderkey"], "o_custkey", "o_totalprice").withColumnRenamed("o_custkey", "id")
     sqi = A.pivoted_stats(samples(s, d), "file_id", "modality", "q", ["view"]).withColumnRenamed("file_id", "id")
     return _round(glc.join(sqi, "id", "full"), "target_mean", "target_std", "sqi_view_mean", "sqi_view_std").fillna({"n_segments": 0})
 
 
 register("target_and_quality", _full_stats, f"""
-WITH {SAMPLES_SQL}, g AS (SELECT o_custkey AS id, round(avg(o_totalprice), 6) AS target_mean, round(stddev_pop(o_totalprice), 6) AS target_std FROM orders WHERE o_custkey < 200 GROUP BY 1),
+WITH {SAMPLES_SQL}, g AS (SELECT o_custkey AS id, round(avg(o_totalprice), 6) AS target_mean, round(stddev_pop(o_totalprice), 6) AS target_std FROM orders GROUP BY 1),
 p AS (SELECT file_id AS id, round(avg(q) FILTER (modality = 'view'), 6) AS sqi_view_mean, round(stddev_pop(q) FILTER (modality = 'view'), 6) AS sqi_view_std, count(q) AS n_segments FROM s GROUP BY 1)
 SELECT id, target_mean, target_std, sqi_view_mean, sqi_view_std, coalesce(n_segments, 0) AS n_segments FROM g FULL JOIN p USING (id)""")
 
@@ -116,5 +117,5 @@ SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS mse FROM lineite
 register("regression_metrics", lambda s, d: _round(table(s, d, "lineitem").groupBy("l_returnflag").agg(*A.regression_errors("l_extendedprice", F.col("l_quantity") * 1500)), "rmse", "mae", "bias", "r2", digits=4), """
 WITH e AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500 - l_extendedprice AS e FROM lineitem)
 SELECT l_returnflag, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, round(1 - sum(e * e) / (var_pop(y) * count(*)), 4) AS r2, round(avg(e), 4) AS bias FROM e GROUP BY 1""")
-register("target_thresholds", lambda s, d: table(s, d, "orders").agg(F.round(F.percentile("o_totalprice", F.lit(0.33)), 4).alias("low"), F.round(F.percentile("o_totalprice", F.lit(0.66)), 4).alias("high")), """
+register("target_thresholds", lambda s, d: exact_quantiles(table(s, d, "orders"), "o_totalprice", [0.33, 0.66]).agg(F.round(F.min("quantile"), 4).alias("low"), F.round(F.max("quantile"), 4).alias("high")), """
 SELECT round(quantile_cont(o_totalprice, 0.33), 4) AS low, round(quantile_cont(o_totalprice, 0.66), 4) AS high FROM orders""")

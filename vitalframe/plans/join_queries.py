@@ -10,9 +10,9 @@ from vitalframe.plans.roles import SAMPLES_SQL, samples, table
 
 register("left_join_metadata", lambda s, d: J.with_metadata(
     table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_extendedprice"),
-    table(s, d, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey", ["o_custkey", "o_orderstatus"]).fillna({"o_custkey": -1}), """
+    table(s, d, "orders"), "o_orderkey", ["o_custkey", "o_orderstatus"]).fillna({"o_custkey": -1}), """
 SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey, l_extendedprice, coalesce(o_custkey, -1) AS o_custkey, o_orderstatus
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) ON l_orderkey = o_orderkey""")
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""")
 
 register("unmatched_files", lambda s, d: J.unmatched(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), table(s, d, "customer").where("c_acctbal > 0"), "c_custkey"), """
 SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 0 AND c_custkey = o_custkey)""")

@@ -65,23 +65,64 @@ SELECT round(corr(a, b), 6) AS rho FROM r""")
 register("unique_values", lambda s, d: T.long_form(table(s, d, "lineitem"), [], FEATURES).groupBy("feature").agg(F.count_distinct("value").alias("n_unique"), F.round(F.log2(F.count_distinct("value")), 6).alias("bits")), "WITH " + "u AS (" + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, {f} AS v FROM lineitem" for f in FEATURES) + ") SELECT feature, count(DISTINCT v) AS n_unique, round(log2(count(DISTINCT v)), 6) AS bits FROM u GROUP BY 1")
 
-_CHAR = ["pearson", "centered", "mean", "std", "skew", "kurt", "missing", "rm_corr", "cv"]
+_CHAR = ["pearson", "spearman", "centered", "mean", "std", "skew", "kurt", "missing_pct", "rm_corr", "cv", "icc", "within_pct"]
+
+
+def _char_sql(source: str, subject: str, target: str, features: dict[str, str]) -> str:
+    """Common tables up to f, one row per feature; source is a table, features are names with expressions."""
+    union = " UNION ALL ".join(f"SELECT {subject} AS k, {target} AS y, '{n}' AS feature, ({e})::DOUBLE AS x FROM {source}" for n, e in features.items())
+    return f"""u AS ({union}),
+c AS (SELECT *, x - avg(x) OVER (PARTITION BY feature, k) AS dx, y - avg(y) OVER (PARTITION BY feature, k) AS dy,
+      rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS ry FROM u WHERE x IS NOT NULL),
+g AS (SELECT feature, k, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM c GROUP BY 1, 2),
+t AS (SELECT feature, count(*) AS k, sum(n) AS total, sum(n * v) / (sum(n) - count(*)) AS msw, avg(n) AS size, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS msb FROM g GROUP BY 1),
+i AS (SELECT feature, greatest((msb - msw) / size, 0) AS sb, msw FROM t),
+f AS (SELECT feature, corr(x, y) AS pearson, corr(rx, ry) AS spearman, corr(dx, dy) AS centered, avg(x) AS mean, stddev_samp(x) AS std, skewness(x) AS skew, kurtosis(x) AS kurt, count(DISTINCT x) AS n_unique, corr(dx, dy) AS rm_corr,
+      stddev_samp(x) / abs(avg(x)) AS cv, any_value(sb / (sb + msw)) AS icc, any_value(msw / (sb + msw) * 100) AS within_pct, any_value(missing) AS missing_pct
+      FROM c JOIN i USING (feature) JOIN (SELECT feature, avg((x IS NULL)::INT) * 100 AS missing FROM u GROUP BY 1) USING (feature) GROUP BY 1)"""
 
 
 def _characterised(s, d):
-    rows = table(s, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    rows = table(s, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity", F.when(F.col("l_partkey") % 5 > 0, F.col("l_discount")).alias("l_discount"), "l_tax")
     return T.characterised(rows, "l_suppkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
 
-_CHAR_SQL = "u AS (" + " UNION ALL ".join(f"SELECT l_suppkey AS k, l_extendedprice AS y, '{f}' AS feature, {f} AS x FROM lineitem" for f in ("l_quantity", "l_discount", "l_tax")) + """),
-c AS (SELECT *, x - avg(x) OVER (PARTITION BY feature, k) AS dx, y - avg(y) OVER (PARTITION BY feature, k) AS dy FROM u),
-f AS (SELECT feature, corr(x, y) AS pearson, corr(dx, dy) AS centered, avg(x) AS mean, stddev_samp(x) AS std, skewness(x) AS skew, kurtosis(x) AS kurt, 0.0::DOUBLE AS missing, count(DISTINCT x) AS n_unique, corr(dx, dy) AS rm_corr, stddev_samp(x) / abs(avg(x)) AS cv FROM c GROUP BY 1)"""
-register("characterised_features", lambda s, d: _characterised(s, d).select("feature", "n_unique", *[F.round(c, 5).alias(c) for c in _CHAR]), f"WITH {_CHAR_SQL} SELECT feature, n_unique, " + ", ".join(f"round({c}, 5) AS {c}" for c in _CHAR) + " FROM f")
-register("composite_score", lambda s, d: _characterised(s, d).withColumn("mi", F.col("std")).select("feature", F.round(T.composite_score("rm_corr", "centered", "pearson", "pearson", "mi"), 6).alias("score")), f"""
-WITH {_CHAR_SQL} SELECT feature, round(0.3 * abs(rm_corr) + 0.25 * abs(centered) + 0.2 * abs(pearson) + 0.15 * abs(pearson) + 0.1 * (std - min(std) OVER ()) / (max(std) OVER () - min(std) OVER ()), 6) AS score FROM f""")
-register("interpretation", lambda s, d: _characterised(s, d).select("feature", T.interpretation("centered", "pearson", "missing").alias("label")), f"""
-WITH {_CHAR_SQL} SELECT feature, CASE WHEN abs(centered) >= 0.5 AND abs(pearson) >= 0.5 THEN 'strong overall' WHEN abs(centered) >= 0.5 THEN 'strong within subject' WHEN abs(pearson) >= 0.5 AND missing >= 0.75 THEN 'subject marker'
-WHEN abs(pearson) >= 0.5 THEN 'strong between subjects' WHEN abs(centered) >= 0.3 OR abs(pearson) >= 0.3 THEN 'moderate' ELSE 'weak' END AS label FROM f""")
+register("characterised_features", lambda s, d: _characterised(s, d).select("feature", "n_unique", *[F.round(c, 5).alias(c) for c in _CHAR]), "WITH " + _char_sql(
+    "lineitem", "l_suppkey", "l_extendedprice", {"l_quantity": "l_quantity", "l_discount": "CASE WHEN l_partkey % 5 > 0 THEN l_discount END", "l_tax": "l_tax"}) + " SELECT feature, n_unique, " + ", ".join(f"round({c}, 5) AS {c}" for c in _CHAR) + " FROM f")
+
+#: Features of the parts table, whose size lets SQL compare every pair of rows.
+_PART = {"size": "p_size", "retail": "p_retailprice * 2", "shift": "p_partkey % 97", "half": "CASE WHEN p_partkey % 2 = 0 THEN p_size END", "flag": "p_partkey % 2", "line": "p_size * 3 + 1"}
+
+
+def _parts_table(s, d):
+    return table(s, d, "part").select(F.col("p_brand"), (F.col("p_retailprice") + F.col("p_size") * 9).alias("y"), *[F.expr(e).cast("double").alias(n) for n, e in _PART.items()])
+
+
+#: Mutual information by the third nearest neighbour: p has i and n by (feature), d the reach, m the counts within it.
+_NEAR_SQL = """
+v AS (SELECT feature, x, y, row_number() OVER (PARTITION BY feature ORDER BY y, x) - 1 AS i, count(*) OVER (PARTITION BY feature) AS n, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sx, avg(y) OVER w AS my, stddev_pop(y) OVER w AS sy
+      FROM q WINDOW w AS (PARTITION BY feature)),
+p AS (SELECT feature, i, n, (x - mx) / sx + 1e-10::DOUBLE * ((i * i)::DOUBLE * 0.6180339887498949::DOUBLE % 1) AS x, (y - my) / sy + 1e-10::DOUBLE * ((i * i)::DOUBLE * 0.7548776662466927::DOUBLE % 1) AS y FROM v),
+d AS (SELECT a.feature, a.i, any_value(a.n) AS n, any_value(a.x) AS x, any_value(a.y) AS y, list_sort(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3))[3] AS reach FROM p a JOIN p b ON a.feature = b.feature AND a.i <> b.i GROUP BY 1, 2),
+m AS (SELECT d.feature, d.i, any_value(d.n) AS n, count(*) FILTER (abs(d.x - p.x) < d.reach) AS nx, count(*) FILTER (abs(d.y - p.y) < d.reach) AS ny FROM d JOIN p ON d.feature = p.feature GROUP BY 1, 2),
+h AS (SELECT r AS at, sum(1.0::DOUBLE / greatest(r - 1, 1)) OVER (ORDER BY r) - 1 - 0.5772156649015329::DOUBLE AS psi FROM (SELECT unnest(range(1, (SELECT max(n) + 2 FROM m))) AS r)),
+mi AS (SELECT m.feature, greatest(0, any_value(k.psi) + any_value(t.psi) - avg(a.psi + b.psi)) AS mi FROM m JOIN h a ON a.at = m.nx JOIN h b ON b.at = m.ny JOIN h t ON t.at = m.n JOIN h k ON k.at = 3 GROUP BY 1)"""
+_PART_SQL = "part_y AS (SELECT *, p_retailprice + p_size * 9 AS y FROM part), " + _char_sql("part_y", "p_brand", "y", _PART) + ", q AS (SELECT feature, x, y FROM c)," + _NEAR_SQL
+_SCORED = """, s AS (SELECT *, 0.3 * abs(coalesce(rm_corr, 0)) + 0.25 * abs(coalesce(centered, 0)) + 0.2 * abs(coalesce(pearson, 0)) + 0.15 * abs(coalesce(spearman, 0)) + 0.1 * (mi - min(mi) OVER ()) / (max(mi) OVER () - min(mi) OVER ()) AS score FROM f JOIN mi USING (feature))"""
+register("composite_score", lambda s, d: T.judged_features(_parts_table(s, d), "p_brand", "y", list(_PART)).select("feature", F.round("mi", 6).alias("mi"), F.round("composite_score", 6).alias("score")), f"""
+WITH {_PART_SQL}{_SCORED} SELECT feature, round(mi, 6) AS mi, round(score, 6) AS score FROM s""")
+register("interpretation", lambda s, d: T.judged_features(_parts_table(s, d), "p_brand", "y", list(_PART)).select("feature", F.col("interpretation").alias("label")), f"""
+WITH {_PART_SQL} SELECT feature, CASE WHEN missing_pct >= 40 THEN 'High missingness' WHEN n_unique <= 3 THEN 'Low-resolution / near-constant feature'
+WHEN icc >= 0.75 AND abs(coalesce(rm_corr, 0)) < 0.2 AND abs(coalesce(centered, 0)) < 0.2 THEN 'Mostly subject-specific' WHEN abs(coalesce(rm_corr, 0)) >= 0.3 AND within_pct >= 50 THEN 'Dynamic biomarker'
+WHEN abs(coalesce(rm_corr, 0)) >= 0.3 AND icc >= 0.5 THEN 'Dynamic with strong subject baseline' WHEN abs(coalesce(pearson, 0)) >= 0.3 AND abs(coalesce(centered, 0)) < 0.15 AND icc >= 0.6 THEN 'Mostly between-subject association' ELSE 'Mixed behavior' END AS label FROM f""")
+register("target_relevance", lambda s, d: T.relevance_report(_parts_table(s, d), "y", list(_PART)).select("feature", F.round("r", 6).alias("r"), F.round("mi", 6).alias("mi")), f"""
+WITH {_PART_SQL} SELECT feature, round(pearson, 6) AS r, round(mi, 6) AS mi FROM f JOIN mi USING (feature)""")
+register("information_matrix", lambda s, d: T.information_matrix(_parts_table(s, d), ["size", "retail", "shift"]).withColumn("mi", F.round("mi", 6)), f"""
+WITH q AS (SELECT 'size|retail' AS feature, p_size::DOUBLE AS x, p_retailprice * 2::DOUBLE AS y FROM part UNION ALL SELECT 'size|shift', p_size, p_partkey % 97 FROM part UNION ALL SELECT 'retail|shift', p_retailprice * 2, p_partkey % 97 FROM part),{_NEAR_SQL}
+SELECT split_part(feature, '|', 1) AS feature_1, split_part(feature, '|', 2) AS feature_2, round(mi, 6) AS mi FROM mi""")
+register("reduced_features", lambda s, d: T.reduced_features(_parts_table(s, d), list(_PART))[1].select("feature_1", "feature_2", F.round("r", 6).alias("r"), "affine"), "WITH x AS (SELECT " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in _PART.items()) + " FROM part), p AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {a} AS x, {b} AS y FROM x" for i, a in enumerate(_PART) for b in list(_PART)[i + 1 :]) + """), l AS (SELECT feature_1, feature_2, corr(x, y) AS r, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, stddev_pop(y) AS sy FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2 HAVING stddev_pop(x) > 0 AND stddev_pop(y) > 0 AND abs(corr(x, y)) >= 0.95)
+SELECT feature_1, feature_2, round(any_value(r), 6) AS r, max(abs(y - a * x - b) / sy) < 1e-10 AS affine FROM p JOIN l USING (feature_1, feature_2) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""")
 
 
 def _bucketed(s, d):
@@ -108,6 +149,11 @@ def _residual(s, d):
 register("partial_correlation", _residual, """
 WITH l AS (SELECT regr_slope(l_extendedprice, l_quantity) AS sy, regr_intercept(l_extendedprice, l_quantity) AS iy, regr_slope(l_tax, l_quantity) AS sx, regr_intercept(l_tax, l_quantity) AS ix FROM lineitem)
 SELECT round(corr(l_extendedprice - sy * l_quantity - iy, l_tax - sx * l_quantity - ix), 6) AS partial FROM lineitem, l""")
-register("target_relevance", lambda s, d: T.long_form(table(s, d, "lineitem"), ["l_extendedprice"], ["l_quantity", "l_discount", "l_tax"]).groupBy("feature").agg(F.round(safe_corr("value", "l_extendedprice"), 6).alias("r")).orderBy(F.abs("r").desc()), "WITH u AS (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {f} AS v, l_extendedprice AS y FROM lineitem" for f in ("l_quantity", "l_discount", "l_tax")) + ") SELECT feature, round(corr(v, y), 6) AS r FROM u GROUP BY 1")
-register("mrmr_selection", lambda s, d: s.createDataFrame([(i, f) for i, f in enumerate(T.mrmr(_related(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "line", "negated"], 3))], "place int, feature string"))
+_MRMR = ["l_quantity", "l_discount", "l_tax", "line", "negated"]
+register("mrmr_selection", lambda s, d: s.createDataFrame([(i, f) for i, f in enumerate(T.mrmr(_related(s, d), "l_extendedprice", _MRMR, 3))], "place int, feature string"), f"""
+WITH {_PAIRS_SQL}, c AS (SELECT feature_1, feature_2, abs(corr(x, y)) AS r FROM p GROUP BY 1, 2), b AS (SELECT feature_1, feature_2, r FROM c UNION ALL SELECT feature_2, feature_1, r FROM c),
+v AS (SELECT feature_2 AS f, r * r / greatest(1e-12, 1 - r * r) * (SELECT count(*) - 2 FROM x) AS v FROM b WHERE feature_1 = 'l_extendedprice'),
+one AS (SELECT arg_max(f, (v, f)) AS f FROM v),
+two AS (SELECT arg_max(v.f, (v / greatest(r, 1e-3), v.f)) AS f FROM v JOIN one ON v.f <> one.f JOIN b ON feature_1 = v.f AND feature_2 = one.f),
+three AS (SELECT arg_max(f, (s, f)) AS f FROM (SELECT v.f, any_value(v) / greatest(avg(r), 1e-3) AS s FROM v JOIN b ON feature_1 = v.f AND feature_2 IN (SELECT f FROM one UNION ALL SELECT f FROM two) WHERE v.f NOT IN (SELECT f FROM one UNION ALL SELECT f FROM two) GROUP BY 1))
+SELECT 0 AS place, f AS feature FROM one UNION ALL SELECT 1, f FROM two UNION ALL SELECT 2, f FROM three""")
