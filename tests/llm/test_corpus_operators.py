@@ -507,6 +507,46 @@ def test_personal_data(spark, docs, rows):
             assert [x.split(":")[0] for x in own] == ["secret"]
 
 
+def test_added_spans_on_labelled_rows(spark):
+    """Recall and precision of the spans that the method adds, by kind, on rows with planted and with misleading spans."""
+    import random
+
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def iban():
+        body = digits(18)
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check:02d}{body}"
+
+    true = {
+        "secret": lambda: rng.choice(['api token = "{}" set', "password: '{}' (rotated)", "the key {} was revoked"]).replace("{}", hashlib.sha1(digits(9).encode()).hexdigest()),
+        "ssn": lambda: rng.choice(["ssn {} on file", "her social security number {} was", "tax identity no {}"]).replace("{}", f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
+        "iban": lambda: rng.choice(["transfer to iban {} today", "pay into account {} please", "bank: {}"]).replace("{}", iban()),
+        "local_phone": lambda: rng.choice(["call {} today", "tel {} or mail", "reach me at {} ext"]).replace("{}", f"({rng.randrange(212, 290)}) {rng.randrange(312, 390)}-{digits(4)}"),
+        "address": lambda: rng.choice(["lives at {} now", "mail it to {} suite", "our office in {} is"]).replace("{}", f"{rng.randrange(1, 999)} {rng.choice(['Oak', 'Maple Grove', 'Old Mill'])} {rng.choice(['Street', 'Avenue', 'Lane'])}"),
+        "name": lambda: rng.choice(["dear {}, we", "signed by {} himself", "the patient {} said"]).replace("{}", f"{rng.choice(['Mary', 'Hans', 'Camille', 'Lucía', 'Dr. Alan'])} {rng.choice(['Weber', 'Johnson', 'Morel', 'Ortega'])}"),
+    }
+    false = [
+        lambda: f"part 000-{digits(2)}-{digits(4)} shipped", lambda: f"serial DE00{digits(18)} in stock", lambda: f"ratio 011-{rng.randrange(100, 199)}-{digits(4)} measured", lambda: "padding " + "a" * 40 + " end", lambda: f"code XX12{'Z' * 16} here",
+        lambda: "The General Public License", lambda: "Anna University of software", lambda: f"sum 911 411-{digits(4)} of", lambda: "zeros " + "0" * 32 + " end",
+    ]
+    fill = lambda n: " ".join(rng.choices(["lorem", "ipsum", "dolor", "sit", "amet", "viso", "nunc"], k=n))
+    rows, want = [], {}
+    for i in range(900):
+        kind = list(true)[i % 6] if i % 3 else None
+        middle = true[kind]() if kind else rng.choice(false)()
+        want[i] = kind
+        rows.append((i, f"{fill(rng.randrange(3, 30))} {middle} {fill(rng.randrange(3, 30))}"))
+    found = {r["doc_id"]: [x for x in r["spans"].split(",") if x and x.split(":")[0] in pii.ADDED] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in true:
+        planted = [i for i, k in want.items() if k == kind]
+        hit = [i for i in planted if any(x.startswith(kind + ":") for x in found[i])]
+        assert len(hit) >= 0.9 * len(planted), (kind, len(hit), len(planted))
+    wrong = sum(len([x for x in xs if x.split(":")[0] != want[i]]) for i, xs in found.items())
+    assert wrong <= 0.1 * sum(map(len, found.values())), wrong
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "at a@b.co and 10.0.0.1!", "en"), (2, None, "en"), (3, "clean", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}

@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Four base kinds are found by fixed patterns. Beyond them, proposers mark candidate spans (secrets, social security
-numbers, bank accounts, phone numbers without a country, titled names). Regex, gazetteer and context labelers vote on
-each candidate. Only the counts of vote patterns, a few hundred at most, reach the driver; expectation-maximisation
-there estimates how reliable each labeler is, without labels, and its posteriors train a logistic span classifier.
-The classifier is one expression over votes, so the final pass is again a plain projection. No row is ever shuffled.
+numbers, bank accounts, phone numbers without a country, street addresses, names). Shape and checksum rules, gazetteers
+and labelers of the context before and after vote on each candidate. Only the counts of vote patterns, whose number the
+labelers bound, reach the driver; expectation-maximisation there estimates how reliable each labeler is, without labels,
+and its posteriors train a logistic span classifier. The classifier is one expression over votes, so the final pass is
+again a plain projection. No row is ever shuffled.
 
 Positions: splitting at a pattern gives the texts between its matches, so starts are running sums of lengths.
 Patterns use possessive loops, which match the same spans as greedy ones here and never recurse on long runs.
@@ -37,28 +38,45 @@ PATTERNS = {
 #: A character that every match of the kind has.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BASE = tuple(PATTERNS)
+#: Given names that are frequent in English, German, French and Spanish, a public-knowledge gazetteer.
+GIVEN = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Betty Sandra Ashley Dorothy Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Alice "
+    "Hans Peter Wolfgang Klaus Jürgen Dieter Manfred Uwe Stefan Andreas Matthias Jens Ursula Monika Petra Sabine Renate Helga Karin Brigitte Ingrid Anna Julia Katharina "
+    "Jean Pierre Michel André Philippe Alain Bernard Jacques François Nicolas Laurent Marie Nathalie Isabelle Sylvie Catherine Monique Françoise Camille Chloé "
+    "José Antonio Juan Manuel Francisco Luis Javier Carlos Miguel Pedro Alejandro Fernando María Carmen Josefa Isabel Dolores Pilar Teresa Lucía Elena Sofía"
+).split()
+#: The length of an international bank account number by its country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
+_TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora"
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way"
 #: Proposers of further spans, in order of preference where they overlap.
 PROPOSERS = {
-    "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])|(?<=[=:] ?[\"'])[A-Za-z0-9+/_-]{20,}+(?=[\"'])",
+    "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])|(?<=[=:] ?[\"'])[A-Za-z0-9+/_-]{20,}+(?=[\"'])|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?+",
+    "address": rf"(?<![0-9A-Za-z])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{_STREETS})(?![A-Za-z])",
+    "name": rf"(?<![A-Za-z])(?:(?:{_TITLES})\.? [A-Z]\p{{Ll}}{{1,30}}+(?: [A-Z]\p{{Ll}}{{1,30}}+)?+|(?:{'|'.join(GIVEN)})(?: [A-Z]\.)? [A-Z]\p{{Ll}}{{1,30}}+)(?![A-Za-z])",
 }
 ADDED = tuple(PROPOSERS)
-#: Cue words of the gazetteer and context labelers by kind.
+#: Cue words of the context labelers by kind: what may stand close before a span, anywhere in the context before it, and after it.
 CUES = {
-    "secret": "token|secret|password|passwd|pwd|key|bearer|auth",
-    "ssn": "ssn|social|security|insurance",
-    "iban": "iban|account|bank|konto|cuenta|compte",
-    "local_phone": "tel|phone|call|mobile|cell|fax",
-    "name": "dear|name|patient|contact|signed|author|from|to",
+    "secret": ("token|secret|password|passwd|pwd|key|bearer|auth", "credential|login|api|access|private", "expires|revoked|rotated"),
+    "ssn": ("ssn|social|security|number|no", "insurance|tax|identity", "on file|born|dob"),
+    "iban": ("iban|account|konto|cuenta|compte", "bank|transfer|pay|payment|überweisung", "bic|swift|eur"),
+    "local_phone": ("tel|phone|call|mobile|cell|fax|at", "contact|reach|dial|ring|text", "ext|extension|mobile|fax"),
+    "address": ("at|address|lives|resides|to|in", "ship|mail|visit|home|office|deliver", "apt|suite|floor|[0-9]{5}"),
+    "name": ("dear|name|patient|contact|signed|author|from|by|is|hello|hi", "customer|client|employee|met|called|wrote|regards", "wrote|said|born|lives|works|called"),
 }
 #: Words that are names' or secrets' unlikely content.
-COMMON = "the|and|of|public|general|license|example|test|sample|lorem"
-#: Characters looked at before and after a candidate.
-CONTEXT = 24
-LABELERS = ("shape", "assigned", "cue", "quoted", "common", "repeats")
+COMMON = "the|and|of|public|general|license|example|test|sample|lorem|software|copyright|university|street|version"
+#: Characters looked at before a candidate, right before it, and after it.
+CONTEXT, NEAR, AFTER = 48, 16, 24
+LABELERS = ("shape", "checksum", "gazetteer", "near", "far", "after", "assigned", "quoted", "common", "repeats")
 #: Matches whose positions are summed in one run; runs are chained.
 RUN = 256
 #: EM and training steps; the added weight of each labeler's prior.
@@ -132,7 +150,7 @@ def spans_by_kind(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def judged(k: str, rank: int) -> Column:
         def one(x: Column) -> Column:
             left = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))))
-            right = F.substring(F.col("text"), x["end"] + 1, F.lit(2))
+            right = F.lower(F.substring(F.col("text"), x["end"] + 1, F.lit(AFTER)))
             return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(k).alias("kind"), _votes(k, x["body"], left, right).alias("votes"))
 
         apart = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -141,21 +159,50 @@ def spans_by_kind(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "base", F.array_sort(F.concat(*[judged(k, len(BASE) + i) for i, k in enumerate(ADDED)])).alias("more"))
 
 
+def _mod97(body: Column) -> Column:
+    """The remainder of an account number's check, letters counting from 10 and the first four characters last."""
+    plain = F.regexp_replace(body, " ", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 60), F.substring(plain, 1, 4)), "")
+
+    def step(s: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(c == "", s).when(code < 58, (s * 10 + code - 48) % 97).otherwise((s * 100 + code - 55) % 97)
+
+    return F.aggregate(turned, F.lit(0), step)
+
+
+def _checks(kind: str, body: Column) -> tuple[Column, Column, Column]:
+    """The votes of the shape, checksum and gazetteer labelers."""
+    none, given = F.lit("0"), "|".join(GIVEN)
+    if kind == "secret":
+        mixed = F.length(body).isin(32, 40, 64, 128) & body.rlike("[0-9]") & body.rlike("[A-Za-z]")
+        spread = F.size(F.array_distinct(F.split(F.lower(body), "")))
+        return F.when(mixed, "+").when(F.length(body) >= 24, "0").otherwise("-"), F.when(spread >= 11, "+").when(spread <= 6, "-").otherwise("0"), F.when(body.rlike("^(?:AKIA|gh[pousr]_|sk_|xox)"), "+").otherwise("0")
+    if kind == "ssn":
+        return F.when(body.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "+").otherwise("-"), none, F.when(body.isin("123-45-6789", "078-05-1120", "219-09-9999"), "0").otherwise("+")
+    if kind == "iban":
+        size = F.length(F.regexp_replace(body, " ", ""))
+        known = F.element_at(F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv]), F.substring(body, 1, 2))
+        return F.when(size.between(15, 34), "+").otherwise("-"), F.when(_mod97(body) == 1, "+").otherwise("-"), F.when(known == size, "+").when(known.isNull(), "0").otherwise("-")
+    if kind == "local_phone":
+        # Area and exchange codes start with 2 to 9, and neither is a service code such as 411.
+        return F.when(body.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}"), "+").otherwise("-"), none, F.when(body.rlike(r"^\(?[0-9]11|[ .-][0-9]11[.-]"), "-").otherwise("+")
+    if kind == "address":
+        return F.when(body.rlike(r"^[1-9][0-9]{0,4} "), "+").otherwise("-"), none, F.when(body.rlike("(?:Street|Avenue|Road|Lane|Drive|Boulevard)$"), "+").otherwise("0")
+    return F.when(body.rlike(rf"^(?:{_TITLES})\b.* .* |^(?!(?:{_TITLES})\b)"), "+").otherwise("0"), none, F.when(body.rlike(rf"(?:^| )(?:{given}) "), "+").otherwise("0")
+
+
 def _votes(kind: str, body: Column, left: Column, right: Column) -> Column:
-    """One sign for each of LABELERS: '+' for personal, '-' against, '0' for none."""
-    shape = {
-        "secret": F.when(F.length(body).isin(32, 40, 64, 128) & body.rlike("[0-9]") & body.rlike("[A-Za-z]"), "+").when(F.length(body) >= 24, "0").otherwise("-"),
-        "ssn": F.when(body.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "+").otherwise("-"),
-        "iban": F.when(F.length(body).between(15, 34), "+").otherwise("-"),
-        "local_phone": F.when(body.rlike(r"^\(?[2-9]"), "+").otherwise("0"),
-        "name": F.when(body.rlike(r" [A-Z][a-z]+ [A-Z][a-z]+$"), "+").otherwise("0"),
-    }[kind]
-    assigned = F.when(left.rlike(r"[=:]\s*[\"']?$"), "+").otherwise("0")
-    cue = F.when(left.rlike(rf"(?:^|[^a-z])(?:{CUES[kind]})[^a-z]*$"), "+").when(left.rlike(rf"(?:^|[^a-z])(?:{CUES[kind]})(?:[^a-z]|$)"), "+").otherwise("-")
-    quoted = F.when(left.rlike(r"[\"']$") & right.rlike(r"^[\"']"), "+").otherwise("0")
-    common = F.when(F.lower(body).rlike(rf"(?:^|[^a-z])(?:{COMMON})(?:[^a-z]|$)"), "-").otherwise("0")
-    repeats = F.when(body.rlike(r"^(.)\1*$") | body.rlike(r"(.)\1{5}"), "-").otherwise("0" if kind == "name" else "+")
-    return F.concat(shape, assigned, cue, quoted, common, repeats)
+    """One sign for each of LABELERS: '+' for personal, '-' against, '0' for none. Each labeler looks at something of its own."""
+    near, far, after = CUES[kind]
+    word = lambda x: rf"(?:^|[^a-z])(?:{x})(?:[^a-z]|$)"
+    close = F.substring(left, -NEAR, NEAR)
+    votes = [
+        *_checks(kind, body), F.when(close.rlike(word(near)), "+").otherwise("0"), F.when(left.rlike(word(far)), "+").otherwise("0"), F.when(right.rlike(word(after)), "+").otherwise("0"),
+        F.when(left.rlike(r"[=:]\s*[\"']?$"), "+").otherwise("0"), F.when(left.rlike(r"[\"']$") & right.rlike(r"^[\"']"), "+").otherwise("0"),
+        F.when(F.lower(body).rlike(word(COMMON)), "-").otherwise("0"), F.when(body.rlike(r"^(.)\1*$") | body.rlike(r"(.)\1{5}"), "-").otherwise("0"),
+    ]
+    return F.concat(*votes)
 
 
 def reliabilities(patterns: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], list[dict[str, tuple[float, float]]]]:
@@ -237,15 +284,14 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def mask_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input with each span of its text replaced by its kind in brackets; of overlapping spans the first counts.
 
-    The classifier is trained on the whole input first; the masking itself judges each row again in place, so no row
-    needs to find its spans by an id.
+    Rows are written once with their candidates, so that no row needs to find its spans by an id; the classifier is
+    trained on the votes of all of them, and the masking reads the table again.
     """
-    own = spans_by_kind(docs, doc_id, text)
-    votes = own.select(F.explode("more").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n"))
-    patterns = {(r["kind"], r["votes"]): r["n"] for r in votes.collect()}
-    weights = train_classifier(patterns, reliabilities(patterns)[0]) if patterns else {}
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    rows = spans_by_kind(packed, "_row", "_text").withColumnRenamed("doc_id", "_row")
+    rows = checkpointed(spans_by_kind(packed, "_row", "_text").withColumnRenamed("doc_id", "_row"))
+    votes = rows.select(F.explode("more").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n"))
+    patterns = {(r["kind"], r["votes"]): r["n"] for r in votes.collect()}  # bounded by kinds * 3^labelers
+    weights = train_classifier(patterns, reliabilities(patterns)[0]) if patterns else {}
     slim = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     more = F.transform(F.filter("more", lambda x: _score(x, weights) > 0), slim) if patterns else F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     rows = rows.select("_row", F.array_sort(F.concat("base", more)).alias("spans"), F.col("_row")[text].alias("_text"))
