@@ -9,9 +9,11 @@ Pairs that meet under a key are checked by bitmaps of parities, two bits or more
 bit means a shingle that only one of the sets has, so that no pair of similarity 4/5 is lost. Those left are verified by
 their whole sets: first one pair for each set, then those that this has not linked already. A key under which more than
 PAIR_BUCKET sets meet is first linked to hubs from its own sets, preferably ones that share the most such keys; after
-each round only its sets in different components still matter. When the pairs of these are few, or after MOST_ROUNDS, all
-of them are checked. So components are those of all pairs of similarity 4/5 or more; the work is linear for groups around
-common texts, and grows with the square of a key only for sets that share it and are not linked.
+each round only its sets in different components still matter. Of these, a set's shingles that another set of such keys
+has too are counted: a pair cannot share more than the lesser count, so a copy with too many shingles of its own drops
+out without being paired. When the pairs that are left are few, or after MOST_ROUNDS, all of them are checked. So
+components are those of all pairs of similarity 4/5 or more; the work is linear for groups around common texts, and
+grows with the square of a key only for sets that share it, are not linked, and have hardly a shingle of their own.
 
 Defined cases: a null text or one without words is near no other; fewer words than a shingle make one shingle; a null
 doc_id is kept only if all of its group are null; rows of equal doc_id and text stay or go together; an empty table
@@ -119,17 +121,30 @@ def _bits_apart(m, x, n, y):
     return F.aggregate(F.zip_with(small, folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes, a < b, links of a similarity of 4/5 or more that connect all those of this similarity.
-
-    Whole sets are made again from one text of each node, and only for pairs that their bitmaps allow.
-    """
+def _sets_of(marks: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, found): the whole sets of the nodes of marks (node, mark), made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
+    texts = pick(docs, text).toDF("text").withColumn("mark", F.xxhash64("text")).join(marks, "mark").select("node", "text")
+    return small_batches(texts).mapInArrow(tidy(run), "node long, found array<long>")
+
+
+def _shared_counts(marks: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, common): how many of a set's shingles another of the sets has too; a set without any is absent."""
+    each = _sets_of(marks, docs, text, shingle).select("node", F.explode("found").alias("one"))
+    met = each.groupBy("one").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one")
+    return each.join(met, "one").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes, a < b, links of a similarity of 4/5 or more that connect all those of this similarity.
+
+    Whole sets are made again from one text of each node, and only for pairs that their bitmaps allow.
+    """
     tables = Tables(docs.sparkSession)
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
     b = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
@@ -138,8 +153,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shi
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
     marks = tables.add(nodes.join(wanted, "node", "left_semi").select("node", "mark"))
-    texts = pick(docs, text).toDF("text").withColumn("mark", F.xxhash64("text")).join(marks, "mark").select("node", "text")
-    sets = tables.add(small_batches(texts).mapInArrow(tidy(run), "node long, found array<long>"))
+    sets = tables.add(_sets_of(marks, docs, text, shingle))
 
     def alike(some: DataFrame) -> DataFrame:
         b = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
@@ -194,16 +208,22 @@ def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, p
     pairs = proposed.unionByName(first).unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0))
     links = verified(pairs, nodes, docs, text, shingle)
     roots = components(links)
+    # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
+    marks = tables.add(nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "mark"))
+    common = tables.add(_shared_counts(marks, docs, text, shingle)) if marks.take(1) else None
     for turn in range(1, MOST_ROUNDS + 1):
-        parts = crowded.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
+        if common is None:
+            break
+        parts = crowded.join(common, "node").where("common * 5 >= size * 4").join(roots, "node", "left").select("key", "node", "size", "weight", "common", F.coalesce("root", "node").alias("root"))
         counts = parts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         parts = tables.add(parts.join(counts.select("key", "n", "within"), "key"))
         left = parts.select("key", "n", "within").distinct().agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
         if not left[0]:
             break
         last = turn == MOST_ROUNDS or left[1] <= PAIRS_A_ROW * left[0]
-        rows = parts.select("key", "node", "size", "weight", "root")
-        pairs = _all_pairs(rows, F.col("x.root") != F.col("y.root")) if last else _hub_pairs(rows, turn)
+        rows = parts.select("key", "node", "size", "weight", "common", "root")
+        enough = F.least("x.common", "y.common") * 9 >= (F.col("x.size") + F.col("y.size")) * 4
+        pairs = _all_pairs(rows, (F.col("x.root") != F.col("y.root")) & enough) if last else _hub_pairs(rows, turn)
         links = links.unionByName(verified(pairs, nodes, docs, text, shingle))
         roots = components(links)
         if last:
