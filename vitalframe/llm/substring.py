@@ -44,6 +44,8 @@ BUCKET_ENTRIES = 1 << 20
 #: Least bytes of a word with its blank, on average, from which the number of buckets is taken.
 WORD_BYTES = 5
 KEY = 16
+#: Bytes of text that a task counts copies of at once, and that a task of the passes over texts reads on average.
+HELD_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -221,27 +223,46 @@ def repeated_entries(packed: DataFrame, lanes: int, buckets: int) -> DataFrame:
         ends = np.cumsum(np.bincount(place, counts).astype(np.int64)).tolist()
         return pd.DataFrame({"key": [k.tobytes() for k in keys[order[new]]], "at": [at[a:b].tobytes() for a, b in zip([0, *ends], ends)]})
 
-    found = packed.groupBy("bucket").applyInPandas(settle, "home int, keys binary, counts binary, at binary")
-    return found.groupBy("home").applyInPandas(merge, "key binary NOT NULL, at binary")
+    found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(settle, "home int, keys binary, counts binary, at binary")
+    return found.repartition(buckets, "home").groupBy("home").applyInPandas(merge, "key binary NOT NULL, at binary")
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(key, text, copies) for each distinct text, partitioned by key; copies within a batch leave it as one row."""
+def distinct_texts(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """(key, text, copies) for each distinct text, partitioned by key.
+
+    A task counts copies over HELD_BYTES of texts at a time and keeps repeated ones on, so a text copied without end
+    leaves a task about once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, int] = {}
+        held = 0
+
+        def flush(texts: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.sha256(t.encode()).digest()[:KEY] for t in texts], pa.binary()), pa.array(texts, pa.string()), pa.array([count[t] for t in texts], pa.int64())],
+                ["key", "text", "copies"],
+            )
+
         for b in batches:
-            count: dict[str, int] = {}
             for t in b.column(0).to_pylist():
+                if t not in count:
+                    held += len(t)
                 count[t] = count.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.sha256(t.encode()).digest()[:KEY] for t in count], pa.binary()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
-                ["key", "text", "copies"],
-            )
+            if held > HELD_BYTES:
+                kept, room = {}, HELD_BYTES // 4
+                for t, n in count.items():
+                    if n > 1 and len(t) <= room:
+                        kept[t] = n
+                        room -= len(t)
+                yield flush([t for t in count if t not in kept])
+                count, held = kept, sum(map(len, kept))
+        yield flush(list(count))
 
     rows = small_batches(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
     # keys are declared NOT NULL: else an inner join would put a filter under the exchange, and it could not be reused
-    parts = rows.mapInArrow(run, "key binary NOT NULL, text string NOT NULL, copies long NOT NULL").repartition("key")
-    return parts.groupBy("key", "text").agg(F.sum("copies").alias("copies"))
+    dealt = rows.mapInArrow(run, "key binary NOT NULL, text string NOT NULL, copies long NOT NULL").repartition(parts, "key")
+    return dealt.groupBy("key", "text").agg(F.sum("copies").alias("copies"))
 
 
 def text_key(text):
@@ -288,7 +309,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     anchor = window - period + 1
     volume = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     entries = volume // WORD_BYTES
-    texts = small_batches(distinct_texts(docs, text))
+    texts = small_batches(distinct_texts(docs, text, max(1, -(-volume // TASK_BYTES))))
 
     buckets = max(1, -(-entries * len(COVER) // (PERIOD * BUCKET_ENTRIES)))
     anchors = texts.mapInArrow(_scanner(1, buckets, lambda n: cover_positions(n, anchor), anchor, window, False), PACKED)
