@@ -33,8 +33,8 @@ from vitalframe.llm.common import pick, small_batches
 
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that each of a worker's caches may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries that each generation of a worker's caches may hold.
+CACHE_ENTRIES = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -134,10 +134,13 @@ class PrefixEncoder:
         state = 0
         for end, byte in enumerate(piece, 1):
             step = go[state].get(byte)
-            while step is None and state:
-                state = link[state]
-                step = go[state].get(byte)
-            state = step or 0
+            if step is None:
+                s = state
+                while step is None and s:
+                    s = link[s]
+                    step = go[s].get(byte)
+                step = go[state][byte] = step or 0  # the automaton is built; steps over suffix links are kept
+            state = step
             s = state if token[state] >= 0 else nearest[state]
             while True:
                 t = token[s]
@@ -219,13 +222,16 @@ class Codec:
     def __init__(self, path: str):
         self.bpe = PrefixEncoder(path)
         self.chunks: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def ids_of(self, text: str) -> list[int]:
         """The ids of a text without special strings."""
         out: list[int] = []
-        pieces = self.pieces
-        for p in pretokens(text):
+        pieces, found = self.pieces, pretokens(text)
+        if len(found) == 1:  # the chunk itself is kept
+            return self.bpe.encode(text.encode())
+        for p in found:
             ids = pieces.get(p)
             if ids is None:
                 ids = self.bpe.encode(p.encode())
@@ -237,19 +243,23 @@ class Codec:
         return out
 
     def _chunk(self, text: str) -> tuple[int, str, bytes]:
-        ids = self.ids_of(text)
-        made = (len(ids), ",".join(map(str, ids)), self.bpe.decode(ids))
+        made = self.older.get(text)
+        if made is None:
+            ids = self.ids_of(text)
+            made = (len(ids), ",".join(map(str, ids)), self.bpe.decode(ids))
         if len(text) <= 64:
             if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[text] = made
         return made
 
     def _plain(self, text: str) -> list[tuple[int, str, bytes]]:
         parts = _CUT.split(text) if _ODD_BLANK.search(text) else text.split(" ")
-        known, make = self.chunks.get, self._chunk
+        known, make = self.chunks, self._chunk
         keys = [parts[0], *[" " + p for p in parts[1:]]]
-        return [known(k) or make(k) for k in keys if k]
+        if len(known) + len(keys) > CACHE_ENTRIES:  # the cache may change hands on the way
+            return [self.chunks.get(k) or make(k) for k in keys if k]
+        return [known[k] if k in known else make(k) for k in keys if k]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """The number of ids, the SHA-256 of the decimal ids joined by commas, and that of the decoded text."""
