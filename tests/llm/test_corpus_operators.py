@@ -97,6 +97,19 @@ def test_packing(docs, rows):
     assert len(bins) <= math.ceil(sum(r["length"] for r in got) / 2048) + 1
 
 
+def test_packing_over_groups(spark):
+    rng = np.random.default_rng(0)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * int(n))) for i, n in enumerate(rng.integers(1, 900, 300))], "doc_id long, text string")
+    got = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 2048, 0, group_docs=20).collect()
+    assert len(got) == 300 and len({r["doc_id"] for r in got}) == 300
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        assert all(o == sum(n for _, n in sorted(parts)[:k]) for k, (o, _) in enumerate(sorted(parts))) and sum(n for _, n in parts) <= 2048
+    assert len(bins) <= 1.06 * sum(r["length"] for r in got) / 2048 + 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search(seed):
     rng = np.random.default_rng(seed)

@@ -4,7 +4,8 @@ Documents become ids, and pieces of at most `capacity` tokens. Pieces are dealt
 of about GROUP_DOCS documents, so the number of groups follows the table and each group fits one task. In a group,
 pieces are placed best-fit in decreasing order; a local search then takes the emptiest sequence apart: its pieces move
 into other sequences, or are exchanged one-for-one, two-for-one or one-for-two against smaller loads there. Every
-accepted step raises the sum of squared fills, so the search ends; a sequence that becomes empty is gone.
+accepted step raises the sum of squared fills, so the search ends; a sequence that becomes empty is gone. Sequences that
+are left loose in their groups are packed a second time, together.
 
 Columns of pack_documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.llm.common import pick, small_batches, tidy
+from vitalframe.llm.common import checkpointed, pick, small_batches, tidy
 
 #: Documents per packing group, on average.
 GROUP_DOCS = 16_384
@@ -37,6 +38,11 @@ CACHE_ENTRIES = 150_000
 LONGEST_KEPT = 64
 #: Sequences that the local search tries to empty in a group before it gives up in a row.
 TRIES = 64
+#: Pieces of the emptied sequence, the largest ones, from which pairs are exchanged for one; and the most pieces of a
+#: sequence from which two are taken for one. The bounds limit the search's tries; every piece is packed.
+PAIRS_GIVEN, PAIRS_TAKEN = 12, 24
+#: Sequences with a larger free share than this are packed again together with those of other groups.
+LOOSE = 0.125
 _LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
 #: A word that normalising only lower-cases, without the marks that special tokens begin with.
 _LATIN_WORD = re.compile(r"(?:[\x00-\xff](?<!<\|))*")
@@ -195,7 +201,7 @@ def _best_step(donor: int, open_: list[int], bins: list[list[int]], free: list[i
     """The step with the largest gain of the receiver: a move, else an exchange one-for-one, two-for-one or one-for-two."""
     mine = sorted(bins[donor], key=lambda i: -sizes[i])
     given = [([i], sizes[i]) for i in mine]
-    given += [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(mine[:12]) for j in mine[k + 1 : 12]]
+    given += [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(mine[:PAIRS_GIVEN]) for j in mine[k + 1 : PAIRS_GIVEN]]
     best, gained, fill = None, 0, -1
     for b in open_:
         room = free[b]
@@ -211,7 +217,7 @@ def _best_step(donor: int, open_: list[int], bins: list[list[int]], free: list[i
         theirs = bins[b]
         full = sum(sizes[i] for i in theirs)
         out = [([i], sizes[i]) for i in theirs]
-        if len(theirs) <= 24:
+        if len(theirs) <= PAIRS_TAKEN:
             out += [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(theirs) for j in theirs[k + 1 :]]
         for own, weight in given:
             for other, light in out:
@@ -254,11 +260,23 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     pieces = pieces_of(docs, path, capacity, end_id, doc_id, text)
     pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], kind="stable", ignore_index=True)
         sequence, rows["offset"] = pack_lengths(rows["length"].to_numpy(), capacity)
+        rows["_loose"] = (np.bincount(sequence, rows["length"]) < (1 - LOOSE) * capacity)[sequence]
         rows["sequence_id"] = (rows.pop("_group").to_numpy() << 32) + sequence
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return rows[[*names, "_loose"]]
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.groupBy("_group").applyInPandas(pack, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _loose boolean"
+    if groups == 1:
+        return pieces.groupBy("_group").applyInPandas(pack, schema).select(names)
+    first = checkpointed(pieces.groupBy("_group").applyInPandas(pack, schema))
+    # Each group ends with a sequence or two that are not full; those of many groups fill each other.
+    loose = first.where("_loose").drop("sequence_id", "offset", "_loose")
+    again = max(1, -(-loose.count() // group_docs))
+    loose = loose.withColumn("_group", (-1 - F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(again))).cast("long"))
+    second = loose.groupBy("_group").applyInPandas(pack, schema)
+    return first.where("NOT _loose").unionByName(second).select(names)
