@@ -5,7 +5,7 @@ common order, two sets of similarity 4/5 or more share one of the first n // 5 +
 Any order finds every pair. The order here puts shingles last that are frequent in a hash sample of the texts, so that a
 common passage is rarely a key. The sample changes the cost only, never the result.
 
-Pairs that meet under a key are checked by bitmaps of parities, two bits or more for each shingle, where every differing
+Pairs that meet under a key are checked by bitmaps of parities, four bits or more for each shingle, where every differing
 bit means a shingle that only one of the sets has, so that no pair of similarity 4/5 is lost. Those left are verified by
 their whole sets: first one pair for each set, then those that this has not linked already. A key under which more than
 PAIR_BUCKET sets meet is first linked to hubs from its own sets, preferably ones that share the most such keys; after
@@ -36,9 +36,11 @@ from vitalframe.llm.graph import components
 #: Sets under one key from which on hubs come first.
 PAIR_BUCKET = 32
 #: Hubs of a crowded key that are drawn in each round, and the most rounds.
-HUBS, MOST_ROUNDS = 2, 3
+HUBS, MOST_ROUNDS = 3, 2
 #: Pairs left for each row of the crowded keys up to which all are verified.
 PAIRS_A_ROW = 32
+#: 64-bit lanes of the bitmaps that crowded keys carry.
+LANES = 16
 #: One text in so many counts for the order, and the most frequent shingles that it knows.
 SAMPLE, MOST_COMMON = 16, 1 << 17
 
@@ -63,9 +65,9 @@ def node_of(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the set's shingles falls to each bit, as 64-bit lanes; the bits are a power of two, twice
-    the shingles at least. Halves folded by XOR are the bitmap of half the bits."""
-    bits = max(64, 1 << (2 * len(found) - 1).bit_length())
+    """Whether an odd number of the set's shingles falls to each bit, as 64-bit lanes; the bits are a power of two, four
+    times the shingles at least. Halves folded by XOR are the bitmap of half the bits."""
+    bits = max(64, 1 << (4 * len(found) - 1).bit_length())
     odd = np.bincount(found & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -113,8 +115,16 @@ def signed_documents(docs: DataFrame, doc_id: str, text: str, shingle: int, prin
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, size int, print long, bits array<long>, keys array<long>")
 
 
-def _bits_apart(m, x, n, y):
-    """Differing bits of the bitmaps x and y of sets of sizes m and n, one of which may have twice the lanes."""
+def _folded(bits, lanes: int):
+    """A bitmap folded to at most so many lanes, a power of two."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / lanes).cast("int"))
+    zero = F.array_repeat(F.lit(0).cast("long"), lanes)
+    folded = F.aggregate(parts, zero, lambda s, i: F.zip_with(s, F.slice(bits, i * lanes + 1, F.lit(lanes)), lambda p, q: p.bitwiseXOR(q)))
+    return F.when(F.size(bits) <= lanes, bits).otherwise(folded)
+
+
+def _bits_apart(x, y):
+    """Differing bits of the bitmaps x and y, one of which may have twice the lanes."""
     small, large = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     half = F.size(small)
     folded = F.when(F.size(large) == half, large).otherwise(F.zip_with(F.slice(large, F.lit(1), half), F.slice(large, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
@@ -149,7 +159,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shi
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
     b = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
     met = pairs.distinct().join(a, "a").join(b, "b").where(_alike(F.col("m"), F.col("n")))
-    left = tables.add(met.where(_bits_apart(F.col("m"), F.col("x"), F.col("n"), F.col("y")) * 9 <= F.col("m") + F.col("n")).select("a", "b"))
+    left = tables.add(met.where(_bits_apart(F.col("x"), F.col("y")) * 9 <= F.col("m") + F.col("n")).select("a", "b"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
     marks = tables.add(nodes.join(wanted, "node", "left_semi").select("node", "mark"))
@@ -196,34 +206,43 @@ def _all_pairs(rows: DataFrame, apart) -> DataFrame:
 def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int, proposed: DataFrame) -> DataFrame:
     """(node, root) of all nodes that are linked to another one; the pairs proposed are verified beside those found here."""
     tables = Tables(docs.sparkSession)
-    nodes = tables.add(signed.groupBy("node").agg(F.min(F.struct("mark", "size", "bits")).alias("own")).select("node", "own.*"))
-    keys = signed.select(F.explode("keys").alias("key"), "node", "size")
+    # Of rows with equal sets one stands for all. These are few, so that the others are not shuffled for them.
+    again = tables.add(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+    own = signed.select("node", "mark", "size", "bits", "keys")
+    own = own.join(again, "node", "left_anti").unionByName(own.join(again, "node", "left_semi").dropDuplicates(["node"]))
+    nodes = tables.add(own.select("node", "mark", "size", "bits"))
+    keys = own.select(F.explode("keys").alias("key"), "node", "size")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Rows of equal sets meet under all of their keys; each set counts once.
-    shared = tables.add(keys.join(met, "key").select("key", "node", "size").distinct())
-    shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    shared = tables.add(keys.join(met, "key"))
     crowded = shared.where(F.col("n") > pair_bucket).select("key", "node", "size")
     crowded = tables.add(crowded.join(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "node"))
     first = _all_pairs(shared.where(F.col("n") <= pair_bucket), F.lit(True))
     pairs = proposed.unionByName(first).unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0))
     links = verified(pairs, nodes, docs, text, shingle)
     roots = components(links)
-    # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
-    marks = tables.add(nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "mark"))
-    common = tables.add(_shared_counts(marks, docs, text, shingle)) if marks.take(1) else None
+    common = None
     for turn in range(1, MOST_ROUNDS + 1):
-        if common is None:
-            break
-        parts = crowded.join(common, "node").where("common * 5 >= size * 4").join(roots, "node", "left").select("key", "node", "size", "weight", "common", F.coalesce("root", "node").alias("root"))
+        parts = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = parts.withColumn("common", F.col("size")) if common is None else parts.join(common, "node").where("common * 5 >= size * 4")
         counts = parts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         parts = tables.add(parts.join(counts.select("key", "n", "within"), "key"))
+        if common is None and parts.take(1):
+            # A table of its own, so that Spark knows its size before it chooses whether texts are shuffled to it.
+            marks = tables.add(nodes.join(parts.select("node").distinct(), "node", "left_semi").select("node", "mark"))
+            common = tables.add(_shared_counts(marks, docs, text, shingle))
+            parts = tables.add(parts.drop("common").join(common, "node").where("common * 5 >= size * 4"))
         left = parts.select("key", "n", "within").distinct().agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
         if not left[0]:
             break
         last = turn == MOST_ROUNDS or left[1] <= PAIRS_A_ROW * left[0]
         rows = parts.select("key", "node", "size", "weight", "common", "root")
-        enough = F.least("x.common", "y.common") * 9 >= (F.col("x.size") + F.col("y.size")) * 4
-        pairs = _all_pairs(rows, (F.col("x.root") != F.col("y.root")) & enough) if last else _hub_pairs(rows, turn)
+        if last:
+            rows = rows.join(nodes.select("node", _folded(F.col("bits"), LANES).alias("bits")), "node")
+            enough = F.least("x.common", "y.common") * 9 >= (F.col("x.size") + F.col("y.size")) * 4
+            near = _bits_apart(F.col("x.bits"), F.col("y.bits")) * 9 <= F.col("x.size") + F.col("y.size")
+            pairs = _all_pairs(rows, (F.col("x.root") != F.col("y.root")) & enough & near)
+        else:
+            pairs = _hub_pairs(rows, turn)
         links = links.unionByName(verified(pairs, nodes, docs, text, shingle))
         roots = components(links)
         if last:
