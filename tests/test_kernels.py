@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from vitalframe.kernels import features, filters, peaks, quality, registry, spectrum
+from vitalframe.kernels import detector, features, filters, peaks, pulses, quality, registry, spectrum
 
 FS = 60.0
 T = np.arange(0, 30, 1 / FS)
@@ -97,3 +97,102 @@ def test_registry(spark):
     assert out["a"]["status"] == "ok" and np.allclose(out["a"]["samples"], filters.bandpass(WAVE, FS)) and set(out) == {"a", "b", "c"}
     table = {r["file_id"]: r for r in registry.ppg_table(waves, FS, key="file_id").collect()}
     assert table["a"]["ppg_s3_F_MAX_1st"] and table["b"]["ppg_s3_F_MAX_1st"] is None
+
+
+def pulse_wave(seconds=12, fs=120.0, rate=1.2, noise=0.01, seed=0):
+    """Pulses with a dicrotic second hump and a slow drift."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(int(seconds * fs)) / fs
+    phase = (t * rate) % 1
+    shape = np.exp(-(((phase - 0.25) / 0.09) ** 2)) + 0.4 * np.exp(-(((phase - 0.6) / 0.11) ** 2))
+    return shape + 0.1 * np.sin(2 * np.pi * 0.1 * t) + noise * rng.normal(size=len(t))
+
+
+def test_detector_finds_every_beat():
+    x, fs = pulse_wave(30), 120.0
+    peaks, onsets = detector.peaks_and_onsets(x, fs)
+    want = (np.arange(36) + 0.25) / 1.2 * fs
+    hit = [np.abs(peaks - w).min() < 0.08 * fs for w in want if 2 * fs < w < len(x) - 2 * fs]
+    assert np.mean(hit) > 0.95 and len(peaks) <= 37 and (onsets < peaks).all() and (np.diff(onsets) > 0).all()
+    assert abs(detector.heart_rate(x, fs) - 72) <= 4
+    assert [len(v) for v in detector.peaks_and_onsets(x[:100], fs)] == [0, 0] and [len(v) for v in detector.peaks_and_onsets(np.zeros(2000), fs)][0] == 0
+
+
+def test_interval_repairs():
+    tops = np.array([10, 85, 160, 170, 235, 460])
+    moved, missing = detector.corrected(np.array([11, 84, 161, 172, 234, 461]), tops, 60.0, 75.0)
+    assert moved.tolist() == [10, 85, 160, 235, 460] and missing.tolist() == [False, False, False, True]
+
+
+def test_fiducials_in_order():
+    rows = features.fiducial_points(pulse_wave(20, 120.0), 120.0)
+    assert len(rows) > 15
+    full = [r for r in rows if all(r[k] is not None for k in ("dn", "dp", "a", "b", "e", "p1", "p2"))]
+    assert len(full) > 0.6 * len(rows)
+    for r in full:
+        assert r["on"] <= r["a"] <= r["b"] <= r["e"] and r["on"] < r["sp"] < r["dn"] <= r["off"] and r["on"] < r["u"] <= r["sp"] <= r["v"] and r["b"] <= r["p1"]
+
+
+def test_pulse_cleaning():
+    x, fs = pulse_wave(12), 120.0
+    y = pulses.prepared(x, fs)
+    assert y.min() == 0 and y.max() == 1 and len(y) == len(x)
+    level, line = pulses.without_baseline(y, fs)
+    assert np.allclose(level + line, y) and abs(np.median([level[v] for v in pulses.lowest_between(level, pulses.high_peaks(level, fs))])) < 1e-6
+    cut = pulses.cropped(level, fs)
+    assert cut.min() == 0 and cut.max() == 1
+    assert pulses.without_doubles(np.array([5, 9, 30])).tolist() == [5, 30] and pulses.without_doubles(np.zeros(0, int)).tolist() == []
+    with pytest.raises(ValueError):
+        pulses.cropped(np.zeros(500), fs)
+    assert pulses.similarity(y[:50], y[:50]) > 1 and pulses.fitted(np.arange(3), 5).tolist() == [0, 1, 2, 2, 2]
+
+
+def test_pulse_morphology_and_block():
+    one = np.interp(np.linspace(0, 1, 200), np.linspace(0, 1, 100), pulse_wave(1, 100.0, 1.0, 0.0)[:100])
+    m = pulses.morphology(one, 200.0)
+    assert len(pulses.MORPHOLOGY) == 37 and set(m) == set(pulses.MORPHOLOGY)
+    assert abs(m["peak_pos"] - 50) < 5 and m["DT"] > 0 and m["area_1"] > 0
+    hump = pulses.morphology(np.exp(-(((np.arange(200) - 80) / 30.0) ** 2)), 200.0)
+    assert hump["w75"] < hump["w50"] < hump["w25"] < hump["w10"] and abs(hump["w50"] - 2 * 30 * np.sqrt(np.log(2)) / 200) < 0.02
+    found = features.pulse_features(pulse_wave(20, 100.0), 100.0)
+    assert set(found) == set(features.GROUPS["u5"][1]) and sum(np.isfinite(v) for v in found.values()) > 60
+    assert abs(found["m2_F_MAX_1st"] - 1.2) < 0.5
+    for bad in (np.zeros(1200), np.ones(50), np.full(1200, np.nan)):
+        with pytest.raises((ValueError, IndexError)):
+            features.pulse_features(bad, 100.0)
+
+
+def test_three_estimators_differ_and_rank_noise():
+    rng = np.random.default_rng(3)
+    clean, fs = pulse_wave(20, 60.0), 60.0
+    noisy = clean + rng.normal(size=len(clean)) * 0.8
+    good, bad = quality.all_estimates(clean, fs), quality.all_estimates(noisy, fs)
+    assert all(v is not None for v in good.values())
+    assert all(np.mean(good[k][200:-200]) > np.mean(bad[k][200:-200]) for k in good if bad[k] is not None)
+    assert not np.allclose(good["template"], good["pulse"]) and not np.allclose(good["custom"], good["template"])
+    assert np.allclose(quality.ensemble(clean, fs), (quality.custom_quality(clean, fs) + quality.template_quality(clean, fs) + quality.pulse_quality(clean, fs)) / 3)
+    assert quality.whole_score(clean, fs) > quality.whole_score(rng.normal(size=1200), fs)
+
+
+def test_lag_error():
+    x = np.sin(np.arange(200) / 7)
+    assert quality.lag_error(x, x) == 0 and quality.lag_error(x[10:], x[:-10]) < 1e-20 and np.isnan(quality.lag_error(x, np.zeros(0)))
+    assert abs(quality.lag_error(x, x + 1) - 1) < 1e-12
+
+
+def test_interval_shape_and_bands():
+    rng = np.random.default_rng(0)
+    nn = 800 + 40 * np.sin(2 * np.pi * 0.1 * np.cumsum(np.full(300, 0.8))) + rng.normal(size=300)
+    s, p = features.shape_of_intervals(nn), features.rhythm_power(nn)
+    assert s["SD2"] > s["SD1"] > 0 and p["LF"] > 20 * p["HF"] and abs(p["LFn"] + p["HFn"] + (p["VLF"] + p["VHF"]) / p["TP"] - 1) < 1e-9
+    assert all(np.isnan(v) for v in features.shape_of_intervals(nn[:3]).values())
+
+
+def test_sweeps(spark):
+    f = np.logspace(2, 5, 60)
+    rows = [("s", i, float(v), float(100 / (1 + v / 1e4) + (3.0 if i == 30 else 0.0)), -170.0 if i < 30 else 170.0) for i, v in enumerate(f)]
+    df = spark.createDataFrame(rows, "file_id string, i int, f double, zmag double, zphi double")
+    r = registry.smoothed_sweeps(registry.sweep_waves(df, "file_id"), "file_id").first()
+    assert len(r["mag_filtered"]) == 60 and max(abs(np.diff(r["phase_filtered"]))) < 40 and 0 <= r["quality_indicator"] <= 1
+    pair = spark.createDataFrame([("s", [1.0, 2.0, 1.0], [1.0, 2.0, 1.0])], "k string, a array<double>, b array<double>")
+    assert registry.lag_errors(pair, "k", "a", "b").first()["error"] == 0.0

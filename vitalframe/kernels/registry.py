@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from vitalframe.kernels import features, filters, quality
+from vitalframe.kernels import features, filters, pulses, quality
 
 Kernel = Callable[[np.ndarray, float], np.ndarray]
 
@@ -31,9 +32,12 @@ PIPELINES: dict[tuple[str, str], Kernel] = {
     ("signal", "inverted_500hz"): lambda x, fs: -filters.resample_fourier(x, fs, 500.0),
     ("signal", "first_mode"): lambda x, fs: features.sift(x, 1)[0],
     ("signal", "savgol"): lambda x, fs: filters.savgol(x),
+    ("signal", "prepared"): lambda x, fs: pulses.prepared(x, fs),
+    ("signal", "level"): lambda x, fs: pulses.without_baseline(pulses.prepared(x, fs), fs)[0],
+    ("signal", "cropped"): lambda x, fs: pulses.cropped(pulses.without_baseline(pulses.prepared(x, fs), fs)[0], fs),
     ("quality", "sqi_custom"): lambda x, fs: quality.custom_quality(x, fs),
     ("quality", "sqi_template"): lambda x, fs: quality.template_quality(x, fs),
-    ("quality", "sqi_pulse"): lambda x, fs: quality.template_quality(x, fs, -0.15),
+    ("quality", "sqi_pulse"): lambda x, fs: quality.pulse_quality(x, fs),
     ("quality", "sqi_all"): lambda x, fs: quality.ensemble(x, fs),
     ("quality", "sqi_ecg"): lambda x, fs: quality.ecg_quality(x, fs),
 }
@@ -91,6 +95,49 @@ def ppg_table(segments: DataFrame, fs: float, groups: tuple[str, ...] = tuple(fe
     return extract(segments, fs, lambda x, r: features.ppg_features(x, r, groups), features.ppg_names(groups), key)
 
 
+def ecg_table(segments: DataFrame, fs: float, key: str = "segment_id") -> DataFrame:
+    """One row per segment; every name carries the prefix ecg_."""
+    made = extract(segments, fs, features.ecg_features, list(features.ECG), key)
+    return made.withColumnsRenamed({n: f"ecg_{n}" for n in features.ECG})
+
+
+def sweep_waves(rows: DataFrame, key: str, order: str = "i") -> DataFrame:
+    """(key, f, magnitude, phase): the sweeps as arrays in the order of measurement; a sweep is some hundred points."""
+    made = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "f", "zmag", "zphi"))).alias("_p"))
+    return made.select(key, *[F.col(f"_p.{n}").cast("array<double>").alias(a) for n, a in (("f", "f"), ("zmag", "magnitude"), ("zphi", "phase"))])
+
+
+def smoothed_sweeps(waves: DataFrame, key: str) -> DataFrame:
+    """(key, f, mag_filtered, phase_filtered, quality_indicator): smoothed magnitude, smoothed unwrapped phase in degrees, and
+    the closeness of the smoothed magnitude to its own smoothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mags = [filters.savgol(np.array(x.as_py(), float)) for x in b.column(2)]
+            phases = [filters.savgol(np.rad2deg(np.unwrap(np.deg2rad(np.array(x.as_py(), float))))) for x in b.column(3)]
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.tolist() for m in mags], kind), pa.array([p.tolist() for p in phases], kind), pa.array([quality.sweep_quality(m) for m in mags], pa.float64())], [key, "f", "mag_filtered", "phase_filtered", "quality_indicator"])
+
+    rows = waves.select(key, "f", "magnitude", "phase")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, f array<double>, mag_filtered array<double>, phase_filtered array<double>, quality_indicator double")
+
+
+def sweep_qualities(rows: DataFrame, key: str) -> DataFrame:
+    return smoothed_sweeps(sweep_waves(rows, key), key).select(key, "quality_indicator")
+
+
+def lag_errors(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, error): the lag-aligned squared error of two array columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            found = [quality.lag_error(np.array(x or [], float), np.array(y or [], float)) for x, y in zip(p.column(1).to_pylist(), p.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(found, pa.float64())], [key, "error"])
+
+    rows = pairs.select(key, a, b)
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, error double")
+
+
 def fiducial_table(segments: DataFrame, fs: float, key: str = "file_id") -> DataFrame:
     """One row per pulse (key, pulse) with the sample numbers of its points; a point that a pulse lacks is NULL."""
 

@@ -5,6 +5,8 @@ A sample table has file_id, i and x. Frames are by row number, so each is one so
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,12 +146,19 @@ def unwrapped(rows: DataFrame, phase: str, order: str, key: str, turn: float = 3
     return rows.withColumn("_f", fix).withColumn("unwrapped", F.col(phase) + F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
 
-def sweep_features(rows: DataFrame, key: str, re: str, im: str) -> DataFrame:
-    """Statistics of real, imaginary, magnitude and log-magnitude parts of a sweep, in one aggregation."""
-    mag = F.sqrt(F.col(re) * F.col(re) + F.col(im) * F.col(im))
-    parts = {"real": F.col(re), "imag": F.col(im), "mag": mag, "log_mag": F.ln(mag + 1e-12), "mag_db": 20 * F.log10(mag + 1e-12)}
+def sweep_features(rows: DataFrame, key: str, re: str = "zre", im: str = "zim", order: list[str] = ["i"]) -> DataFrame:  # noqa: B006
+    """Statistics of real and imaginary part, magnitude, unwrapped phase and log-magnitude of a sweep, its complex mean and
+    deviation, the range of its magnitude and the number of points."""
+    a, b = F.col(re).cast("double"), F.col(im).cast("double")
+    w = Window.partitionBy(key).orderBy(*order)
+    angle = F.atan2(b, a)
+    turns = F.coalesce(-2 * math.pi * F.round((angle - F.lag(angle).over(w)) / (2 * math.pi)), F.lit(0.0))
+    wide = rows.withColumn("_turn", turns).withColumn("_phase", angle + F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    mag = F.sqrt(a * a + b * b)
+    parts = {"real": a, "imag": b, "mag": mag, "phase": F.col("_phase"), "log_mag": F.ln(mag + 1e-12), "mag_db": 20 * F.log10(mag + 1e-12)}
     out = [f(c).alias(f"bioimp_{n}_{k}") for n, c in parts.items() for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    return rows.groupBy(key).agg(*out, (F.count(F.lit(1)) > 0).alias("bioimp_valid"))
+    more = [F.sqrt(F.var_pop(a) + F.var_pop(b)).alias("bioimp_std"), (F.max(mag) - F.min(mag)).alias("bioimp_peak_to_peak_mag"), F.avg(a).alias("bioimp_mean_real"), F.avg(b).alias("bioimp_mean_imag")]
+    return wide.groupBy(key).agg(*out, *more, F.count(F.lit(1)).alias("bioimp_n_points"), (F.count(F.lit(1)) > 0).alias("bioimp_valid"))
 
 
 def line_features(rows: DataFrame, key: str, y: str, x: str) -> DataFrame:

@@ -60,15 +60,23 @@ def scaled(rows: DataFrame, features: list[str], fit_on: DataFrame | None = None
     return wide.withColumns(made).drop(*fitted.columns)
 
 
-def feature_pairs(rows: DataFrame, features: list[str]) -> DataFrame:
-    """For every pair of features: correlation, least squares line, and how the two differ, in one aggregation.
+def paired_values(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(feature_1, feature_2, x, y) of each row for every pair of features that both have a value.
 
-    A row's pairs come from an array of its own values: rows are never joined with each other, and partial aggregation
-    leaves one row per pair in each task.
+    Pairs come from an array of the row's own values, so the plan grows with the number of features, not of pairs, and
+    rows are never joined with each other.
     """
-    pairs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), clean_num(a).alias("x"), clean_num(b).alias("y")) for i, a in enumerate(features) for b in features[i + 1 :]]
-    x, y = F.col("x"), F.col("y")
-    both = rows.select(F.inline(F.array(*pairs))).where("x IS NOT NULL AND y IS NOT NULL")
+    names = F.array(*[F.lit(f) for f in features])
+    values = rows.select(F.array(*[clean_num(f) for f in features]).alias("v"))
+    first = values.select("v", F.posexplode("v").alias("i", "x")).where("x IS NOT NULL")
+    second = first.select("i", "x", F.posexplode("v").alias("j", "y")).where("j > i AND y IS NOT NULL")
+    return second.select(names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"), "x", "y")
+
+
+def feature_pairs(rows: DataFrame, features: list[str]) -> DataFrame:
+    """For every pair of features: correlation, least squares line, and how the two differ, in one aggregation; partial
+    aggregation leaves one row per pair in each task."""
+    both, x, y = paired_values(rows, features), F.col("x"), F.col("y")
     return both.groupBy("feature_1", "feature_2").agg(
         safe_corr("x", "y").alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.max(F.abs(x - y)).alias("max_difference"),
         F.avg(F.abs(x - y)).alias("mean_difference"), F.avg((x == y).cast("double")).alias("share_equal"), F.avg((x == -y).cast("double")).alias("share_negated"), F.count(F.lit(1)).alias("n"))
@@ -78,13 +86,13 @@ def near_duplicate_pairs(pairs: DataFrame, least: float = 0.95) -> DataFrame:
     return pairs.where(F.abs("r") >= least)
 
 
-def affine_pairs(rows: DataFrame, pairs: DataFrame, features: list[str], tolerance: float = 1e-10) -> DataFrame:
-    """Pairs whose second feature is a line of the first, by the largest residual; lines are few and joined by pair name."""
+def affine_pairs(rows: DataFrame, pairs: DataFrame, features: list[str], tolerance: float = 1e-10, relative: bool = False) -> DataFrame:
+    """Pairs whose second feature is a line of the first, by the largest residual, which may be taken in deviations of the
+    second feature; lines are few and joined by pair name."""
     lines = pairs.where("slope IS NOT NULL").select("feature_1", "feature_2", "slope", "intercept")
-    both = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), clean_num(a).alias("x"), clean_num(b).alias("y")) for i, a in enumerate(features) for b in features[i + 1 :]]
-    long = rows.select(F.inline(F.array(*both))).where("x IS NOT NULL AND y IS NOT NULL")
+    long = paired_values(rows, features)
     residual = F.max(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")))
-    return long.join(F.broadcast(lines), ["feature_1", "feature_2"]).groupBy("feature_1", "feature_2").agg(residual.alias("max_residual")).withColumn("affine", F.col("max_residual") < tolerance)
+    return long.join(F.broadcast(lines), ["feature_1", "feature_2"]).groupBy("feature_1", "feature_2").agg((F.try_divide(residual, F.stddev_pop("y")) if relative else residual).alias("max_residual")).withColumn("affine", F.col("max_residual") < tolerance)
 
 
 def variance_components(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -227,20 +235,18 @@ def information_matrix(rows: DataFrame, features: list[str], k: int = 3) -> Data
 
     from vitalframe.kernels.information import neighbour_information
 
-    pairs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), clean_num(a).alias("x"), clean_num(b).alias("y")) for i, a in enumerate(features) for b in features[i + 1 :]]
-
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "x"], kind="stable")
         return pd.DataFrame({"feature_1": part["feature_1"].iloc[:1], "feature_2": part["feature_2"].iloc[:1], "mi": [neighbour_information(part["x"].to_numpy(float), part["y"].to_numpy(float), k)]})
 
-    return rows.select(F.inline(F.array(*pairs))).where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature_1", "feature_2").applyInPandas(run, "feature_1 string, feature_2 string, mi double")
+    return paired_values(rows, features).groupBy("feature_1", "feature_2").applyInPandas(run, "feature_1 string, feature_2 string, mi double")
 
 
 def reduced_features(train: DataFrame, features: list[str], least: float = 0.95, tolerance: float = 1e-10) -> tuple[list[str], DataFrame]:
     """The statistics driver: features that are no line of an earlier one, and the report on all highly correlated pairs."""
-    scaled_rows = scaled(train.select(*features), features)
-    close = near_duplicate_pairs(feature_pairs(scaled_rows, features), least)
-    lines = affine_pairs(scaled_rows, close, features, tolerance)
+    rows = train.select(*features)
+    close = near_duplicate_pairs(feature_pairs(rows, features), least)
+    lines = affine_pairs(rows, close, features, tolerance, relative=True)  # as on scaled features
     report = close.join(lines, ["feature_1", "feature_2"], "left")
     gone = {r["feature_2"] for r in lines.where("affine").select("feature_2").distinct().collect()}  # names of features
     return [f for f in features if f not in gone], report
@@ -250,7 +256,7 @@ def selected_features(train: DataFrame, test: DataFrame, target: str, features:
     """The selection driver: drop lines of other features, choose k by mRMR on the training rows alone, and cut both tables
     to the chosen features and all columns that are no features. k below 1 keeps every feature that is left."""
     left, _ = reduced_features(train, features)
-    chosen = mrmr(scaled(train, left), target, left, k) if k > 0 else left
+    chosen = mrmr(train, target, left, k) if k > 0 else left  # correlations do not depend on the features' scales
     others = [c for c in train.columns if c not in features]
     return train.select(*chosen, *others), test.select(*chosen, *[c for c in others if c in test.columns]), chosen
 

@@ -92,9 +92,14 @@ register("energy_in_band", lambda s, d: _round(G.band_energy(_lines(s, d), 10.0,
 WITH {_LINES_SQL}, e AS (SELECT file_id, (lead(f) OVER w - f) * (lead(p) OVER w + p) / 2 AS e FROM l WHERE f BETWEEN 10 AND 30 WINDOW w AS (PARTITION BY file_id ORDER BY f)) SELECT file_id, round(sum(e), 6) AS energy FROM e GROUP BY 1""")
 register("phase_unwrap", lambda s, d: _round(G.unwrapped(samples(s, d), "x", "i", "file_id", 90.0).select("file_id", "i", "unwrapped"), "unwrapped"), f"""
 WITH {SAMPLES_SQL}, c AS (SELECT file_id, i, x, coalesce(-90 * round((x - lag(x) OVER (PARTITION BY file_id ORDER BY i)) / 90), 0) AS c FROM s) SELECT file_id, i, round(x + sum(c) OVER (PARTITION BY file_id ORDER BY i), 6) AS unwrapped FROM c""")
-_PARTS = {"real": "l_quantity", "imag": "l_tax", "mag": "m", "log_mag": "ln(m + 1e-12)", "mag_db": "20 * log10(m + 1e-12)"}
-register("bioimp_features", lambda s, d: (lambda df: _round(df, *[c for c in df.columns if c.startswith("bioimp_") and c != "bioimp_valid"]))(G.sweep_features(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_tax")),
-         "WITH x AS (SELECT *, sqrt(l_quantity * l_quantity + l_tax * l_tax) AS m FROM lineitem) SELECT l_suppkey, " + ", ".join(f"round({f}({c}), 6) AS bioimp_{n}_{k}" for n, c in _PARTS.items() for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + ", true AS bioimp_valid FROM x GROUP BY 1")
+_PARTS = {"real": "re", "imag": "im", "mag": "m", "phase": "p", "log_mag": "ln(m + 1e-12)", "mag_db": "20 * log10(m + 1e-12)"}
+register("bioimp_features", lambda s, d: (lambda df: _round(df, *[c for c in df.columns if c.startswith("bioimp_") and c not in ("bioimp_valid", "bioimp_n_points")]))(
+    G.sweep_features(table(s, d, "lineitem").withColumn("re", F.col("l_quantity") - 25).withColumn("im", F.col("l_tax") * 500 - 20), "l_suppkey", "re", "im", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])), """
+WITH z AS (SELECT *, l_quantity - 25 AS re, l_tax * 500 - 20 AS im FROM lineitem), t AS (SELECT *, atan2(im, re) AS t, sqrt(re * re + im * im) AS m FROM z),
+u AS (SELECT *, coalesce(-2 * pi() * round((t - lag(t) OVER w) / (2 * pi())), 0) AS c FROM t WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
+x AS (SELECT *, t + sum(c) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS p FROM u)
+SELECT l_suppkey, """ + ", ".join(f"round({f}({c}), 6) AS bioimp_{n}_{k}" for n, c in _PARTS.items() for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + """,
+round(sqrt(var_pop(re) + var_pop(im)), 6) AS bioimp_std, round(max(m) - min(m), 6) AS bioimp_peak_to_peak_mag, round(avg(re), 6) AS bioimp_mean_real, round(avg(im), 6) AS bioimp_mean_imag, count(*) AS bioimp_n_points, true AS bioimp_valid FROM x GROUP BY 1""")
 register("line_features", lambda s, d: _round(G.line_features(table(s, d, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity"), "slope", "intercept", digits=4), """
 SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1""")
 
@@ -148,6 +153,6 @@ for _kind, _name in list(registry.PIPELINES):
     register(f"wave_{_name}", lambda s, d, k=_kind, n=_name: _spread(registry.process(_waves(s, d), k, n, 60.0)))
 register("spectral_features", lambda s, d: registry.extract(_waves(s, d), 60.0, spectrum.spectral_features, list(spectrum.SPECTRAL), "file_id"))
 register("ppg_features", lambda s, d: registry.ppg_table(_waves(s, d), 60.0, key="file_id"))
-register("ecg_features", lambda s, d: registry.extract(_waves(s, d), 60.0, features.ecg_features, ["hr_mean", "hr_std", "n_r_peaks", *[f"HRV_{k}" for k in features.HRV], *[f"s2_{k}" for k in spectrum.SPECTRAL]], "file_id"))
+register("ecg_features", lambda s, d: registry.ecg_table(_waves(s, d), 60.0, "file_id"))
 register("imf_features", lambda s, d: registry.extract(_waves(s, d), 60.0, features.emd_features, [f"IMF_1_{k}" for k in features.IMF], "file_id"))
 register("fiducial_points", lambda s, d: registry.fiducial_table(_waves(s, d), 60.0))

@@ -18,17 +18,23 @@ MANDATORY = ("participant_id", "session_id", "datetime", "GLC")
 SEGMENT_COLUMNS = ("segment_id", "file_id", "modality", "start_sample", "duration", "quality_indicator")
 INDEX_DOUBLES = ("GLC", "BP_SYS", "BP_DIA", "BP_HR")
 WAVEFORM = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("modality", T.StringType()), T.StructField("waveform_id", T.StringType()), T.StructField("fs", T.DoubleType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
-KNOWN_KEYS = {"DATASET_CSV_PATH", "SIMULATIONS_OUTPUT_PATH", "MODALITIES", "SAMPLING_FREQUENCY_PPG", "SAMPLING_FREQUENCY_ECG", "SEGMENTER", "FINAL_NUMBER_OF_FEATURES"}
+#: The keys of an experiment's configuration.
+KNOWN_KEYS = {
+    "DATASET_NAME", "DATASET_FILE", "SIMULATIONS_INPUT_PATH", "SIMULATIONS_OUTPUT_PATH", "MODALITIES", "PPG_FS", "ECG_FS", "BIOIMP_FS", "SEGMENTER_FILE", "TRAIN_TEST_SPLIT_PREFIX", "FEATURES_FILE_PREFIX", "FINAL_NUMBER_OF_FEATURES",
+    "DROP_TRAINING_EXAMPLES_FOR_PARTICIPANT_BALANCE", "AGGREGATE_FEATURES_INTO_SINGLE_VECTOR", "AGGREGATE_FEATURES_PER_GLUCOSE_MEASUREMENT", "AGGREGATE_FEATURES_PER_FILE",
+    *[f"{m}_{k}" for m in ("PPG", "ECG", "BIOIMP") for k in ("SIGNAL_PROCESSING_PIPELINE", "SIGNAL_OUTPUT_WAVEFORM", "SQI_PROCESSING_PIPELINE", "SQI_INPUT_WAVEFORM", "SQI_OUTPUT_WAVEFORM", "FEATURE_EXTRACTION_PIPELINE", "FEATURE_INPUT_WAVEFORM")],
+}
+FOLDERS = ("waveforms", "segments", "events", "features", "ml")
 
 
 @dataclass
 class DatasetConfig:
-    """Where a dataset lies and where its results go. Paths may be in any store that Spark reads."""
+    """One experiment: where a dataset lies, how it is processed, and where results go. Paths may be in any store that Spark reads."""
 
     index_path: str
     output_path: str
     modalities: tuple[str, ...] = MODALITIES
-    extra: dict = field(default_factory=dict)
+    values: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         unknown = set(self.modalities) - set(MODALITIES)
@@ -50,18 +56,56 @@ class DatasetConfig:
         for k in sorted(set(values) - KNOWN_KEYS):
             warnings.warn(f"configuration key {k} is not used", stacklevel=2)
         names = values.get("MODALITIES") or ",".join(MODALITIES)
-        return cls(values["DATASET_CSV_PATH"], values["SIMULATIONS_OUTPUT_PATH"], tuple(m.strip() for m in names.split(",")), values)
+        return cls(values["DATASET_FILE"], values["SIMULATIONS_OUTPUT_PATH"], tuple(m.strip() for m in names.split(",")), values)
+
+    def value(self, key: str, default=None):
+        """A configured value; a key without value and default is an error."""
+        found = self.values.get(key, default)
+        if found is None:
+            raise KeyError(f"the configuration lacks {key}")
+        return found
+
+    @property
+    def root_path(self) -> str:
+        return str(PurePosixPath(self.index_path).parent)
 
     @property
     def raw_path(self) -> str:
-        return str(PurePosixPath(self.index_path).parent / "raw")
+        return f"{self.root_path}/raw"
+
+    @property
+    def input_path(self) -> str:
+        return self.value("SIMULATIONS_INPUT_PATH").rstrip("/")
 
     def folder(self, kind: str) -> str:
-        """Output folder: waveforms, segments, features, models or reports."""
-        if kind not in ("waveforms", "segments", "features", "models", "reports"):
+        """Output folder: waveforms, segments, events, features or ml."""
+        if kind not in FOLDERS:
             raise ValueError(kind)
         return f"{self.output_path.rstrip('/')}/{kind}"
 
+    def features_path(self, part: str = "") -> str:
+        """The table of features: of a modality, of a part of the split, or of its selected features (part + '_selected')."""
+        return f"{self.folder('features')}/{self.value('FEATURES_FILE_PREFIX')}" + (f"_{part}" if part else "")
+
+    def segmenter_path(self) -> str:
+        return f"{self.input_path}/segmenters/{self.value('SEGMENTER_FILE')}"
+
+    def split_path(self, part: str) -> str:
+        """The list of the participants of a part: train, test or excluded."""
+        return f"{self.input_path}/train_test_splits/{self.value('TRAIN_TEST_SPLIT_PREFIX')}_participants_{part}.txt"
+
+    def column_list(self, spark: SparkSession, kind: str) -> list[str]:
+        """Names of the metadata or segments columns, without the file's first line."""
+        lines = spark.read.text(f"{self.input_path}/metadata/{kind}_columns.txt", wholetext=True).first()[0].splitlines()
+        return [x.strip() for x in lines[1:] if x.strip()]
+
+    def validate(self, spark: SparkSession) -> None:
+        """The index and the folder raw beside it must exist."""
+        for path in (self.index_path, self.raw_path):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+                raise FileNotFoundError(path)
+
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index with ids, dates and paths as text and measurements as doubles; file_id and relative_path are required."""
