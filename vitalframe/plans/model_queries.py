@@ -30,7 +30,11 @@ def _whole(s, d):
     return table(s, d, "orders").join(li, "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("glc"), "f1", "f2", "f3")
 
 
-register("group_kfold", lambda s, d: S.group_folds(table(s, d, "orders"), "o_custkey", 5))
+register("group_kfold", lambda s, d: S.group_folds(table(s, d, "orders"), "o_custkey", 5), """
+WITH RECURSIVE g AS (SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)),
+w AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS o_custkey, 0::INT AS fold UNION ALL
+  SELECT g.r, [load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN g.n ELSE 0 END for i in [1, 2, 3, 4, 5]]::BIGINT[], g.o_custkey, (list_position(load, list_min(load)) - 1)::INT FROM w JOIN g ON g.r = w.r + 1)
+SELECT o_custkey, fold FROM w WHERE r > 0""")
 register("nested_cv", lambda s, d: M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 5), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "lasso", "knn", "gpr"]))
 register("nested_cv_summary", lambda s, d: M.summary(M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 3), "o_custkey", "glc", ["f1", "f2", "f3"], list(MODEL_SETS["low_overfit"]))))
 register("personalised_loso", lambda s, d: M.personalised(_whole(s, d), "o_custkey", "o_orderstatus", "glc", ["f1", "f2"], "F", "O"))
