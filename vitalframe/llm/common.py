@@ -87,6 +87,15 @@ def ascii_lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: ASCII letters as small ones, digits and every byte beyond ASCII as they are, all other bytes as blanks.
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
+
+def plain_words(text: bytes | None) -> list[bytes]:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a UTF-8 text, with A-Z lower-cased; a null has none."""
+    return (text or b"").translate(_PLAIN).split()
+
+
 def release_memory() -> None:
     """Give freed memory back to the system, where the C library can: a worker lives on after its task."""
     pa.default_memory_pool().release_unused()
