@@ -142,40 +142,6 @@ def leave_one_out_mean(rows: DataFrame, key: str, target: str) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select(key, F.try_divide(F.col("_ts") - F.col("_s"), F.col("_tn") - F.col("_n")).alias("predicted"))
 
 
-def personalised(rows: DataFrame, key: str, session: str, target: str, features: list[str], first: str, second: str) -> DataFrame:
-    """Leave one participant out: ridge on everyone else, then with the offset of the person's first session, and two baselines.
-
-    Gives (key, method, actual, predicted) for the second session. Everyone else's normal equations are the totals less
-    one's own, so participants are independent groups and no row is copied.
-    """
-    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    d, y = len(x), F.col(target).cast("double")
-    own = rows.groupBy(key).agg(*[F.sum(x[i] * x[j]).alias(f"_a{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(x[i] * y).alias(f"_b{i}") for i in range(d)])
-    names = [c for c in own.columns if c != key]
-    total = own.agg(*[F.sum(c).alias(f"_t{c}") for c in names])
-    rest = own.crossJoin(F.broadcast(total)).select(key, *[(F.col(f"_t{c}") - F.col(c)).alias(c) for c in names])
-    data = rows.select(key, F.col(session).cast("string").alias("_session"), y.alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).join(rest, key)
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((d, d)), np.array([part[f"_b{i}"].iloc[0] for i in range(d)])
-        for i in range(d):
-            for j in range(i, d):
-                a[i, j] = a[j, i] = part[f"_a{i}_{j}"].iloc[0]
-        w = np.linalg.lstsq(a + np.diag([0.0] + [1.0] * (d - 1)), b, rcond=None)[0]
-        one, two = part[part["_session"] == first], part[part["_session"] == second]
-        if one.empty or two.empty:
-            return pd.DataFrame({key: part[key].iloc[:0], "method": pd.Series([], dtype=str), "actual": part["_y"].iloc[:0], "predicted": part["_y"].iloc[:0]})
-        predict = lambda p: np.column_stack([np.ones(len(p)), p[features].to_numpy()]) @ w
-        offset = float((one["_y"].to_numpy() - predict(one)).mean())
-        mean = b[0] / a[0, 0] if a[0, 0] else np.nan
-        made = {"ridge": predict(two), "ridge_offset": predict(two) + offset, "others_mean": np.full(len(two), mean), "own_mean": np.full(len(two), one["_y"].mean()), "repeat_first": np.resize(one["_y"].to_numpy(), len(two))}
-        n = len(made)
-        return pd.DataFrame({key: np.tile(two[key].to_numpy(), n), "method": np.repeat(np.array(list(made), object), len(two)), "actual": np.tile(two["_y"].to_numpy(), n), "predicted": np.concatenate(list(made.values()))})
-
-    return data.groupBy(key).applyInPandas(run, f"{key} {kind}, method string, actual double, predicted double")
-
-
 def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, value: str, k: int, block: int = 2048) -> DataFrame:
     """The mean value of the k nearest base rows by Euclidean distance, ties by key, for each query vector.
 

@@ -92,3 +92,24 @@ def balanced(rows: DataFrame, key: str, quality: str, order: str) -> DataFrame:
     least = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(quality).desc_nulls_last(), order))
     return rows.withColumn("_rank", rank).crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")
+
+
+def session_vectors(files: DataFrame, keys: list[str], modality: str, modalities: list[str], values: list[str], order: str, quality: str | None = None) -> DataFrame:
+    """One wide row per session: of each modality the values of one file, named <modality>_<value>, and has_<modality>.
+
+    With a quality, a session's best file counts, the first in order of equals; where no file of the modality has one, or
+    without a quality, the last in order. A modality that a session lacks gives 0 and NULLs. Every session is kept; those
+    with all of the modalities are where all flags are 1. One aggregation by session, no join per modality.
+    """
+    at = F.col(order).cast("double")
+    rank = F.struct(F.lit(False), F.lit(0.0), at)
+    if quality is not None:
+        q = F.col(quality).cast("double")
+        q = F.when(~F.isnan(q), q)
+        rank = F.struct(q.isNotNull(), F.coalesce(q, F.lit(0.0)), F.when(q.isNull(), at).otherwise(-at))
+    parts = []
+    for m in modalities:
+        own = F.col(modality) == m
+        parts += [F.count_if(own).cast("boolean").cast("int").alias(f"has_{m}"), F.max_by(F.struct(*[F.col(v) for v in values]), F.when(own, rank)).alias(f"_{m}")]
+    made = files.groupBy(*keys).agg(*parts)
+    return made.select(*keys, *[F.col(f"has_{m}") for m in modalities], *[F.col(f"_{m}.{v}").alias(f"{m}_{v}") for m in modalities for v in values])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +164,52 @@ def sweep_features(rows: DataFrame, key: str, re: str = "zre", im: str = "zim",
 
 def line_features(rows: DataFrame, key: str, y: str, x: str) -> DataFrame:
     return rows.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def smoothing_matrix(window: int, degree: int) -> list[list[float]]:
+    """How each place of a window takes its value from the window's samples: the least squares polynomial there."""
+    basis = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)
+    return (basis @ np.linalg.pinv(basis)).tolist()
+
+
+def polynomial_smoothed(rows: DataFrame, key: str, order: str, x: str, out: str = "smooth", window: int = 11, degree: int = 3) -> DataFrame:
+    """Savitzky-Golay smoothing of each key's values in order: the middle of the polynomial around a row, and at the edges
+    the polynomial of the outermost window. A key with fewer rows takes the largest odd window that it has; with fewer
+    than five, or no more than the degree, it stays as it is. Fixed weights on rows before and after: no Python.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    sizes = [s for s in range(window - 1 + window % 2, 4, -2) if s > degree]
+    made = rows.withColumn("_at", F.row_number().over(w) - 1).withColumn("_left", F.count(F.lit(1)).over(Window.partitionBy(key)) - 1 - F.col("_at"))
+    reach = (sizes[0] if sizes else 1) - 1
+    value = F.col(x).cast("double")
+    made = made.withColumns({f"_o{o}": F.lead(value, o).over(w) if o >= 0 else F.lag(value, -o).over(w) for o in range(-reach, reach + 1)})
+
+    def weighted(weights: list[float], first: int):
+        total = F.lit(0.0)
+        for j, c in enumerate(weights):
+            total = total + c * F.col(f"_o{first + j}")
+        return total
+
+    n, found = F.col("_at") + F.col("_left") + 1, value
+    for s in reversed(sizes):
+        own, half = smoothing_matrix(s, degree), s // 2
+        part = weighted(own[half], -half)
+        for p in range(half):
+            part = F.when(F.col("_at") == p, weighted(own[p], -p)).when(F.col("_left") == p, weighted(own[s - 1 - p], -(s - 1 - p))).otherwise(part)
+        found = F.when(n >= s, part).otherwise(found)
+    return made.withColumn(out, found).drop("_at", "_left", *[f"_o{o}" for o in range(-reach, reach + 1)])
+
+
+#: The squared errors that rate 1 and 0.5.
+SWEEP_BEST, SWEEP_WORST = 2e-6, 0.002
+
+
+def sweep_quality(rows: DataFrame, key: str, order: str, x: str) -> DataFrame:
+    """(key, n, quality): how close a sweep, scaled to 0..1, is to its smoothed self. Smoothing weights add up to 1, so the
+    error of the scaled sweep is the sweep's own over its squared range; one without a range has no error."""
+    made = polynomial_smoothed(rows, key, order, x, "_smooth")
+    gap = F.col(x) - F.col("_smooth")
+    span = F.max(x) - F.min(x)
+    error = F.when(span > 0, F.avg(gap * gap) / (span * span)).otherwise(0.0)
+    rated = (2 * SWEEP_WORST - error - SWEEP_BEST) / (2 * (SWEEP_WORST - SWEEP_BEST))
+    return made.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), rated)).alias("quality"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("segment_queries", "aggregate_queries", "join_queries", "stats_queries", "signal_queries", "model_queries")
+MODULES = ("segment_queries", "aggregate_queries", "join_queries", "stats_queries", "signal_queries", "model_queries", "linear_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}

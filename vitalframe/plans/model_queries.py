@@ -37,7 +37,6 @@ w AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS
 SELECT o_custkey, fold FROM w WHERE r > 0""")
 register("nested_cv", lambda s, d: M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 5), "o_custkey", "glc", ["f1", "f2", "f3"], ["dummy", "lasso", "knn", "gpr"]))
 register("nested_cv_summary", lambda s, d: M.summary(M.nested_cv(_whole(s, d), S.group_folds(_whole(s, d), "o_custkey", 3), "o_custkey", "glc", ["f1", "f2", "f3"], list(MODEL_SETS["low_overfit"]))))
-register("personalised_loso", lambda s, d: M.personalised(_whole(s, d), "o_custkey", "o_orderstatus", "glc", ["f1", "f2"], "F", "O"))
 
 register("fold_metrics", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", (F.col("l_orderkey") % 5).alias("fold")).agg(F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("l_quantity") * 1500, F.lit(2.0)))).alias("rmse"))
          .groupBy("l_returnflag").agg(F.round(F.avg("rmse"), 4).alias("rmse_mean"), F.round(F.stddev_pop("rmse"), 4).alias("rmse_std")), """

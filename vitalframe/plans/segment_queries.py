@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators import segments as S
 from vitalframe.plans.catalog import register
-from vitalframe.plans.roles import FS, MODALITY_SAMPLES_SQL, SAMPLES_SQL, modality_samples, samples
+from vitalframe.plans.roles import FS, MODALITY_SAMPLES_SQL, SAMPLES_SQL, modality_samples, samples, table
 
 RUNS_SQL = """
 r AS (SELECT file_id, min(i) AS start_sample, count(*) AS duration, median(q) AS med, avg(q) AS mean
@@ -78,3 +78,22 @@ register("balanced_participants", lambda s, d: S.balanced(
     samples(s, d).select("file_id", "i", "q"), "file_id", "q", "i").select("file_id", "i"), f"""
 WITH {SAMPLES_SQL}, n AS (SELECT min(c) AS least FROM (SELECT count(*) AS c FROM s GROUP BY file_id))
 SELECT file_id, i FROM s, n QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY q DESC, i) <= max(least) OVER (PARTITION BY file_id)""")
+
+MODALITIES = ["click", "view", "purchase"]
+
+
+def _files(s, d):
+    """Events as a session's files: a session is a user's day, every fifth file has no quality."""
+    return table(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", "value", F.when(F.col("event_id") % 5 > 0, F.lit(50.0) / (F.lit(50.0) + F.col("value"))).alias("q"))
+
+
+def _session_sql(best: bool) -> str:
+    top = f"SELECT *, row_number() OVER (PARTITION BY user_id, day, event_type ORDER BY {'q IS NOT NULL DESC, coalesce(q, 0) DESC, CASE WHEN q IS NULL THEN -event_id ELSE event_id END' if best else 'event_id DESC'}) AS r FROM f"
+    cols = ", ".join(f"(count(*) FILTER (event_type = '{m}') > 0)::INT AS has_{m}, max(event_id) FILTER (event_type = '{m}') AS {m}_event_id, max(value) FILTER (event_type = '{m}') AS {m}_value" for m in MODALITIES)
+    return f"""
+WITH f AS (SELECT user_id, ts::DATE AS day, event_type, event_id, value, CASE WHEN event_id % 5 > 0 THEN 50.0::DOUBLE / (50.0::DOUBLE + value) END AS q FROM events)
+SELECT user_id, day, {cols} FROM ({top}) WHERE r = 1 GROUP BY 1, 2"""
+
+
+register("session_best_files", lambda s, d: S.session_vectors(_files(s, d), ["user_id", "day"], "event_type", MODALITIES, ["event_id", "value"], "event_id", "q"), _session_sql(True))
+register("session_last_files", lambda s, d: S.session_vectors(_files(s, d), ["user_id", "day"], "event_type", MODALITIES, ["event_id", "value"], "event_id"), _session_sql(False))

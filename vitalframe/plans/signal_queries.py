@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -156,3 +158,34 @@ register("ppg_features", lambda s, d: registry.ppg_table(_waves(s, d), 60.0, key
 register("ecg_features", lambda s, d: registry.ecg_table(_waves(s, d), 60.0, "file_id"))
 register("imf_features", lambda s, d: registry.extract(_waves(s, d), 60.0, features.emd_features, [f"IMF_1_{k}" for k in features.IMF], "file_id"))
 register("fiducial_points", lambda s, d: registry.fiducial_table(_waves(s, d), 60.0))
+
+
+def _weights(window: int, degree: int) -> list[list[Fraction]]:
+    """Exact least squares weights of a window's places, by the normal equations in fractions."""
+    at = range(-(window // 2), window // 2 + 1)
+    a = [[Fraction(sum(t ** (i + j) for t in at)) for j in range(degree + 1)] + [Fraction(int(i == k)) for k in range(degree + 1)] for i in range(degree + 1)]
+    for i in range(degree + 1):
+        top = next(r for r in range(i, degree + 1) if a[r][i])
+        a[i], a[top] = a[top], a[i]
+        a[i] = [v / a[i][i] for v in a[i]]
+        for r in range(degree + 1):
+            if r != i:
+                a[r] = [v - a[r][i] * w for v, w in zip(a[r], a[i])]
+    inverse = [row[degree + 1 :] for row in a]
+    return [[sum(t**i * inverse[i][j] * u**j for i in range(degree + 1) for j in range(degree + 1)) for u in at] for t in at]
+
+
+def _smoothed_sql() -> str:
+    """Each sample of a file meets the samples of its window by position, with the place's weight."""
+    rows = ", ".join(f"({s}, {p}, {j}, {float(w)!r}::DOUBLE)" for s in (11, 9, 7, 5) for p, row in enumerate(_weights(s, 3)) for j, w in enumerate(row))
+    return f"""
+{SAMPLES_SQL}, n AS (SELECT file_id, count(*) AS n, CASE WHEN count(*) >= 11 THEN 11 WHEN count(*) >= 9 THEN 9 WHEN count(*) >= 7 THEN 7 WHEN count(*) >= 5 THEN 5 END AS w FROM s GROUP BY 1),
+h(w, p, j, c) AS (VALUES {rows}), place AS (SELECT s.file_id, i, w, CASE WHEN i < w // 2 THEN 0 WHEN i >= n - w // 2 THEN n - w ELSE i - w // 2 END AS first FROM s JOIN n USING (file_id) WHERE w IS NOT NULL),
+smooth AS (SELECT p.file_id, p.i, sum(c * x) AS smooth FROM place p JOIN h ON h.w = p.w AND h.p = p.i - p.first JOIN s ON s.file_id = p.file_id AND s.i = p.first + h.j GROUP BY 1, 2),
+done AS (SELECT s.file_id, s.i, s.x, coalesce(smooth, s.x) AS smooth FROM s LEFT JOIN smooth USING (file_id, i))"""
+
+
+register("sweep_smoothed", lambda s, d: G.polynomial_smoothed(samples(s, d), "file_id", "i", "x").select("file_id", "i", F.round("smooth", 5).alias("smooth")),
+         f"WITH {_smoothed_sql()} SELECT file_id, i, round(smooth, 5) AS smooth FROM done")
+register("sweep_quality", lambda s, d: G.sweep_quality(samples(s, d).withColumn("x", F.col("i") + F.col("x") / 25), "file_id", "i", "x").select("file_id", "n", F.round("quality", 6).alias("quality")),
+         f"WITH {_smoothed_sql().replace('value AS x', '(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) + value / 25 AS x')} SELECT file_id, count(*) AS n, round(greatest(0, least(1, (0.004 - CASE WHEN max(x) > min(x) THEN avg((x - smooth) ** 2) / (max(x) - min(x)) ** 2 ELSE 0 END - 2e-6) / (2 * (0.002 - 2e-6)))), 6) AS quality FROM done GROUP BY 1")
