@@ -1,11 +1,13 @@
 """Packing of token sequences: best fit, then swap-based local search.
 
-Documents become ids, and pieces of at most `capacity` tokens. Pieces are dealt by a hash of their identity to groups
-of about GROUP_DOCS documents, so the number of groups follows the table and each group fits one task. In a group,
-pieces are placed best-fit in decreasing order; a local search then takes the emptiest sequence apart: its pieces move
-into other sequences, or are exchanged one-for-one, two-for-one or one-for-two against smaller loads there. Every
-accepted step raises the sum of squared fills, so the search ends; a sequence that becomes empty is gone. Sequences that
-are left loose in their groups are packed a second time, together.
+Documents become ids, and pieces of at most `capacity` tokens. A full piece is a sequence of its own and meets no other.
+The rest, at most one piece a document, are numbered as they are written and dealt to groups of about GROUP_DOCS by a
+hash of the number, so the number of groups follows the table, each group fits one task, and repeated rows spread. In a
+group, pieces are placed best-fit in decreasing order; a local search then takes the emptiest
+sequence apart: its pieces move into other sequences, or are exchanged one-for-one, two-for-one or one-for-two against
+smaller loads there. A step is taken only if it raises the sum of squared fills, that is if the other sequence becomes
+fuller than the one taken apart was, so the search ends; a sequence that becomes empty is gone. Sequences that are left
+loose in their groups are packed a second time, together.
 
 Columns of pack_documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.llm.common import checkpointed, pick, small_batches, tidy
 
-#: Documents per packing group, on average.
+#: Pieces that are not full per packing group, on average.
 GROUP_DOCS = 16_384
 #: Words, and pre-tokens, in one generation of a worker's caches; and the bytes of the longest word kept.
 CACHE_ENTRIES = 150_000
@@ -202,27 +204,26 @@ def _best_step(donor: int, open_: list[int], bins: list[list[int]], free: list[i
     mine = sorted(bins[donor], key=lambda i: -sizes[i])
     given = [([i], sizes[i]) for i in mine]
     given += [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(mine[:PAIRS_GIVEN]) for j in mine[k + 1 : PAIRS_GIVEN]]
-    best, gained, fill = None, 0, -1
-    for b in open_:
+    best, gained, mass = None, 0, -1
+    own_fill = sum(sizes[i] for i in mine)
+    fills = [sum(sizes[i] for i in bins[b]) for b in open_]
+    for b, full in zip(open_, fills):
         room = free[b]
         for own, weight in given:
-            if weight <= room and weight > gained:
+            if gained < weight <= room and full + weight > own_fill:
                 best, gained = (b, own, []), weight
     if best is not None:
         return best
-    mass = -1
-    own_fill = sum(sizes[i] for i in mine)
-    for b in open_:
+    for b, full in zip(open_, fills):
         room = free[b]
         theirs = bins[b]
-        full = sum(sizes[i] for i in theirs)
         out = [([i], sizes[i]) for i in theirs]
         if len(theirs) <= PAIRS_TAKEN:
             out += [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(theirs) for j in theirs[k + 1 :]]
         for own, weight in given:
             for other, light in out:
                 gain = weight - light
-                if 0 < gain <= room and len(own) + len(other) <= 3 and full + gain > own_fill - gain and (gain, full) > (gained, mass):
+                if 0 < gain <= room and len(own) + len(other) <= 3 and full + gain > own_fill and (gain, full) > (gained, mass):
                     best, gained, mass = (b, own, other), gain, full
     return best
 
@@ -255,28 +256,30 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: st
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Tokenise in the scan, shuffle only the pieces' numbers, and pack each group in one task."""
-    groups = max(1, -(-docs.count() // group_docs))
+    """Tokenise in the scan, write the pieces' numbers, and pack each group in one task."""
     pieces = pieces_of(docs, path, capacity, end_id, doc_id, text)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = [*pieces.columns, "sequence_id", "offset"]
+    every = checkpointed(pieces.withColumn("_n", F.monotonically_increasing_id()))
+    full, rest = every.where(F.col("length") == capacity), every.where(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_docs))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], kind="stable", ignore_index=True)
         sequence, rows["offset"] = pack_lengths(rows["length"].to_numpy(), capacity)
         rows["_loose"] = (np.bincount(sequence, rows["length"]) < (1 - LOOSE) * capacity)[sequence]
         rows["sequence_id"] = (rows.pop("_group").to_numpy() << 32) + sequence
-        return rows[[*names, "_loose"]]
+        return rows[[*names, "_n", "_loose"]]
+
+    def packed(rows: DataFrame, first: int, number: int) -> DataFrame:
+        dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_n"), F.lit(number)).cast("long") + first)
+        kinds = ", ".join(f"{c} {every.schema[c].dataType.simpleString()}" for c in pieces.columns)
+        return dealt.groupBy("_group").applyInPandas(pack, f"{kinds}, sequence_id long, offset long, _n long, _loose boolean")
 
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _loose boolean"
+    alone = full.select(*pieces.columns, (-1 - F.col("_n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if groups == 1:
-        return pieces.groupBy("_group").applyInPandas(pack, schema).select(names)
-    first = checkpointed(pieces.groupBy("_group").applyInPandas(pack, schema))
+        return alone.unionByName(packed(rest, 0, 1).select(names))
+    first = checkpointed(packed(rest, 0, groups))
     # Each group ends with a sequence or two that are not full; those of many groups fill each other.
     loose = first.where("_loose").drop("sequence_id", "offset", "_loose")
-    again = max(1, -(-loose.count() // group_docs))
-    loose = loose.withColumn("_group", (-1 - F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(again))).cast("long"))
-    second = loose.groupBy("_group").applyInPandas(pack, schema)
-    return first.where("NOT _loose").unionByName(second).select(names)
+    second = packed(loose, groups, max(1, -(-loose.count() // group_docs)))
+    return alone.unionByName(first.where("NOT _loose").select(names)).unionByName(second.select(names))
