@@ -79,6 +79,8 @@ CONTEXT, NEAR, AFTER = 48, 16, 24
 LABELERS = ("shape", "checksum", "gazetteer", "near", "far", "after", "assigned", "quoted", "common", "repeats")
 #: Matches whose positions are summed in one run; runs are chained.
 RUN = 256
+#: Code points of a block of text.
+BLOCK = 1024
 #: EM and training steps; the added weight of each labeler's prior.
 STEPS, PRIOR = 60, 2.0
 
@@ -147,18 +149,60 @@ def spans_by_kind(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rows = rows.withColumn("base", F.array_sort(F.concat(*[kept(k, i) for i, k in enumerate(BASE)])))
 
+    rows = rows.select("doc_id", "text", "base", *[_apart(F.col(k), F.col("base")).alias(k) for k in ADDED])
+    some = F.greatest(*[F.size(k) for k in ADDED]) > 0
+    rows = rows.select("doc_id", "base", F.when(some, _blocks(F.col("text"))).alias("blocks"), *ADDED)
+
     def judged(k: str, rank: int) -> Column:
         def one(x: Column) -> Column:
-            left = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))))
-            right = F.lower(F.substring(F.col("text"), x["end"] + 1, F.lit(AFTER)))
+            before = F.least(x["start"], F.lit(CONTEXT))
+            left, right = F.lower(_cut(F.col("blocks"), x["start"] - before, before)), F.lower(_cut(F.col("blocks"), x["end"], F.lit(AFTER)))
             return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(k).alias("kind"), _votes(k, x["body"], left, right).alias("votes"))
 
-        apart = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.transform(F.filter(F.col(k), apart), one)
+        return F.transform(F.col(k), one)
 
     return rows.select("doc_id", "base", F.array_sort(F.concat(*[judged(k, len(BASE) + i) for i, k in enumerate(ADDED)])).alias("more"))
 
 
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a place is reached without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, size: Column) -> Column:
+    """At most BLOCK code points from a place on."""
+    at = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return F.substring(two, start % BLOCK + 1, size)
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from one place to another: the rest of a block, whole blocks, and the beginning of one."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    whole = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    far = F.concat(F.substring(block(first), start % BLOCK + 1, F.lit(BLOCK)), whole, F.substring(block(last), F.lit(1), end % BLOCK))
+    return F.when(first == last, F.substring(block(first), start % BLOCK + 1, end - start)).otherwise(far)
+
+
+def _before(marks: Column, places: Column, ties: bool) -> Column:
+    """For each of the rising places, how many marks come before it, or at it with ties: sorted together, an element's
+    place less its own number."""
+    tag = 1 if ties else 0
+    both = F.array_sort(F.concat(F.transform(marks, lambda m: m.cast("long") * 2 + (1 - tag)), F.transform(places, lambda p: p.cast("long") * 2 + tag)))
+    own = F.filter(F.transform(both, lambda v, i: F.struct((v % 2).alias("tag"), i.alias("i"))), lambda x: x["tag"] == tag)
+    return F.transform(own, lambda x, j: x["i"] - j)
+
+
+def _apart(found: Column, base: Column) -> Column:
+    """The spans, in order and apart from each other, that overlap no base span: as many of these begin before a span's
+    end as end by its start. Linear in both but for a sort."""
+    begun = _before(F.transform(base, lambda b: b["start"]), F.transform(found, lambda x: x["end"]), False)
+    ended = _before(F.transform(base, lambda b: b["end"]), F.transform(found, lambda x: x["start"]), True)
+    free = F.zip_with(found, F.zip_with(begun, ended, lambda a, b: a == b), lambda x, f: F.struct(x.alias("x"), f.alias("f")))
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(F.transform(F.filter(free, lambda y: y["f"]), lambda y: y["x"]))
+
+
 def _mod97(body: Column) -> Column:
     """The remainder of an account number's check, letters counting from 10 and the first four characters last."""
     plain = F.regexp_replace(body, " ", "")
@@ -281,6 +325,22 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rows.select("doc_id", *map(count, BASE), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))
 
 
+def _first_spans(spans: Column) -> Column:
+    """Of sorted spans those that begin where no earlier one of them still runs; RUN at a time."""
+    nothing = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def grow(s: Column, x: Column) -> Column:
+        span = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(span)).alias("out")))
+
+    def chain(s: Column, r: Column) -> Column:
+        done = F.aggregate(F.slice(spans, r * RUN + 1, F.lit(RUN)), F.struct(s["at"].alias("at"), nothing.alias("out")), grow)
+        return F.struct(done["at"].alias("at"), F.concat(s["out"], done["out"]).alias("out"))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+    return F.when(F.size(spans) == 0, nothing).otherwise(F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), chain)["out"])
+
+
 def mask_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input with each span of its text replaced by its kind in brackets; of overlapping spans the first counts.
 
@@ -294,14 +354,11 @@ def mask_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     weights = train_classifier(patterns, reliabilities(patterns)[0]) if patterns else {}
     slim = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     more = F.transform(F.filter("more", lambda x: _score(x, weights) > 0), slim) if patterns else F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    rows = rows.select("_row", F.array_sort(F.concat("base", more)).alias("spans"), F.col("_row")[text].alias("_text"))
-
-    def put(s: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(F.col("_text"), s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(piece)).alias("parts")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    made = F.aggregate("spans", start, put, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("_text"), s["at"] + 1, F.length("_text") - s["at"])))
-    masked = F.when(F.size("spans") == 0, F.col("_text")).otherwise(made)
+    rows = rows.select("_row", _first_spans(F.array_sort(F.concat("base", more))).alias("spans"), F.col("_row")[text].alias("_text"))
+    rows = rows.select("_row", "spans", "_text", F.when(F.size("spans") > 0, _blocks(F.col("_text"))).alias("blocks"))
+    before = lambda i: F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0))
+    pieces = F.transform("spans", lambda x, i: F.concat(_between(F.col("blocks"), before(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = _between(F.col("blocks"), before(F.size("spans")), F.length("_text"))
+    masked = F.when(F.size("spans") == 0, F.col("_text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
     rows = rows.select("_row", masked.alias("_masked"))
     return rows.select(*[F.col("_masked").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
