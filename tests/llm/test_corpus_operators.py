@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from vitalframe.llm import bpe, exact_dedup, langid, media, packing, pii, sharding, simhash, substring, token_counts
+from vitalframe.llm.common import Tables
 from vitalframe.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +139,39 @@ def test_local_search_empties_a_sequence():
     assert all(sum(sizes[i] for i in b) + f == 100 for b, f in zip(bins, free))
 
 
+def test_every_step_raises_the_squared_fill(monkeypatch):
+    plain, steps = packing._best_step, []
+
+    def watched(donor, open_, bins, free, sizes):
+        step = plain(donor, open_, bins, free, sizes)
+        if step is not None:
+            other, given, taken = step
+            fill = lambda b: sum(sizes[i] for i in bins[b])
+            gain = sum(sizes[i] for i in given) - sum(sizes[i] for i in taken)
+            steps.append((fill(other) + gain) ** 2 + (fill(donor) - gain) ** 2 - fill(other) ** 2 - fill(donor) ** 2)
+        return step
+
+    monkeypatch.setattr(packing, "_best_step", watched)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        packing.pack_lengths(rng.integers(1, rng.integers(300, 1500), 150), 2048)
+        packing.pack_lengths(rng.integers(1, 100, 60), 100)
+    assert len(steps) > 200 and min(steps) > 0
+
+
+def test_packing_spreads_repeated_rows(spark):
+    """Full pieces meet in no group, and copies of one row go to many groups."""
+    docs = spark.createDataFrame([(7, "w " * 100)] * 400 + [(8, "w " * 4096)], "doc_id long, text string").repartition(3)
+    got = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 2048, 0, group_docs=20).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == {(7, 101): 400, (8, 2048): 2, (8, 1): 1}
+    bins = Counter()
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    groups = Counter(r["sequence_id"] >> 32 for r in got if r["sequence_id"] >= 0)
+    assert sum(n == 2048 for n in bins.values()) >= 2 and max(bins.values()) <= 2048
+    assert len(groups) > 10 and max(groups.values()) < 60 and len(bins) <= 2 + 24
+
+
 # 3 SimHash
 
 
@@ -186,7 +220,7 @@ def test_links_connect_all_near_fingerprints(spark, bucket):
             b ^= sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), replace=False))
             prints.add(b)
     signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
-    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed.values()], "print long"), 2, bucket)
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed.values()], "print long"), Tables(spark), 2, bucket)
     found = {(r["node"]): r["root"] for r in simhash.components(links).collect()}
     root = roots(prints)
     groups = defaultdict(set)
