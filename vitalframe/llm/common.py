@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,22 +56,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Written tables of one computation, removed together once its result is written."""
+    """Written tables of one computation, removed together once its result is written, with the shuffle files behind them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
 
     def add(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        return written(df, f"{self.folder}/{self.count}")
+        made = written(df, f"{self.folder}/{self.count}")
+        release_shuffles(self.spark)
+        return made
+
+    def clear(self) -> None:
+        remove_folder(self.spark, self.folder)
 
     def result(self, df: DataFrame) -> DataFrame:
         """The rows as a table that stays, after which the others are removed."""
         made = checkpointed(df)
-        remove_folder(self.spark, self.folder)
+        self.clear()
+        release_shuffles(self.spark)
         return made
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark deletes a finished query's shuffle files when the driver drops its plan, which
+    an idle driver may not do for long; a computation of many written steps would keep the files of all of them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

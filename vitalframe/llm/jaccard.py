@@ -203,9 +203,10 @@ def _all_pairs(rows: DataFrame, apart) -> DataFrame:
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int, proposed: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that are linked to another one; the pairs proposed are verified beside those found here."""
-    tables = Tables(docs.sparkSession)
+def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, pair_bucket: int, proposed: DataFrame, signed_read: Callable[[], None] = lambda: None) -> DataFrame:
+    """(node, root) of all nodes that are linked to another one; the pairs proposed are verified beside those found here.
+    signed_read is called when signed has been read for the last time."""
+    tables, early = Tables(docs.sparkSession), Tables(docs.sparkSession)
     # Of rows with equal sets one stands for all. These are few, so that the others are not shuffled for them.
     again = tables.add(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
     own = signed.select("node", "mark", "size", "bits", "keys")
@@ -213,12 +214,14 @@ def similar_roots(signed: DataFrame, docs: DataFrame, text: str, shingle: int, p
     nodes = tables.add(own.select("node", "mark", "size", "bits"))
     keys = own.select(F.explode("keys").alias("key"), "node", "size")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tables.add(keys.join(met, "key"))
+    shared = early.add(keys.join(met, "key"))
+    signed_read()
     crowded = shared.where(F.col("n") > pair_bucket).select("key", "node", "size")
     crowded = tables.add(crowded.join(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "node"))
     first = _all_pairs(shared.where(F.col("n") <= pair_bucket), F.lit(True))
     pairs = proposed.unionByName(first).unionByName(_hub_pairs(crowded.withColumn("root", F.col("node")), 0))
     links = verified(pairs, nodes, docs, text, shingle)
+    early.clear()
     roots = components(links)
     common = None
     for turn in range(1, MOST_ROUNDS + 1):

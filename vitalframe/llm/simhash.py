@@ -11,7 +11,7 @@ Equal fingerprints are one node from the start. A key under which more than PAIR
 pairs: its fingerprints are written with each of their 65 variants of at most one flipped bit, and those that share a
 variant are linked to the smallest of them, which is exact (a shared variant means a distance of two at most, and any
 two fingerprints at that distance share one) and linear. Components come from alternating large-star and small-star
-steps on the distributed links, with a checkpoint after each.
+steps on the distributed links; each step writes them to a table that takes the place of the one before.
 
 Columns of near_duplicates: doc_id, fingerprint, component_id.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.llm import jaccard
-from vitalframe.llm.common import SEED, checkpointed, pick, small_batches, tidy
+from vitalframe.llm.common import SEED, Tables, checkpointed, pick, small_batches, tidy
 from vitalframe.llm.graph import components
 
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -151,8 +151,9 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long")
 
 
-def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints at distance two or less that connect all such fingerprints."""
+def fingerprint_links(prints: DataFrame, tables: Tables, most_bits: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Links (a, b) between distinct fingerprints at distance two or less that connect all such fingerprints. They are read
+    from one of the tables."""
     if most_bits != 2:
         raise ValueError("the keys are made for a distance of two")
 
@@ -166,7 +167,7 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int =
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owners])], ["key", "print"])
 
     # Keys are a table of their own: counts combine before their shuffle, and Spark can split a crowded key's join.
-    keys = checkpointed(prints.select("print").mapInArrow(tidy(run), "key long, print long"))
+    keys = tables.add(prints.select("print").mapInArrow(tidy(run), "key long, print long"))
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keys.join(met, "key")
     few = shared.where(F.col("n") <= pair_bucket)
@@ -183,7 +184,9 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2, pair_bucket: int =
 def component_ids(rows: DataFrame, most_bits: int, pair_bucket: int) -> DataFrame:
     """(print, component_id) for each distinct fingerprint of rows (doc_id, print)."""
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(prints, most_bits, pair_bucket))
+    tables = Tables(rows.sparkSession)
+    roots = components(fingerprint_links(prints, tables, most_bits, pair_bucket))
+    tables.clear()
     known = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.join(ids, "root").select("print", "component_id")
@@ -204,11 +207,11 @@ def _majority(sets: list[np.ndarray]) -> np.ndarray:
     return ((sums * 2 > counts[:, None]) * powers).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def _candidates(nodes: DataFrame, pair_bucket: int) -> DataFrame:
+def _candidates(nodes: DataFrame, tables: Tables, pair_bucket: int) -> DataFrame:
     """Pairs (a, b) of sets, given as node and print, that connect those whose fingerprints are equal or linked."""
     least = nodes.groupBy("print").agg(F.min("node").alias("least"))
     equal = nodes.join(least, "print").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    links = fingerprint_links(least.select("print"), 2, pair_bucket)
+    links = fingerprint_links(least.select("print"), tables, 2, pair_bucket)
     a, b = least.toDF("a", "x"), least.toDF("b", "y")
     return equal.unionByName(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
@@ -220,7 +223,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     sets, met through Golay keys, propose the first pairs; since sets of that similarity mostly differ in more than two
     bits, the exact search of `jaccard` completes them. Every pair is verified by its whole sets.
     """
-    signed = checkpointed(jaccard.signed_documents(docs, doc_id, text, shingle, _majority))
-    nodes = signed.groupBy("node").agg(F.min("print").alias("print"))
-    roots = jaccard.similar_roots(signed, docs, text, shingle, pair_bucket, _candidates(checkpointed(nodes), pair_bucket))
-    return jaccard.without_copies(docs, signed, roots, doc_id, text)
+    tables, small = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    signed = tables.add(jaccard.signed_documents(docs, doc_id, text, shingle, _majority))
+    rows = checkpointed(signed.select("doc_id", "mark", "node"))
+    nodes = small.add(signed.groupBy("node").agg(F.min("print").alias("print")))
+    proposed = small.add(_candidates(nodes, small, pair_bucket))
+    roots = jaccard.similar_roots(signed, docs, text, shingle, pair_bucket, proposed, tables.clear)
+    small.clear()
+    return jaccard.without_copies(docs, rows, roots, doc_id, text)
