@@ -66,3 +66,26 @@ def test_experiment(spark, study):
 def test_unknown_pipeline_is_an_error(spark, study):
     with pytest.raises(ValueError):
         experiments.run_experiment(spark, config(study, out="out3", PPG_SIGNAL_PROCESSING_PIPELINE="magic"), ["dummy"])
+
+
+def test_names_of_the_registries(study):
+    cfg = lambda **more: experiments.datasets.DatasetConfig.load(config(study, **more))
+    for modality, step, known in (("ppg", "SIGNAL", experiments.SIGNALS["ppg"]), ("ecg", "SIGNAL", experiments.SIGNALS["ecg"]), ("ppg", "SQI", experiments.QUALITIES["ppg"]), ("bioimp", "SIGNAL", experiments.SWEEPS["SIGNAL"]), ("bioimp", "SQI", experiments.SWEEPS["SQI"])):
+        for name in known:
+            key = f"{modality.upper()}_{step}_PROCESSING_PIPELINE"
+            assert experiments._configured(cfg(**{key: name}), modality, step, known) == known[name]
+    for name in ("sqi_sumall", "sqi_pyppg", "sqi_nkcustom", "sqi_neurokit"):
+        assert name in experiments.QUALITIES["ppg"]
+    for modality, name in (("ppg", "all"), ("ppg", "single_vector"), ("ppg", "p1,s3"), ("ecg", "all"), ("bioimp", "all")):
+        assert experiments.feature_groups(cfg(**{f"{modality.upper()}_FEATURE_EXTRACTION_PIPELINE": name}), modality) == name
+    for modality, name in (("ppg", "p1,zz"), ("ecg", "single_vector"), ("bioimp", "p1")):
+        with pytest.raises(ValueError):
+            experiments.feature_groups(cfg(**{f"{modality.upper()}_FEATURE_EXTRACTION_PIPELINE": name}), modality)
+
+
+def test_fixed_split(spark):
+    from vitalframe.operators import splits
+
+    rows = spark.createDataFrame([(f"ieb_0{k}",) for k in range(1, 10)], "participant_id string")
+    parts = splits.fixed_split(rows)
+    assert {n: t.count() for n, t in parts.items()} == {"train": 6, "validation": 2, "test": 2} and splits.overlapping(parts, "participant_id") == [("validation", "test")]

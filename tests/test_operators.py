@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalframe.functions import nulls, scalars
-from vitalframe.operators import aggregates, joins, models, ordering, segments, signals, splits, stats
+from vitalframe.operators import aggregates, joins, models, neighbours, ordering, segments, signals, splits, stats
 
 NAN, INF = float("nan"), float("inf")
 
@@ -227,7 +227,7 @@ def test_neighbours_against_brute_force(spark):
     v = rng.normal(size=(90, 4))
     v[5] = v[6]
     df = spark.createDataFrame([(i, v[i].tolist(), float(i % 7)) for i in range(90)], "id long, e array<double>, y double")
-    got = {r["id"]: r["predicted"] for r in models.nearest_neighbours(df, df, "id", "e", "y", 3, block=20).collect()}
+    got = {r["id"]: r["predicted"] for r in neighbours.nearest_neighbours(df, df, "id", "e", "y", 3, block=20).collect()}
     for i in range(90):
         near = sorted((round(float(np.linalg.norm(v[i] - v[j])), 6), j) for j in range(90) if j != i)[:3]
         assert abs(got[i] - np.mean([j % 7 for _, j in near])) < 1e-12

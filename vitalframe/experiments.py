@@ -22,7 +22,11 @@ SIGNALS = {
     "ppg": {"bandpass": "bandpass", "reverse": "reverse", "inversion": "inversion", "savitzky": "savitzky", "neurokit": "pulse_clean", "lowpass": "lowpass"},
     "ecg": {"neurokit": "ecg_clean"},
 }
-QUALITIES = {"ppg": {"sqi_custom": "sqi_custom", "sqi_neurokit": "sqi_template", "sqi_pyppg": "sqi_pulse", "sqi_sumall": "sqi_all"}, "ecg": {"sqi_neurokit": "sqi_ecg"}}
+QUALITIES = {"ppg": {"sqi_custom": "sqi_custom", "sqi_nkcustom": "sqi_custom", "sqi_neurokit": "sqi_template", "sqi_pyppg": "sqi_pulse", "sqi_sumall": "sqi_all"}, "ecg": {"sqi_neurokit": "sqi_ecg"}}
+#: Steps that sweeps know by name; a sweep has one of each.
+SWEEPS = {"SIGNAL": {"savitzky": "savitzky"}, "SQI": {"sqi_mse": "sqi_mse"}}
+#: Names of all feature groups together, besides a list of groups.
+EVERY_GROUP = ("all", "single_vector")
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -37,10 +41,19 @@ def _configured(cfg: datasets.DatasetConfig, modality: str, step: str, known: di
     return known[name]
 
 
+def feature_groups(cfg: datasets.DatasetConfig, modality: str) -> str:
+    """What the configuration names for a modality; only PPG has groups to choose from."""
+    wanted = cfg.values.get(f"{modality.upper()}_FEATURE_EXTRACTION_PIPELINE", "all")
+    known = EVERY_GROUP if modality == "ppg" else EVERY_GROUP[:1]
+    if wanted not in known and (modality != "ppg" or not set(wanted.split(",")) <= set(features.GROUPS)):
+        raise ValueError(f"no feature pipeline {wanted} for {modality}")
+    return wanted
+
+
 def read_recordings(spark: SparkSession, cfg: datasets.DatasetConfig) -> DataFrame:
     """The index's rows with the samples of their file."""
     index = datasets.read_index(spark, cfg.index_path)
-    stem = F.regexp_replace(F.regexp_replace(F.col("relative_path"), r"\\\\", "/"), r"\.[^./]*$", "")
+    stem = F.regexp_replace(F.translate("relative_path", "\\", "/"), r"\.[^./]*$", "")
     waves = waveforms.read_sigmf(spark, cfg.raw_path).select(F.regexp_extract("stem", r"/raw/(.*)$", 1).alias("_stem"), "samples")
     return index.withColumn("_stem", F.regexp_replace(stem, "^raw/", "")).join(waves, "_stem").drop("_stem")
 
@@ -62,13 +75,13 @@ def segments_of(quality: DataFrame, fs: float, segmenter: dict, modality: str) -
 def wave_features(spark: SparkSession, cfg: datasets.DatasetConfig, recordings: DataFrame, modality: str, segmenter: dict) -> DataFrame:
     """Segments of one waveform modality with their features, metadata and quality."""
     fs = float(cfg.value(f"{modality.upper()}_FS"))
-    own = recordings.where(F.col("modality").startswith(modality))
+    own = recordings.where(F.col("modality").contains(modality))
     clean = _stored(registry.process(own, "signal", _configured(cfg, modality, "SIGNAL", SIGNALS[modality]), fs), f"{cfg.folder('waveforms')}/{cfg.value(f'{modality.upper()}_SIGNAL_OUTPUT_WAVEFORM')}_{modality}")
     quality = _stored(registry.process(clean, "quality", _configured(cfg, modality, "SQI", QUALITIES[modality]), fs), f"{cfg.folder('waveforms')}/{cfg.value(f'{modality.upper()}_SQI_OUTPUT_WAVEFORM')}_{modality}")
     cut = _stored(segments.numbered(segments_of(quality, fs, segmenter, modality)), f"{cfg.folder('segments')}/{modality}")
     held = waveforms.sliced(cut, clean).select("segment_id", "samples")
-    wanted = cfg.values.get("PPG_FEATURE_EXTRACTION_PIPELINE", "all")
-    groups = tuple(features.GROUPS) if wanted == "all" else tuple(wanted.split(","))
+    wanted = feature_groups(cfg, modality)
+    groups = tuple(features.GROUPS) if wanted in EVERY_GROUP else tuple(wanted.split(","))
     made = registry.ppg_table(held, fs, groups) if modality == "ppg" else registry.ecg_table(held, fs)
     about = own.drop("samples", "modality", "relative_path")
     return made.drop("status").join(cut, "segment_id").join(about, "file_id").withColumn("modality", F.lit(modality))
@@ -76,7 +89,11 @@ def wave_features(spark: SparkSession, cfg: datasets.DatasetConfig, recordings:
 
 def sweep_features(spark: SparkSession, cfg: datasets.DatasetConfig) -> DataFrame:
     """Impedance sweeps, one segment each, with their features, metadata and quality."""
-    index = datasets.read_index(spark, cfg.index_path).where(F.col("modality").startswith("bioimp"))
+    for step, known in SWEEPS.items():
+        if f"BIOIMP_{step}_PROCESSING_PIPELINE" in cfg.values:
+            _configured(cfg, "bioimp", step, known)
+    feature_groups(cfg, "bioimp")
+    index = datasets.read_index(spark, cfg.index_path).where(F.col("modality").contains("bioimp"))
     sweeps = waveforms.read_sweeps(spark, cfg.raw_path).withColumn("relative_path", F.regexp_extract("file", r"/raw/(.*)$", 1))
     rows = sweeps.join(index.withColumn("relative_path", F.regexp_replace("relative_path", "^raw/", "")), "relative_path")
     made = signals.sweep_features(rows, "file_id").drop("bioimp_valid", "bioimp_n_points").join(registry.sweep_qualities(rows, "file_id"), "file_id").join(rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("duration")), "file_id")

@@ -76,6 +76,11 @@ def inverted(x) -> Column:
     return F.transform(col_of(x), lambda e: -e)
 
 
+def scaled_between(x, low: float = 0.1, high: float = 0.9) -> Column:
+    """An array scaled to [low, high]; a flat one becomes low."""
+    return F.transform(scaled_array(x), lambda e: F.coalesce(e * (high - low) + low, F.lit(float(low))))
+
+
 def scaled_array(x) -> Column:
     """An array scaled to [0, 1]; a flat one has no scale and becomes NULLs."""
     c = col_of(x)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, col_of, row_mean
-from vitalframe.operators.ordering import running, with_neighbour
+from vitalframe.operators.ordering import exact_quantiles, running, with_neighbour
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -43,15 +43,24 @@ def seconds_per_participant(segments: DataFrame, fs: float, mode: str = "total",
     return per_file.groupBy(participant).agg(value.alias("seconds"), F.count(F.lit(1)).alias("n_files"))
 
 
-def value_stats(x) -> list[Column]:
-    """Aggregates that describe a column: n, mean, std (population), median, min, max, percentiles, shares of 0.5 and 0.8."""
+def value_stats(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Per key: n, mean, std (population), median, min, max, percentiles, shares of 0.5 and 0.8 of a column."""
     v = clean_num(x)
-    many = F.percentile(v, F.array(*[F.lit(p) for p in PERCENTILES]))
-    return [
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.element_at(many, i + 1).alias(f"p{int(p * 100):02d}") for i, p in enumerate(PERCENTILES)],
-        F.avg((v >= 0.5).cast("double")).alias("share_50"), F.avg((v >= 0.8).cast("double")).alias("share_80"),
-    ]
+    plain = rows.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg((v >= 0.5).cast("double")).alias("share_50"), F.avg((v >= 0.8).cast("double")).alias("share_80"))
+    found = exact_quantiles(rows.select(*keys, v.alias("_x")), "_x", list(PERCENTILES), keys)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("share") == p, F.col("quantile"))).alias(f"p{int(p * 100):02d}") for p in PERCENTILES])
+    made = plain.join(wide, keys, "left") if keys else plain.crossJoin(F.broadcast(wide))  # one row each
+    return made.withColumn("median", F.col("p50"))
+
+
+def rolled_up(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """value_stats of all keys, of ever fewer from the last on, and of all rows; a key that is summed over is NULL."""
+    levels = F.array(*[F.struct(F.lit(k).alias("_level"), *[F.col(c).alias(c) if i < k else F.lit(None).cast(rows.schema[c].dataType).alias(c) for i, c in enumerate(keys)]) for k in range(len(keys) + 1)])
+    each = rows.select(F.col(x), F.inline(levels)).withColumn("_group", F.to_json(F.struct("_level", *keys)))  # a missing key is left out, so groups with and without one differ
+    names = each.groupBy("_group").agg(*[F.max(c).alias(c) for c in keys])
+    return value_stats(each, ["_group"], x).join(names, "_group").drop("_group")
 
 
 def histogram(rows: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import row_mean
-from vitalframe.operators.ordering import running, with_neighbour
+from vitalframe.operators.ordering import each_number, running, with_neighbour
 
 
 def with_metadata(rows: DataFrame, info: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -115,4 +115,4 @@ def missing_numbers(rows: DataFrame, number: str, start: int) -> DataFrame:
     have = rows.select(F.col(number).cast("long").alias("n")).distinct().where(F.col("n") >= start)
     have = have.unionByName(rows.sparkSession.range(1).select(F.lit(start - 1).cast("long").alias("n")))
     gaps = with_neighbour(have, "n", "next", ahead=True).where("next > n + 1")
-    return gaps.select(F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("missing"))
+    return each_number(gaps, F.col("n") + 1, F.col("next") - 1, "missing").select("missing")

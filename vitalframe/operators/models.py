@@ -142,39 +142,6 @@ def leave_one_out_mean(rows: DataFrame, key: str, target: str) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select(key, F.try_divide(F.col("_ts") - F.col("_s"), F.col("_tn") - F.col("_n")).alias("predicted"))
 
 
-def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, value: str, k: int, block: int = 2048) -> DataFrame:
-    """The mean value of the k nearest base rows by Euclidean distance, ties by key, for each query vector.
-
-    Both sides are dealt to blocks of about `block` rows; each pair of blocks is one group, which keeps k rows per
-    query, and the lists of a query's groups are merged. An exact search compares every query with every base row.
-    """
-    n_q, n_b = (max(1, -(-t.count() // block)) for t in (queries, base))
-    own = lambda t, n, name: t.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), *([F.col(value).cast("double").alias("_y")] if name == "b" else []), F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}"))
-    q = own(queries, n_q, "q").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))))
-    b = own(base, n_b, "b").withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    kind = queries.schema[key].dataType.simpleString()
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"_id": left["_id"][:0], "_o": right["_id"][:0], "_d": np.zeros(0), "_y": np.zeros(0)})
-        right = right.sort_values("_id", kind="stable", ignore_index=True)
-        w, ids, y = np.vstack(right["_v"]), right["_id"].to_numpy(), right["_y"].to_numpy(float)
-        ww, out = (w**2).sum(1), []
-        for at in range(0, len(left), 512):
-            part = left.iloc[at : at + 512]
-            v = np.vstack(part["_v"])
-            gap = np.round(np.sqrt(np.maximum((v**2).sum(1)[:, None] - 2 * v @ w.T + ww, 0)), 6)
-            gap[part["_id"].to_numpy()[:, None] == ids[None]] = np.inf
-            near = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            rows, d = np.repeat(part["_id"].to_numpy(), near.shape[1]), np.take_along_axis(gap, near, axis=1).ravel()
-            out.append(pd.DataFrame({"_id": rows, "_o": ids[near.ravel()], "_d": d, "_y": y[near.ravel()]})[np.isfinite(d)])
-        return pd.concat(out)
-
-    lists = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(run, f"_id {kind}, _o {base.schema[key].dataType.simpleString()}, _d double, _y double")
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_d", "_o"))
-    return lists.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_id").agg(F.avg("_y").alias("predicted")).withColumnRenamed("_id", key)
-
-
 def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: dict[str, list[str]], models: Iterable[str], model_set: str = "low_overfit") -> DataFrame:
     """Test metrics per model for every combination of modalities, each a list of features."""
     from functools import reduce

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, meets
+from vitalframe.operators.ordering import running
 
 
 def threshold_runs(samples: DataFrame, threshold: float, fs: float = 1.0, min_seconds: float = 0.0, use_median: bool = True, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -62,12 +63,11 @@ def window_quality(windows: DataFrame, samples: DataFrame, use_median: bool = Tr
 def numbered(segments: DataFrame, *order) -> DataFrame:
     """segment_id seg_id<n>, numbered over all files in order.
 
-    Numbers per file are prefix-summed over the per-file counts, so only one row per file meets in a single task.
+    Counts per file are summed up over ranges of files, so no task holds all of them.
     """
     own = F.row_number().over(Window.partitionBy("file_id").orderBy("start_sample"))
-    before = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")).select(
-        "file_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = segments.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"))
+    starts = running(counts, "file_id", "_n", "_upto").select("file_id", (F.col("_upto") - F.col("_n")).alias("_before"))
     return segments.withColumn("_own", own).join(starts, "file_id").withColumn(
         "segment_id", F.concat(F.lit("seg_id"), (F.col("_before") + F.col("_own") - 1).cast("string"))).drop("_own", "_before")
 

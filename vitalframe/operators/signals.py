@@ -162,6 +162,18 @@ def sweep_features(rows: DataFrame, key: str, re: str = "zre", im: str = "zim",
     return wide.groupBy(key).agg(*out, *more, F.count(F.lit(1)).alias("bioimp_n_points"), (F.count(F.lit(1)) > 0).alias("bioimp_valid"))
 
 
+def quadratic_features(rows: DataFrame, key: str, y: str, x: str) -> DataFrame:
+    """(key, quadratic): the leading coefficient of the least squares parabola, from power sums about the key's mean of x;
+    NULL where x has fewer than three values."""
+    t, v = F.col("_t"), F.col(y).cast("double")
+    held = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_t", F.col(x).cast("double") - F.avg(F.col(x).cast("double")).over(Window.partitionBy(key)))
+    sums = held.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(t**k).alias(f"s{k}") for k in (2, 3, 4)], *[F.sum(t**k * v).alias(f"y{k}") for k in (0, 1, 2)], F.count_distinct(x).alias("levels"))
+    n, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("n", "s2", "s3", "s4", "y0", "y1", "y2"))
+    top, base = n * (s2 * y2 - s3 * y1) - s2 * s2 * y0, n * (s2 * s4 - s3 * s3) - s2 * s2 * s2
+    return sums.select(key, F.when(F.col("levels") >= 3, F.try_divide(top, base)).alias("quadratic"))
+
+
 def line_features(rows: DataFrame, key: str, y: str, x: str) -> DataFrame:
     return rows.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 

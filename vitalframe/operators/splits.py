@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.functions.scalars import participant_name, stratum
-from vitalframe.operators.ordering import running
+from vitalframe.operators.ordering import each_number, running
 
 
 def listed_split(rows: DataFrame, participants: dict[str, DataFrame], key: str = "participant_id") -> dict[str, DataFrame]:
@@ -52,6 +52,15 @@ def stratified_split(rows: DataFrame, key: str, target: str, shares: dict[str, f
     return hash_split(people, key, shares, seed, "class" if all(r["n"] >= least for r in sizes) else None)
 
 
+#: The participants of the third dataset's split; its validation list is its test list.
+FIXED_IEB3 = {"train": ["ieb_01", "ieb_02", "ieb_03", "ieb_04", "ieb_06", "ieb_08"], "validation": ["ieb_05", "ieb_07"], "test": ["ieb_05", "ieb_07"]}
+
+
+def fixed_split(rows: DataFrame, lists: dict[str, list] = FIXED_IEB3, key: str = "participant_id") -> dict[str, DataFrame]:
+    """One table per list of participants that is given by name."""
+    return {part: rows.where(F.col(key).isin(list(ids))) for part, ids in lists.items()}
+
+
 def overlapping(parts: dict[str, DataFrame], key: str) -> list[tuple[str, str]]:
     """Pairs of parts that share a participant."""
     names = list(parts)
@@ -87,7 +96,7 @@ def group_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
         load = [x + size * n for x, n in zip(load, taken)]
     spark = rows.sparkSession
     steps = spark.createDataFrame([(size, f, n, at, at[f]) for size, at, taken in plan for f, n in enumerate(taken) if n], "_size long, fold int, _taken long, _loads array<long>, _load long")
-    steps = steps.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1)))
+    steps = each_number(steps, F.lit(0), F.col("_taken") - 1, "_j")
     value = F.col("_load") + F.col("_j") * F.col("_size")
     earlier = lambda x, f: F.greatest(F.lit(0).cast("long"), F.floor((value - x + F.when(f < F.col("fold"), F.col("_size")).otherwise(F.col("_size") - 1)) / F.col("_size")).cast("long"))
     nth = F.aggregate(F.transform("_loads", earlier), F.lit(1).cast("long"), lambda s, x: s + x)

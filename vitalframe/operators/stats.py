@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, safe_corr, to_number
-from vitalframe.operators.ordering import exact_quantiles, running
+from vitalframe.operators.information import neighbour_information
+from vitalframe.operators.ordering import average_ranks, exact_quantiles
 
 
 def long_form(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -114,13 +115,6 @@ def centered(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: clean_num(c) - F.avg(clean_num(c)).over(w) for c in columns})
 
 
-def average_ranks(rows: DataFrame, value: str, rank: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Average rank of each value. Values are counted first; ranks are running sums over the distinct ones."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running(counts, value, "_n", "_upto", keys).select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank))
-    return rows.join(ranks, [*keys, value])
-
-
 def variance_by_feature(long: DataFrame, subject: str) -> DataFrame:
     """icc and within_pct of each feature of a long table, as variance_components gives them."""
     groups = long.where(F.col("value").isNotNull() & F.col(subject).isNotNull()).groupBy("feature", subject).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("s2"))
@@ -145,7 +139,7 @@ def characterised(rows: DataFrame, subject: str, target: str, features: list[str
         safe_corr("value", target).alias("pearson"), safe_corr("_dx", "_dy").alias("centered"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"), F.count_distinct(subject).alias("k"))
     shape = long.groupBy("feature").agg((F.avg(x.isNull().cast("double")) * 100).alias("missing_pct"), F.count_distinct(x).alias("n_unique"))
-    ranked = average_ranks(average_ranks(both.select("feature", "value", target), "value", "_rx", ["feature"]), target, "_ry", ["feature"])
+    ranked = average_ranks(both.select("feature", "value", target), {"value": "_rx", target: "_ry"}, ["feature"])
     made = related.join(shape, "feature").join(variance_by_feature(long, subject), "feature", "left").join(ranked.groupBy("feature").agg(safe_corr("_rx", "_ry").alias("spearman")), "feature", "left")
     return made.withColumn("rm_corr", F.when(F.col("k") >= 3, F.col("centered"))).withColumn("cv", F.when(F.abs("mean") > 1e-8, F.col("std") / F.abs("mean"))).drop("k")
 
@@ -230,16 +224,8 @@ def relevance_report(rows: DataFrame, target: str, features: list[str], k: int =
 
 
 def information_matrix(rows: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """(feature_1, feature_2, mi) for every pair of features; each pair is a group of its own."""
-    import pandas as pd
-
-    from vitalframe.kernels.information import neighbour_information
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x"], kind="stable")
-        return pd.DataFrame({"feature_1": part["feature_1"].iloc[:1], "feature_2": part["feature_2"].iloc[:1], "mi": [neighbour_information(part["x"].to_numpy(float), part["y"].to_numpy(float), k)]})
-
-    return paired_values(rows, features).groupBy("feature_1", "feature_2").applyInPandas(run, "feature_1 string, feature_2 string, mi double")
+    """(feature_1, feature_2, mi) for every pair of features."""
+    return neighbour_information(paired_values(rows, features), ["feature_1", "feature_2"], "x", "y", k)
 
 
 def reduced_features(train: DataFrame, features: list[str], least: float = 0.95, tolerance: float = 1e-10) -> tuple[list[str], DataFrame]:
@@ -252,6 +238,32 @@ def reduced_features(train: DataFrame, features: list[str], least: float = 0.95,
     return [f for f in features if f not in gone], report
 
 
+def identical_pairs(rows: DataFrame, features: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Per pair of features: whether they are equal, close or each other's negation, mean, largest and deviation of the
+    absolute difference, and the percentage of equal values; missing ones are skipped."""
+    x, y = F.col("x"), F.col("y")
+    gap = F.abs(x - y)
+    return paired_values(rows, features).groupBy("feature_1", "feature_2").agg(
+        F.bool_and(x == y).alias("equal"), F.bool_and(gap <= tolerance * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))).alias("close"), F.bool_and(x == -y).alias("negated"),
+        F.avg(gap).alias("mean_difference"), F.max(gap).alias("max_difference"), F.stddev_pop(gap).alias("std_difference"), (F.avg((x == y).cast("double")) * 100).alias("equal_pct"))
+
+
+def statistics_report(train: DataFrame, target: str, features: list[str], least: float = 0.95, k: int = 3) -> dict[str, DataFrame]:
+    """The statistics driver on training rows: scaled features, their correlations, the highly correlated pairs with how
+    far they are identical and whether one is a line of the other, and the features' relevance to the target."""
+    rows = scaled(train, features)
+    pairs = feature_pairs(rows, features)
+    close = near_duplicate_pairs(pairs, least)
+    lines = affine_pairs(rows, close, features, relative=True)
+    redundant = close.select("feature_1", "feature_2", "r").join(identical_pairs(train, features), ["feature_1", "feature_2"]).join(lines, ["feature_1", "feature_2"], "left")
+    return {"scaled": rows, "correlations": pairs, "redundant": redundant, "relevance": relevance_report(rows, target, features, k)}
+
+
+def chosen_variance(train: DataFrame, chosen: list[str], subject: str) -> DataFrame:
+    """(feature, icc, within_pct) of the selected features, as the selection driver reports them."""
+    return variance_by_feature(long_form(train, [subject], chosen).withColumn("value", clean_num("value")), subject)
+
+
 def selected_features(train: DataFrame, test: DataFrame, target: str, features: list[str], k: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """The selection driver: drop lines of other features, choose k by mRMR on the training rows alone, and cut both tables
     to the chosen features and all columns that are no features. k below 1 keeps every feature that is left."""
@@ -262,17 +274,9 @@ def selected_features(train: DataFrame, test: DataFrame, target: str, features:
 
 
 def neighbour_relevance(rows: DataFrame, target: str, features: list[str], k: int = 3) -> DataFrame:
-    """(feature, mi): mutual information of each feature with the target, one task per feature of a study's table."""
-    import pandas as pd
-
-    from vitalframe.kernels.information import neighbour_information
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([target, "value"], kind="stable")
-        return pd.DataFrame({"feature": [part["feature"].iloc[0]], "mi": [neighbour_information(part["value"].to_numpy(float), part[target].to_numpy(float), k)]})
-
+    """(feature, mi): mutual information of each feature with the target."""
     long = long_form(rows.withColumn(target, F.col(target).cast("double")), [target], features)
-    return long.groupBy("feature").applyInPandas(run, "feature string, mi double")
+    return neighbour_information(long, ["feature"], "value", target, k)
 
 
 def principal_components(rows: DataFrame, key: str, features: list[str], k: int = 2) -> DataFrame:

@@ -48,8 +48,8 @@ register("segment_seconds_average", lambda s, d: _seconds(s, d, "average"), _SEG
 _STATS = [c for c in ("mean", "std", "median", "min", "max", *[f"p{int(p * 100):02d}" for p in A.PERCENTILES], "share_50", "share_80")]
 _STATS_SQL = "count(q) AS n, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS std, round(median(q), 6) AS median, round(min(q), 6) AS min, round(max(q), 6) AS max, " + ", ".join(
     f"round(quantile_cont(q, {p}), 6) AS p{int(p * 100):02d}" for p in A.PERCENTILES) + ", round(avg((q >= 0.5)::INT), 6) AS share_50, round(avg((q >= 0.8)::INT), 6) AS share_80"
-register("sqi_stats", lambda s, d: _round(samples(s, d).groupBy("modality").agg(*A.value_stats("q")), *_STATS), f"WITH {SAMPLES_SQL} SELECT modality, {_STATS_SQL} FROM s GROUP BY 1")
-register("sqi_rollup", lambda s, d: _round(samples(s, d).rollup("modality", "file_id").agg(*A.value_stats("q")), *_STATS).fillna({"file_id": -1}), f"WITH {SAMPLES_SQL} SELECT modality, coalesce(file_id, -1) AS file_id, {_STATS_SQL} FROM s GROUP BY ROLLUP(modality, file_id)")
+register("sqi_stats", lambda s, d: _round(A.value_stats(samples(s, d), ["modality"], "q"), *_STATS), f"WITH {SAMPLES_SQL} SELECT modality, {_STATS_SQL} FROM s GROUP BY 1")
+register("sqi_rollup", lambda s, d: _round(A.rolled_up(samples(s, d), ["modality", "file_id"], "q"), *_STATS).fillna({"file_id": -1}), f"WITH {SAMPLES_SQL} SELECT modality, coalesce(file_id, -1) AS file_id, {_STATS_SQL} FROM s GROUP BY ROLLUP(modality, file_id)")
 
 register("sqi_histogram", lambda s, d: _round(A.histogram(samples(s, d), "q", 0.0, 1.0, 20), "edge", "cdf"), f"""
 WITH {SAMPLES_SQL}, c AS (SELECT least(floor(q / 0.05)::INT, 19) AS bin, count(*) AS n FROM s WHERE q BETWEEN 0 AND 1 GROUP BY 1),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vitalframe.operators import gaussian as P
 from vitalframe.operators import gram as G
 from vitalframe.operators import loso as L
+from vitalframe.operators import trees as T
 from vitalframe.plans.catalog import register
 from vitalframe.plans.roles import table
 
@@ -205,3 +206,43 @@ SELECT o_orderkey, round({" + ".join(f"w{i} * (x{i} - m{i}) / e{i}" for i in r)}
 
 
 register("pls_scores", lambda s, d: G.pls_scores(studied(s, d), "o_orderkey", "glc", FEATURES[:3]).select("o_orderkey", F.round("pls1", 4).alias("pls1"), F.round("pls2", 4).alias("pls2")), _pls_sql())
+
+TREE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _split_sql(level: int) -> str:
+    """The best split of each node of a level: sums up to each value of each feature."""
+    return f"""
+u{level} AS (SELECT node, y, unnest([1, 2, 3]) AS f, unnest([x1, x2, x3]) AS v FROM r{level}),
+h{level} AS (SELECT node, f, v, count(*)::DOUBLE AS w, sum(y) AS s FROM u{level} GROUP BY 1, 2, 3),
+g{level} AS (SELECT node, f, v, sum(w) OVER p AS lw, sum(s) OVER p AS ls, sum(w) OVER a AS w, sum(s) OVER a AS s FROM h{level} WINDOW p AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
+b{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ls * ls / lw + (s - ls) * (s - ls) / (w - lw) DESC, f, v) AS n FROM g{level} WHERE w - lw >= 1) WHERE n = 1),
+r{level + 1} AS (SELECT r.* EXCLUDE (node), r.node * 2 + (CASE b.f WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END > b.v)::INT AS node FROM r{level} r JOIN b{level} b ON b.node = r.node)"""
+
+
+register("regression_tree", lambda s, d: T.tree_table(s, T.fit_tree(table(s, d, "lineitem"), "l_extendedprice", TREE, depth=2), TREE).select(
+    "node", "feature", F.round("threshold", 4).alias("threshold"), F.col("n").cast("long").alias("n"), F.round("value", 4).alias("value")), f"""
+WITH r0 AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_tax::DOUBLE AS x3, 1 AS node FROM lineitem), {_split_sql(0)}, {_split_sql(1)},
+n AS (SELECT node, y FROM r0 UNION ALL SELECT node, y FROM r1 UNION ALL SELECT node, y FROM r2), b AS (SELECT node, f, v FROM b0 UNION ALL SELECT node, f, v FROM b1)
+SELECT n.node, ['l_quantity', 'l_discount', 'l_tax'][any_value(b.f)] AS feature, round(any_value(b.v), 4) AS threshold, count(*) AS n, round(avg(y), 4) AS value FROM n LEFT JOIN b ON b.node = n.node GROUP BY n.node""")
+
+
+def _boosted(s, d):
+    """Errors of boosting on all lines after each number of rounds."""
+    rows = table(s, d, "lineitem")
+    model = T.fit_boosted(rows, "l_extendedprice", TREE, rounds=4, depth=2, rate=0.5)
+    x, y = F.array(*[F.col(f).cast("double") for f in TREE]), F.col("l_extendedprice").cast("double")
+    error = F.inline(F.array(*[F.struct(F.lit(k).alias("round"), (model.predicted(x, k) - y).alias("e")) for k in range(5)]))
+    return rows.select(error).groupBy("round").agg(F.count("e").alias("n"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("rmse"))
+
+
+def _forest(s, d):
+    """Mean prediction and error of a forest per quantity."""
+    rows = table(s, d, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber"))
+    model = T.fit_forest(rows, "id", "l_extendedprice", TREE, trees=4, depth=3, share=0.7)
+    made = model.predict(rows)
+    return made.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("predicted"), 4).alias("predicted"), F.round(F.sqrt(F.avg((F.col("predicted") - F.col("l_extendedprice")) ** 2)), 4).alias("rmse"))
+
+
+register("boosted_trees", _boosted)
+register("random_forest", _forest)

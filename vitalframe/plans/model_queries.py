@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.kernels.regressors import MODEL_SETS
 from vitalframe.operators import models as M
+from vitalframe.operators import neighbours as N
 from vitalframe.operators import splits as S
 from vitalframe.operators import stats as T
 from vitalframe.plans.catalog import register
@@ -44,7 +45,7 @@ WITH f AS (SELECT l_returnflag, l_orderkey % 5 AS fold, sqrt(avg((l_extendedpric
 register("loso_summary", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500)).alias("mae"))
          .groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("n"), F.round(F.avg("mae"), 4).alias("mae_mean"), F.round(F.stddev_samp("mae"), 4).alias("mae_std")).orderBy("mae_mean"), """
 WITH f AS (SELECT l_returnflag, l_suppkey, avg(abs(l_extendedprice - l_quantity * 1500)) AS mae FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(DISTINCT l_suppkey) AS n, round(avg(mae), 4) AS mae_mean, round(stddev_samp(mae), 4) AS mae_std FROM f GROUP BY 1""")
-register("knn_regress", lambda s, d: M.nearest_neighbours(table(s, d, "embeddings"), table(s, d, "embeddings"), "vec_id", "embedding", "label", 5).withColumn("predicted", F.round("predicted", 6)), """
+register("knn_regress", lambda s, d: N.nearest_neighbours(table(s, d, "embeddings"), table(s, d, "embeddings"), "vec_id", "embedding", "label", 5).withColumn("predicted", F.round("predicted", 6)), """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS o, b.label, round(sqrt(greatest(list_dot_product(a.e, a.e) - 2 * list_dot_product(a.e, b.e) + list_dot_product(b.e, b.e), 0)), 6) AS g FROM e a JOIN e b ON a.vec_id <> b.vec_id)
 SELECT vec_id, round(avg(label), 6) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY g, o) AS r FROM p) WHERE r <= 5 GROUP BY 1""")
 

@@ -189,3 +189,9 @@ register("sweep_smoothed", lambda s, d: G.polynomial_smoothed(samples(s, d), "fi
          f"WITH {_smoothed_sql()} SELECT file_id, i, round(smooth, 5) AS smooth FROM done")
 register("sweep_quality", lambda s, d: G.sweep_quality(samples(s, d).withColumn("x", F.col("i") + F.col("x") / 25), "file_id", "i", "x").select("file_id", "n", F.round("quality", 6).alias("quality")),
          f"WITH {_smoothed_sql().replace('value AS x', '(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) + value / 25 AS x')} SELECT file_id, count(*) AS n, round(greatest(0, least(1, (0.004 - CASE WHEN max(x) > min(x) THEN avg((x - smooth) ** 2) / (max(x) - min(x)) ** 2 ELSE 0 END - 2e-6) / (2 * (0.002 - 2e-6)))), 6) AS quality FROM done GROUP BY 1")
+register("quadratic_features", lambda s, d: _round(G.quadratic_features(table(s, d, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity"), "quadratic", digits=4), """
+WITH c AS (SELECT l_suppkey, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE - avg(l_quantity::DOUBLE) OVER (PARTITION BY l_suppkey) AS t, l_quantity FROM lineitem),
+g AS (SELECT l_suppkey, count(*)::DOUBLE AS n, count(DISTINCT l_quantity) AS k, sum(t * t) AS s2, sum(t * t * t) AS s3, sum(t * t * t * t) AS s4, sum(y) AS y0, sum(t * y) AS y1, sum(t * t * y) AS y2 FROM c GROUP BY 1)
+SELECT l_suppkey, CASE WHEN k >= 3 THEN round((n * (s2 * y2 - s3 * y1) - s2 * s2 * y0) / (n * (s2 * s4 - s3 * s3) - s2 * s2 * s2), 4) END AS quadratic FROM g""")
+register("array_between", lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(X.scaled_between(F.col("embedding").cast("array<double>"), 0.1, 0.9)).alias("k", "v")).withColumn("v", F.round("v", 5)), """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, unnest(range(64))::INT AS k, round(unnest([0.1 + 0.8 * (x - list_min(e)) / (list_max(e) - list_min(e)) for x in e]), 5) AS v FROM e""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import safe_corr
 from vitalframe.operators import stats as T
+from vitalframe.operators.ordering import average_ranks
 from vitalframe.plans.catalog import register
 from vitalframe.plans.roles import table
 
@@ -59,7 +60,7 @@ m AS (SELECT *, ssb / (k - 1) AS msb, ssw / (total - k) AS msw FROM t), b AS (SE
 SELECT k, total::BIGINT AS total, round(sb / (sb + msw), 6) AS icc, round(msw / (sb + msw) * 100, 4) AS within_pct, round(msw / 1e6, 4) AS msw FROM b""")
 register("centered_corr", lambda s, d: T.centered(table(s, d, "lineitem"), "l_orderkey", ["l_quantity", "l_extendedprice"]).agg(F.round(safe_corr("l_quantity", "l_extendedprice"), 6).alias("r")), """
 WITH c AS (SELECT l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey) AS x, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS y FROM lineitem) SELECT round(corr(x, y), 6) AS r FROM c""")
-register("spearman", lambda s, d: T.average_ranks(T.average_ranks(table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "a"), "l_extendedprice", "b").agg(F.round(safe_corr("a", "b"), 6).alias("rho")), """
+register("spearman", lambda s, d: average_ranks(table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), {"l_quantity": "a", "l_extendedprice": "b"}).agg(F.round(safe_corr("a", "b"), 6).alias("rho")), """
 WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS b FROM lineitem)
 SELECT round(corr(a, b), 6) AS rho FROM r""")
 register("unique_values", lambda s, d: T.long_form(table(s, d, "lineitem"), [], FEATURES).groupBy("feature").agg(F.count_distinct("value").alias("n_unique"), F.round(F.log2(F.count_distinct("value")), 6).alias("bits")), "WITH " + "u AS (" + " UNION ALL ".join(
@@ -157,3 +158,18 @@ one AS (SELECT arg_max(f, (v, f)) AS f FROM v),
 two AS (SELECT arg_max(v.f, (v / greatest(r, 1e-3), v.f)) AS f FROM v JOIN one ON v.f <> one.f JOIN b ON feature_1 = v.f AND feature_2 = one.f),
 three AS (SELECT arg_max(f, (s, f)) AS f FROM (SELECT v.f, any_value(v) / greatest(avg(r), 1e-3) AS s FROM v JOIN b ON feature_1 = v.f AND feature_2 IN (SELECT f FROM one UNION ALL SELECT f FROM two) WHERE v.f NOT IN (SELECT f FROM one UNION ALL SELECT f FROM two) GROUP BY 1))
 SELECT 0 AS place, f AS feature FROM one UNION ALL SELECT 1, f FROM two UNION ALL SELECT 2, f FROM three""")
+
+#: Features of which some are equal to, the negation of, or close to another one.
+_TWINS = {"qty": "l_quantity", "same": "l_quantity * 1", "minus": "-l_quantity", "near": "l_quantity + CASE WHEN l_linenumber = 1 THEN 0.5 ELSE 0 END", "tax": "l_tax"}
+
+
+def _twins(s, d):
+    return table(s, d, "lineitem").select("l_suppkey", "l_extendedprice", *[F.expr(e).cast("double").alias(n) for n, e in _TWINS.items()])
+
+
+register("identical_pairs", lambda s, d: T.identical_pairs(_twins(s, d), list(_TWINS)).select("feature_1", "feature_2", "equal", "close", "negated", *[F.round(c, 5).alias(c) for c in ("mean_difference", "max_difference", "std_difference", "equal_pct")]), " UNION ALL ".join(
+    f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2, bool_and(x = y) AS equal, bool_and(abs(x - y) <= 1e-9 * greatest(abs(x), abs(y), 1)) AS close, bool_and(x = -y) AS negated, round(avg(abs(x - y)), 5) AS mean_difference,
+    round(max(abs(x - y)), 5) AS max_difference, round(stddev_pop(abs(x - y)), 5) AS std_difference, round(avg((x = y)::INT) * 100, 5) AS equal_pct FROM (SELECT ({_TWINS[a]})::DOUBLE AS x, ({_TWINS[b]})::DOUBLE AS y FROM lineitem)"""
+    for i, a in enumerate(_TWINS) for b in list(_TWINS)[i + 1 :]))
+register("selected_variance", lambda s, d: T.chosen_variance(_twins(s, d), ["qty", "near", "tax"], "l_suppkey").select("feature", F.round("icc", 6).alias("icc"), F.round("within_pct", 4).alias("within_pct")), "WITH " + _char_sql(
+    "lineitem", "l_suppkey", "l_extendedprice", {n: _TWINS[n] for n in ("qty", "near", "tax")}) + " SELECT feature, round(icc, 6) AS icc, round(within_pct, 4) AS within_pct FROM f")

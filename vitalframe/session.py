@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -15,3 +17,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | settings
     return b.config(map=conf).getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that spark.checkpoint.dir names, without the plan that made them. A local session
+    without one gets a folder of its own; on a cluster that is an error, since executors could not read each other's files."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vitalframe-checkpoint-"))
+    return df.checkpoint()
