@@ -3,8 +3,8 @@
 Four base kinds are found by fixed patterns. Beyond them, proposers mark candidate spans (secrets, social security
 numbers, bank accounts, phone numbers without a country, street addresses, names). Shape and checksum rules, gazetteers
 and labelers of the context before and after vote on each candidate. Only the counts of vote patterns, whose number the
-labelers bound, reach the driver; expectation-maximisation there estimates how reliable each labeler is, without labels,
-and its posteriors train a logistic span classifier. The classifier is one expression over votes, so the final pass is
+labelers bound, reach the driver; expectation-maximisation there estimates how reliable each labeler is for each kind, without
+labels, and its posteriors train a logistic span classifier. The classifier is one expression over votes, so the final pass is
 again a plain projection. No row is ever shuffled.
 
 Positions: splitting at a pattern gives the texts between its matches, so starts are running sums of lengths.
@@ -83,6 +83,8 @@ RUN = 256
 BLOCK = 1024
 #: EM and training steps; the added weight of each labeler's prior.
 STEPS, PRIOR = 60, 2.0
+#: Candidates that the estimates over all kinds count as in a kind's own.
+BORROWED = 50.0
 
 
 def _matches(text: Column, kind: str, pattern: str, needs: str | None) -> Column:
@@ -249,14 +251,13 @@ def _votes(kind: str, body: Column, left: Column, right: Column) -> Column:
     return F.concat(*votes)
 
 
-def reliabilities(patterns: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], list[dict[str, tuple[float, float]]]]:
-    """EM over vote patterns, {(kind, votes): count}: the posterior of each, and per labeler P(vote | personal), P(vote | not)."""
-    posterior = {p: (1 + sum(v == "+" for v in p[1])) / (2 + sum(v != "0" for v in p[1])) for p in patterns}  # starts at the vote's majority
-    tables: list[dict[str, tuple[float, float]]] = []
+def _estimated(patterns: dict[tuple[str, str], int], posterior: dict[tuple[str, str], float], added: list[dict[str, tuple[float, float]]]) -> tuple[dict[tuple[str, str], float], list[dict[str, tuple[float, float]]]]:
+    """EM from these posteriors on; added holds, for each labeler and vote, the counts that stand in for a prior."""
+    posterior, tables = dict(posterior), []
     for _ in range(STEPS):
         tables = []
         for i in range(len(LABELERS)):
-            mass = {s: [PRIOR * (2.0 if s == "+" else 1.0), PRIOR * (2.0 if s == "-" else 1.0)] for s in "+-0"}
+            mass = {s: list(added[i][s]) for s in "+-0"}
             for p, n in patterns.items():
                 mass[p[1][i]][0] += n * posterior[p]
                 mass[p[1][i]][1] += n * (1 - posterior[p])
@@ -272,6 +273,21 @@ def reliabilities(patterns: dict[tuple[str, str], int]) -> tuple[dict[tuple[str,
     return posterior, tables
 
 
+def reliabilities(patterns: dict[tuple[str, str], int]) -> tuple[dict[tuple[str, str], float], dict[str, list[dict[str, tuple[float, float]]]]]:
+    """EM over vote patterns, {(kind, votes): count}: the posterior of each, and per kind and labeler P(vote | personal),
+    P(vote | not). All kinds together come first; a kind's own estimates then start from these, which count as BORROWED
+    candidates, so a kind with few candidates keeps close to the others."""
+    start = {p: (1 + sum(v == "+" for v in p[1])) / (2 + sum(v != "0" for v in p[1])) for p in patterns}  # the vote's majority
+    even = [{s: (PRIOR * (2.0 if s == "+" else 1.0), PRIOR * (2.0 if s == "-" else 1.0)) for s in "+-0"} for _ in LABELERS]
+    shared, pooled = _estimated(patterns, start, even)
+    posterior, tables = {}, {}
+    for kind in sorted({k for k, _ in patterns}):
+        own = {p: n for p, n in patterns.items() if p[0] == kind}
+        some, tables[kind] = _estimated(own, {p: shared[p] for p in own}, [{s: (BORROWED * yes, BORROWED * no) for s, (yes, no) in t.items()} for t in pooled])
+        posterior |= some
+    return posterior, tables
+
+
 def train_classifier(patterns: dict[tuple[str, str], int], posterior: dict[tuple[str, str], float], steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
     """Logistic weights over 'bias', 'kind:<kind>' and '<labeler>:<vote>', fitted to the posteriors by gradient descent."""
     features = {p: ["bias", f"kind:{p[0]}", *[f"{name}:{v}" for name, v in zip(LABELERS, p[1])]] for p in patterns}
