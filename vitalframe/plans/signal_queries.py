@@ -127,7 +127,7 @@ c AS (SELECT vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)
 SELECT vec_id, c, round(exp(8.0 * 50.0 * (c + 1) / 99.0) / exp(8.0), 5) AS sqi FROM c""")
 
 register("twos_complement", lambda s, d: table(s, d, "part").select("p_partkey", X.twos_complement(F.pmod("p_partkey", F.lit(256)), 8).alias("v")), "SELECT p_partkey, CASE WHEN p_partkey % 256 < 128 THEN p_partkey % 256 ELSE p_partkey % 256 - 256 END AS v FROM part")
-register("id_normalise", lambda s, d: table(s, d, "customer").select("c_custkey", X.participant_name(F.concat(F.lit("#"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"))).alias("name"), X.numeric_id(F.concat(F.lit("#"), F.col("c_custkey").cast("string"))).alias("number"),
+register("id_normalise", lambda s, d: table(s, d, "customer").select("c_custkey", X.participant_name(F.concat(F.lit("#"), F.lpad(F.col("c_custkey").cast("string"), F.greatest(F.lit(4), F.length(F.col("c_custkey").cast("string"))), F.lit("0")))).alias("name"), X.numeric_id(F.concat(F.lit("#"), F.col("c_custkey").cast("string"))).alias("number"),
          X.normalised_name(F.concat(F.col("c_mktsegment"), F.lit(" a-B"))).alias("column"), X.padded_number(F.concat(F.lit("file_id"), (F.col("c_custkey") % 100).cast("string")), "file_id").alias("padded")), """
 SELECT c_custkey, 'hu_' || lpad(CASE WHEN c_custkey = 0 THEN '' ELSE c_custkey::VARCHAR END, greatest(2, length(c_custkey::VARCHAR))::INT, '0') AS name, c_custkey AS number,
 lower(c_mktsegment) || '_a_b' AS "column", lpad((c_custkey % 100)::VARCHAR, 3, '0') AS padded FROM customer""")
