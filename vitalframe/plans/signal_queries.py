@@ -30,7 +30,7 @@ def _centred(s, d):
 register("gradient_features", lambda s, d: samples(s, d).withColumn("g", G.gradient()).groupBy("file_id").agg(F.round(F.avg(F.abs("g")), 6).alias("d1"), F.round(F.max("g"), 6).alias("top")), f"""
 WITH {SAMPLES_SQL}, g AS (SELECT file_id, CASE WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS g FROM s WINDOW w AS (PARTITION BY file_id ORDER BY i))
 SELECT file_id, round(avg(abs(g)), 6) AS d1, round(max(g), 6) AS top FROM g GROUP BY 1""")
-register("zero_crossing", lambda s, d: _round(G.sign_changes(_centred(s, d)), "zcr"), f"""
+register("zero_crossing", lambda s, d: _round(G.sign_steps(_centred(s, d)), "zcr"), f"""
 WITH {_CENTRED}, c AS (SELECT file_id, sign(x) AS s, lag(sign(x)) OVER (PARTITION BY file_id ORDER BY i) AS p FROM z)
 SELECT file_id, round(sum((s <> p)::INT) / count(*), 6) AS zcr FROM c GROUP BY 1""")
 register("extrema_count", lambda s, d: G.extrema(samples(s, d)), f"""
