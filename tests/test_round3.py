@@ -1,6 +1,9 @@
 """Faults found in round 3: small tables on which the queries were wrong before."""
 
-from vitalframe.operators import signals, stats
+import numpy as np
+import pytest
+
+from vitalframe.operators import gaussian, loso, signals, stats
 from vitalframe.plans import catalog
 
 
@@ -23,3 +26,27 @@ def test_features_whose_scores_differ_by_rounding_tie():
     relevance = {"qty": 2.0 * (1 + 1e-13), "line": 2.0, "zebra": 2.0 * (1 - 1e-13), "tax": 1.0}
     assert stats.select_mrmr(relevance, {("qty", "line"): 1.0, ("line", "zebra"): 1.0, ("qty", "zebra"): 1.0}, 2, stats.ROUNDING) == ["zebra", "tax"]
     assert stats.select_mrmr({"a": 2.0 * (1 + 1e-6), "b": 2.0}, {}, 1, stats.ROUNDING) == ["a"]
+
+
+@pytest.fixture
+def studied(spark):
+    """Twelve participants of two sessions, some with rows enough to span batches."""
+    rng = np.random.default_rng(5)
+    rows = [(w, "FO"[k % 2], w % 3, 100 * w + k, *rng.normal(size=3).tolist()) for w in range(12) for k in range(4 + 9 * (w == 7))]
+    return spark.createDataFrame([(*r, r[4] - r[5] + w * 0.1) for w, r in enumerate(rows)], "who long, session string, part long, n long, a double, b double, c double, y double")
+
+
+def test_process_streams_persons(spark, studied, monkeypatch):
+    grid = {"count": 8, "kernels": (np.inf,), "lengths": (1.0,), "noises": (1.0,)}
+    args = (studied, "who", "session", "part", "n", "y", ["a", "b", "c"], "F", "O")
+    process = gaussian.Process(data := loso._sessions(*args), "part", 3, **grid)
+    want = {r["who"]: np.array(r["weights"]) for r in gaussian._by_person(process, data, "who", "session", "O", 1).collect()}
+    plan = gaussian._by_person(process, data, "who", "session", "O", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan  # a person's matrix is never spread over rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    monkeypatch.setattr(gaussian, "SOLVED", 2)
+    try:
+        got = {r["who"]: np.array(r["weights"]) for r in gaussian._by_person(process, data, "who", "session", "O", 1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(range(12)) and all(np.allclose(got[w], want[w]) for w in want)

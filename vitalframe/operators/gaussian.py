@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators import gram as G
 from vitalframe.operators.loso import _sessions, error_columns
+from vitalframe.session import cut_lineage
 
 METHOD = "gp_personalization"
 #: Smoothness of the kernels: infinite for the squared exponential, else Matern's.
 KERNELS = (np.inf, 1.5, 2.5)
 LENGTHS, NOISES = (0.5, 1.0, 2.0, 4.0), (0.01, 0.1, 1.0, 10.0)
 COUNT = 64
+#: Persons whose equations are solved at once.
+SOLVED = 256
 
 
 def spectrum(smoothness: float, size: int, count: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -85,56 +88,85 @@ class Process:
         held = [g for g in parts.values() if 0 < g[0, 0] < total[0, 0]] or [total]
         return float(np.mean([np.sqrt(G.squared_error(g, fit(total - g if g is not total else g)) / g[0, 0]) for g in held]))
 
-    def weights(self, g: np.ndarray) -> list[float]:
-        return G.uncentred(posterior(self.noise)(g), self.centre).tolist()
+    def all_weights(self, g: np.ndarray) -> np.ndarray:
+        """Intercept and weights, for rows that the centre was not taken off, of a stack of matrices."""
+        mean = g[:, 0, -1] / g[:, 0, 0]
+        a, b = g[:, 1:-1, 1:-1] + self.noise * np.eye(self.size - 2), g[:, 1:-1, -1] - mean[:, None] * g[:, 0, 1:-1]
+        return np.column_stack([mean + self.centre[-1], np.linalg.solve(a, b[..., None])[..., 0]])
 
-    def mapped(self, data: DataFrame) -> DataFrame:
-        """The rows with the process's features in place of _x."""
-        made = self.map
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(_x=list(made(np.vstack(b["_x"].to_list())))) if len(b) else b
+def _by_person(process: Process, rows: DataFrame, participant: str, session: str, second: str, piece: int) -> DataFrame:
+    """(participant, n_s1, n_s2, weights) of those with both sessions. The matrix of the piece of a person's rows is taken off
+    the total if it is the second session (1) and added to it if it is the first (0).
 
-        return data.mapInPandas(run, data.schema)
+    Rows meet sorted by person and are read as a stream: a task holds the matrix of the person at hand and those of some
+    persons to solve, however many rows and persons there are.
+    """
+    named = rows.select(participant, (F.col(session) == second).cast("int").alias("_two"), "_x", "_y")
+    kind, names = rows.schema[participant].dataType.simpleString(), [participant, "n_s1", "n_s2", "weights"]
+    sign = -1.0 if piece else 1.0
 
-
-def _by_person(process: Process, rows: DataFrame, participant: str, session: str, second: str, make: Callable[[dict[int, np.ndarray]], np.ndarray]) -> DataFrame:
-    """(participant, n_s1, n_s2, weights) of those with both sessions; make takes the own matrices of first (0) and second (1)."""
-    named = rows.withColumn("_two", (F.col(session) == second).cast("int"))
-    own = G.grams(named, [participant, "_two"], process.centre, [process.map]).groupBy(participant).agg(F.collect_list(F.struct("_two", "gram")).alias("parts"))
-    kind = rows.schema[participant].dataType.simpleString()
+    def solved(known: list[tuple]) -> pd.DataFrame:
+        weights = process.all_weights(process.total + sign * np.stack([g for *_, g in known]))
+        return pd.DataFrame([(*k[:3], w) for k, w in zip(known, weights.tolist())], columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, counts, gram, known = None, [0, 0], None, []
         for b in batches:
-            out = []
-            for who, parts in zip(b[participant], b["parts"]):
-                mine = {p["_two"]: G.square(p["gram"], process.size) for p in parts}
-                if len(mine) == 2:
-                    out.append((who, int(round(mine[0][0, 0])), int(round(mine[1][0, 0])), process.weights(make(mine))))
-            yield pd.DataFrame(out, columns=[participant, "n_s1", "n_s2", "weights"])
-
-    return own.mapInPandas(run, f"`{participant}` {kind}, n_s1 long, n_s2 long, weights array<double>")
+            if b.empty:
+                continue
+            z = np.column_stack([np.ones(len(b)), process.map(np.vstack(b["_x"].to_list())), b["_y"] - process.centre[-1]])
+            keys, two = b[participant].to_numpy(), b["_two"].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]) | (two[1:] != two[:-1])) + 1
+            for low, high in zip([0, *edges], [*edges, len(b)]):
+                if gram is None or keys[low] != who:
+                    if all(counts):
+                        known.append((who, *counts, gram))
+                    who, counts, gram = keys[low], [0, 0], np.zeros((process.size, process.size))
+                    if len(known) >= SOLVED:
+                        yield solved(known)
+                        known = []
+                counts[two[low]] += int(high - low)
+                if two[low] == piece:
+                    gram += z[low:high].T @ z[low:high]
+        if all(counts):
+            known.append((who, *counts, gram))
+        if known:
+            yield solved(known)
+
+    met = named.repartition(participant).sortWithinPartitions(participant, "_two")
+    return met.mapInPandas(run, f"`{participant}` {kind}, n_s1 long, n_s2 long, weights array<double>")
 
 
 def _judged(process: Process, rows: DataFrame, models: DataFrame, participant: str, session: str, second: str) -> DataFrame:
-    made = process.mapped(rows.where(F.col(session) == second)).join(models, participant)
-    made = made.select(participant, "n_s1", "n_s2", F.col("_y").alias("actual"), G.predicted(F.col("_x"), F.col("weights")).alias("predicted"))
+    """The errors on second sessions. Rows meet their person's weights as they are, and are mapped after that."""
+    met = rows.where(F.col(session) == second).select(participant, "_x", "_y").join(models, participant)
+    kind = rows.schema[participant].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for low in range(0, len(b), 2048):
+                part = b.iloc[low : low + 2048]
+                w = np.vstack(part["weights"].to_list())
+                made = w[:, 0] + np.einsum("rk,rk->r", process.map(np.vstack(part["_x"].to_list())), w[:, 1:])
+                yield part[[participant, "n_s1", "n_s2"]].assign(actual=part["_y"], predicted=made)
+
+    made = met.mapInPandas(run, f"`{participant}` {kind}, n_s1 long, n_s2 long, actual double, predicted double")
     each = made.groupBy(participant, "n_s1", "n_s2").agg(*error_columns("actual", "predicted"))
     return each.select(participant, F.lit(METHOD).alias("method"), "n_s1", "n_s2", F.lit(None).cast("double").alias("scalar_correction"), "rmse", "mae", "r2", "bias")
 
 
 def loso_process(rows: DataFrame, participant: str, session: str, inner: str, order: str, target: str, features: list[str], first: str, second: str, **grid) -> DataFrame:
     """The process's metrics on each participant's second session, given everyone else's rows and the first session."""
-    data = _sessions(rows, participant, session, inner, order, target, features, first, second)
+    data = cut_lineage(_sessions(rows, participant, session, inner, order, target, features, first, second))
     process = Process(data, inner, len(features), **grid)
-    models = _by_person(process, data, participant, session, second, lambda mine: process.total - mine[1])
+    models = _by_person(process, data, participant, session, second, 1)
     return _judged(process, data, models, participant, session, second)
 
 
 def locked_process(train: DataFrame, test: DataFrame, participant: str, session: str, inner: str, order: str, target: str, features: list[str], first: str, second: str, **grid) -> DataFrame:
     """The same on a test table, given the training pool and the person's first session."""
-    pool, held = (_sessions(t, participant, session, inner, order, target, features, first, second) for t in (train, test))
+    pool, held = (cut_lineage(_sessions(t, participant, session, inner, order, target, features, first, second)) for t in (train, test))
     process = Process(pool, inner, len(features), **grid)
-    models = _by_person(process, held, participant, session, second, lambda mine: process.total + mine[0])
+    models = _by_person(process, held, participant, session, second, 0)
     return _judged(process, held, models, participant, session, second)
