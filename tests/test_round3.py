@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from vitalframe.kernels import registry
 from vitalframe.operators import gaussian, loso, signals, stats
 from vitalframe.plans import catalog
 
@@ -50,3 +51,29 @@ def test_process_streams_persons(spark, studied, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert set(got) == set(range(12)) and all(np.allclose(got[w], want[w]) for w in want)
+
+
+def test_kernels_send_files_on_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    sent = []
+
+    class Waves:  # the rows of one Arrow batch, as Spark hands them to the kernel
+        schema = {"file_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "long"})()})()}
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            rows = [[float(k)] * 100 for k in range(9)] + [None]
+            sent.extend(run([pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["file_id", "samples"])]))
+
+    monkeypatch.setattr(registry, "HELD", 250)
+    registry.register_kernel("signal", "test_halved", lambda x, fs: x[:50] / 2)
+    try:
+        registry.process(Waves(), "signal", "test_halved", 60.0)
+    finally:
+        registry.PIPELINES.pop(("signal", "test_halved"))
+    assert [b.num_rows for b in sent] == [5, 5]
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert [r["file_id"] for r in rows] == list(range(10)) and rows[3]["samples"] == [1.5] * 50 and rows[9]["samples"] == []

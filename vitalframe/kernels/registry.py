@@ -43,6 +43,16 @@ PIPELINES: dict[tuple[str, str], Kernel] = {
 }
 
 
+#: Samples that a task holds before it sends the files on.
+HELD = 1 << 19
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """The arrays as one column of lists, without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def register_kernel(kind: str, name: str, fn: Kernel) -> None:
     """Add a pipeline of one's own."""
     PIPELINES[kind, name] = fn
@@ -54,15 +64,18 @@ def process(waveforms: DataFrame, kind: str, name: str, fs: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, status = [], []
-            for x in b.column(1):
+            ids, waves, out, status, held, start = b.column(0), b.column(1), [], [], 0, 0
+            for at in range(len(b)):
                 try:
-                    out.append(fn(np.array(x.as_py() or [], float), fs).tolist())
+                    out.append(np.asarray(fn(np.array(waves[at].as_py() or [], float), fs), float))
                     status.append("ok")
                 except (ValueError, IndexError, FloatingPointError) as e:
-                    out.append([])
+                    out.append(np.zeros(0))
                     status.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64())), pa.array(status, pa.string())], ["file_id", "samples", "status"])
+                held += len(out[-1])
+                if held >= HELD or at == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(out)), _lists(out), pa.array(status, pa.string())], ["file_id", "samples", "status"])
+                    out, status, held, start = [], [], 0, at + 1
 
     rows = waveforms.select("file_id", "samples")
     return rows.mapInArrow(run, f"file_id {rows.schema['file_id'].dataType.simpleString()}, samples array<double>, status string")
