@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vitalframe.kernels import registry
-from vitalframe.operators import gaussian, loso, signals, stats
+from vitalframe.operators import gaussian, gram, loso, signals, stats
 from vitalframe.plans import catalog
 
 
@@ -77,3 +77,24 @@ def test_kernels_send_files_on_in_small_batches(spark, monkeypatch):
     assert [b.num_rows for b in sent] == [5, 5]
     rows = [r for b in sent for r in b.to_pylist()]
     assert [r["file_id"] for r in rows] == list(range(10)) and rows[3]["samples"] == [1.5] * 50 and rows[9]["samples"] == []
+
+
+def test_stacked_ridges_equal_single_fits():
+    rng = np.random.default_rng(3)
+    z = [np.column_stack([np.ones(9), x := rng.normal(size=(9, 2)), x[:, 0] * 2, np.full(9, 4.0), rng.normal(size=9)]) for _ in range(12)]
+    parts = np.array([m.T @ m for m in z]).reshape(4, 3, 6, 6)
+    parts[3, 1] = 0  # a part that a participant filled alone
+    best, w = gram.tuned_ridges(parts, list(gram.ALPHAS))
+    fits = [gram.ridge(a) for a in gram.ALPHAS]
+    for k, mine in enumerate(parts):
+        assert best[k] == gram.tuned(dict(enumerate(mine)), fits) and np.allclose(w[k], fits[best[k]](mine.sum(axis=0)))
+
+
+def test_small_matrices_are_plain_sums(spark, studied):
+    data = gram.complete_rows(studied, ["who"], "y", ["a", "b", "c"])
+    made = gram.grams(data, ["who"], np.zeros(4))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInPandas" not in plan
+    rows = [r for r in studied.collect() if r["who"] == 7]
+    z = np.array([[1.0, r["a"], r["b"], r["c"], r["y"]] for r in rows])
+    assert np.allclose(gram.square(made.where("who = 7").first()["gram"], 5), z.T @ z)

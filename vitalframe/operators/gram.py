@@ -26,6 +26,8 @@ ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 ROUNDING = 1e-10
 #: Matrices that a task holds before it sends them on, in numbers.
 HELD = 1 << 20
+#: Rows of a matrix whose entries are still plain sums of expressions.
+FEW = 10
 
 Fit = Callable[[np.ndarray], np.ndarray]
 
@@ -47,9 +49,14 @@ def grams(data: DataFrame, keys: list[str], centre: np.ndarray, maps: list[Calla
 
     With maps, there is a matrix for each of them, of the features that it makes of _x, and its number comes first as
     _map; the centre is that of mapped features then. A task adds up the rows of a key that it meets; the sums of tasks
-    meet entry by entry, so a key that holds a large part of the table is no larger group than any other.
+    meet entry by entry, so a key that holds a large part of the table is no larger group than any other. The entries of a
+    small matrix are sums of expressions.
     """
     size, width = len(centre) + 1, len(centre) - 1
+    if not maps and size <= FEW:
+        z = [F.lit(1.0), *[F.col("_x")[i] - F.lit(float(c)) for i, c in enumerate(centre[:-1])], F.col("_y") - F.lit(float(centre[-1]))]
+        summed = data.groupBy(*keys).agg(*[F.sum(z[i] * z[j]).alias(f"_g{n}") for n, (i, j) in enumerate(zip(*np.triu_indices(size)))])
+        return summed.select(*keys, F.array(*[f"_g{n}" for n in range(size * (size + 1) // 2)]).alias("gram"))
     upper = np.triu_indices(size)
     own = [*(["_map"] if maps else []), *keys]
     kinds = "".join(f"`{k}` {data.schema[k].dataType.simpleString()}, " for k in keys)
@@ -144,6 +151,42 @@ def elastic_net(alpha: float, l1_ratio: float = 1.0, rounds: int = 1000, toleran
     return fit
 
 
+def ridge_paths(g: np.ndarray, alphas: list[float]) -> np.ndarray:
+    """What ridge(alpha) gives for each matrix of a stack, as (alphas, matrices, intercept and coefficients): one
+    decomposition of a matrix serves all penalties."""
+    n = np.maximum(g[:, 0, 0], 1.0)
+    mean = np.where(g[:, :1, 0] > 0, g[:, 0, 1:] / n[:, None], 0.0)
+    c = g[:, 1:, 1:] - g[:, :1, :1] * mean[:, :, None] * mean[:, None, :]
+    variance = np.einsum("bii->bi", c)[:, :-1] / n[:, None]
+    flat = ~(variance > ROUNDING * np.einsum("bii->bi", g)[:, 1:-1] / n[:, None])
+    scale = np.where(flat, 1.0, np.sqrt(np.maximum(variance, 0)))
+    a = np.where(flat[:, :, None] | flat[:, None, :], 0.0, c[:, :-1, :-1] / (scale[:, :, None] * scale[:, None, :]))
+    b = np.where(flat, 0.0, c[:, :-1, -1] / scale)
+    values, turn = np.linalg.eigh(a)
+    turned, out = np.einsum("bij,bi->bj", turn, b), []
+    for alpha in alphas:
+        pull = values + alpha
+        good = np.abs(pull) > ROUNDING * np.abs(pull).max(axis=1, keepdims=True)
+        w = np.einsum("bij,bj->bi", turn, np.where(good, turned / np.where(good, pull, 1.0), 0.0)) / scale
+        out.append(np.column_stack([mean[:, -1] - (mean[:, :-1] * w).sum(1), w]))
+    return np.array(out)
+
+
+def tuned_ridges(parts: np.ndarray, alphas: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """What tuned and the fit of its choice give for ridge, for a stack of (part, matrix): places of penalties, and weights."""
+    total = parts.sum(axis=1)
+    errors, held = np.zeros((len(alphas), len(parts))), np.zeros(len(parts))
+    for g in np.moveaxis(parts, 1, 0):
+        good = (0 < g[:, 0, 0]) & (g[:, 0, 0] < total[:, 0, 0])
+        if good.any():
+            v = np.concatenate([w := ridge_paths(total[good] - g[good], alphas), -np.ones((*w.shape[:2], 1))], axis=2)
+            square = np.maximum(np.einsum("abi,bij,abj->ab", v, g[good], v), 0.0)
+            errors[:, good] += np.sqrt(square / g[good][:, 0, 0])
+            held += good
+    best = np.argmin(np.round(errors / np.maximum(held, 1), 12), axis=0)
+    return best, ridge_paths(total, alphas)[best, np.arange(len(parts))]
+
+
 def mean_only(g: np.ndarray) -> np.ndarray:
     """The baseline: the mean of the target."""
     return np.concatenate([[moments(g)[1][-1]], np.zeros(len(g) - 2)])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalframe.operators import gram as G
+from vitalframe.session import cut_lineage
 
 #: The methods that predict a person's second session.
 METHODS = ("residual_personalization", "baseline_dummy_no_subject_data", "baseline_dummy_with_s1", "baseline_repeat_s1_glc")
@@ -60,20 +61,34 @@ def left_out(own: DataFrame, participant: str, totals: dict[int, np.ndarray], ma
 
 def tuned_models(own: DataFrame, participant: str, totals: dict[int, np.ndarray], centre: np.ndarray, alphas: Iterable[float] = G.ALPHAS) -> DataFrame:
     """(participant, alpha, weights, others_mean): ridge on everyone else, its penalty tuned over inner parts."""
-    alphas = list(alphas)
-    fits = [G.ridge(a) for a in alphas]
-
-    def make(rest: dict[int, np.ndarray], mine: np.ndarray) -> Iterable[tuple]:
-        k, total = G.tuned(rest, fits), sum(rest.values())
-        yield alphas[k], G.uncentred(fits[k](total), centre).tolist(), float(G.moments(total)[1][-1] + centre[-1])
+    alphas, names = list(alphas), list(totals)
+    every = np.array([totals[i] for i in names])
+    kind = own.schema[participant].dataType.simpleString()
+    step = max(1, G.HELD // max(1, every.size))
 
-    return left_out(own, participant, totals, make, "alpha double, weights array<double>, others_mean double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for low in range(0, len(b), step):
+                some = b.iloc[low : low + step]
+                rest = np.repeat(every[None], len(some), axis=0)
+                for k, parts in enumerate(some["parts"]):
+                    for p in parts:
+                        rest[k, names.index(p["inner"])] -= G.square(p["gram"], rest.shape[-1])
+                there = rest[:, :, 0, 0].sum(axis=1) > 0.5
+                if there.any():
+                    rest = rest[there]
+                    best, w = G.tuned_ridges(rest, alphas)
+                    total = rest.sum(axis=1)
+                    w[:, 0] += centre[-1] - w[:, 1:] @ centre[:-1]
+                    yield pd.DataFrame({participant: some[participant].to_numpy()[there], "alpha": np.array(alphas)[best], "weights": w.tolist(), "others_mean": total[:, 0, -1] / total[:, 0, 0] + centre[-1]})
+
+    return own.mapInPandas(run, f"`{participant}` {kind}, alpha double, weights array<double>, others_mean double")
 
 
 def loso_regression(rows: DataFrame, participant: str, inner: str, target: str, features: list[str], alphas: Iterable[float] = G.ALPHAS) -> tuple[DataFrame, DataFrame]:
     """Per participant (participant, alpha, n, rmse, mae, r2, bias), held out from its model; and the summary over
     participants beside the metrics over all predictions. inner is a participant's part for tuning."""
-    data = G.complete_rows(rows, [participant, inner], target, features)
+    data = cut_lineage(G.complete_rows(rows, [participant, inner], target, features))
     centre = G.centre_of(data, len(features))
     own = by_participant(data, participant, inner, centre)
     models = tuned_models(own, participant, part_totals(own, len(features) + 2), centre, alphas)
@@ -108,7 +123,7 @@ def personalised(data: DataFrame, models: DataFrame, participant: str, session:
 def loso_personalised(rows: DataFrame, participant: str, session: str, inner: str, order: str, target: str, features: list[str], first: str, second: str, alphas: Iterable[float] = G.ALPHAS) -> DataFrame:
     """Personalisation of each participant by a ridge tuned and fitted on everyone else's two sessions. order numbers a
     participant's rows; the first session is repeated in it."""
-    data = _sessions(rows, participant, session, inner, order, target, features, first, second)
+    data = cut_lineage(_sessions(rows, participant, session, inner, order, target, features, first, second))
     centre = G.centre_of(data, len(features))
     own = by_participant(data, participant, inner, centre)
     totals = part_totals(own, len(features) + 2)
@@ -153,7 +168,7 @@ def loso_selection(rows: DataFrame, participant: str, inner: str, target: str, f
     """
     if how not in ("rfe", "sbs"):
         raise ValueError("how is rfe or sbs")
-    data = G.complete_rows(rows, [participant, inner], target, features)
+    data = cut_lineage(G.complete_rows(rows, [participant, inner], target, features))
     centre, size = G.centre_of(data, len(features)), len(features) + 2
     own = by_participant(data, participant, inner, centre)
 
