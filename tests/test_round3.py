@@ -98,3 +98,26 @@ def test_small_matrices_are_plain_sums(spark, studied):
     rows = [r for r in studied.collect() if r["who"] == 7]
     z = np.array([[1.0, r["a"], r["b"], r["c"], r["y"]] for r in rows])
     assert np.allclose(gram.square(made.where("who = 7").first()["gram"], 5), z.T @ z)
+
+
+def test_information_of_tied_points_looks_at_few_others():
+    from vitalframe.kernels.information import Plane, digamma
+    from vitalframe.operators.information import Tiles, strip_cuts
+
+    assert abs(digamma(np.array([10**12]))[0] - np.log(1e12)) < 1e-12  # no table of that length
+    rng = np.random.default_rng(3)
+    n = 6000
+    for levels in (1, 2, 40):  # ties that are parted by next to nothing, in one, two and forty bands
+        x, y = rng.integers(0, levels, n) + 1e-10 * rng.random(n), rng.normal(size=n)
+        reach = (tree := Plane(x, y)).nearest(3)[:, 2]
+        want = np.sort(np.maximum(np.abs(x[:300, None] - x), np.abs(y[:300, None] - y)), axis=1)[:, 3]
+        assert (reach[:300] == want).all()
+        leaves, _ = tree._leaves(x, y, reach)
+        points = np.stack([x, y], 1)
+        tiles = Tiles.of(points, 200)
+        own, (p, tile) = tiles.own(points), tiles.touched(points, reach)
+        assert np.bincount(own).max() <= 200 and len(leaves) < 6 * n and len(p) < 1.5 * n
+        far = [(i, t) for i in range(0, n, 60) for t in np.unique(own[np.maximum(np.abs(x - x[i]), np.abs(y - y[i])) < reach[i]])]
+        assert set(far) <= set(zip(p.tolist(), tile.tolist()))
+        strips = np.searchsorted(strip_cuts(x, 4000), x, side="right")
+        assert levels == 1 or all(len(set(strips[x.round() == band])) == 1 for band in range(levels))  # bands stay whole
