@@ -121,3 +121,19 @@ def test_information_of_tied_points_looks_at_few_others():
         assert set(far) <= set(zip(p.tolist(), tile.tolist()))
         strips = np.searchsorted(strip_cuts(x, 4000), x, side="right")
         assert levels == 1 or all(len(set(strips[x.round() == band])) == 1 for band in range(levels))  # bands stay whole
+
+
+def test_a_query_is_sent_once_to_each_bundle_of_cells(spark):
+    from pyspark.sql import functions as F
+
+    from vitalframe.operators import neighbours as N
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, rng.normal(size=5).tolist(), float(k)) for k in range(300)], "_id long, _v array<double>, _y double").repartition(2)
+    asked, everywhere = df.withColumn("_bound", F.lit(float("inf"))), lambda cells: (lambda n: lambda b, far: [np.arange(n)] * len(b))(len(cells.size))
+    one = N.Cells(df)
+    assert len(one.size) > 10 and one.looking(asked, everywhere(one)).count() == 300  # not a row for each of its cells
+    assert one.compared(one.looking(asked.where("_id < 9"), everywhere(one)), 4).count() == 36
+    many = N.Cells(df, block=40)
+    looks = many.looking(asked, everywhere(many))
+    assert looks.count() == 300 * len(set(many.bundle)) and looks.where("_cells IS NOT NULL").isEmpty()
