@@ -137,3 +137,14 @@ def test_a_query_is_sent_once_to_each_bundle_of_cells(spark):
     many = N.Cells(df, block=40)
     looks = many.looking(asked, everywhere(many))
     assert looks.count() == 300 * len(set(many.bundle)) and looks.where("_cells IS NOT NULL").isEmpty()
+
+
+def test_quantiles_of_few_values_need_no_order(spark, monkeypatch):
+    from vitalframe.operators import ordering
+
+    asked = []
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: asked.append(df) or df)
+    df = spark.createDataFrame([(g, float(k % 4)) for g in "ab" for k in range(4001)], "g string, v double")
+    got = ordering.exact_quantiles(df, "v", [0.5, 0.9], ["g"], most=100)
+    assert "Window [row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and {(r["g"], r["share"]): r["quantile"] for r in got.collect()} == {(g, s): v for g in "ab" for s, v in ((0.5, 1.0), (0.9, 3.0))}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from vitalframe.functions.nulls import col_of
+from vitalframe.session import cut_lineage
 
 #: Rows of a range, about, and the fewest and most ranges that a table is cut into.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 18, 16, 4096
@@ -136,7 +137,7 @@ def exact_quantiles(rows: DataFrame, value: str, shares: list[float], keys: list
         placed = _joined(rows, cuts.drop("_total0"), path).withColumn("_id", range_id(F.col("_v"), F.col("_cuts0")))
         counts = _starts(placed.groupBy(*path, "_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least")), path)
         met = places.join(counts, path) if path else places.crossJoin(counts)  # a few places with a few hundred ranges
-        met = met.where((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("_n"))).withColumn("_rest", F.col("_rest") - F.col("_start"))
+        met = cut_lineage(met.where((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("_n"))).withColumn("_rest", F.col("_rest") - F.col("_start")))  # read often, and a few places of each group
         names = [*keys, "share", "_at", "_place"]
         known = met.where("_id % 2 = 1").select(*names, F.col("_least").alias("_found"))
         done = known if done is None else done.unionByName(known)
@@ -148,9 +149,16 @@ def exact_quantiles(rows: DataFrame, value: str, shares: list[float], keys: list
         path, turn = [*path, step], turn + 1
         if largest <= most:
             break
+    if not largest:
+        return _between(done, keys)
     number = F.row_number().over(Window.partitionBy(*path).orderBy("_v")) - 1
     found = rows.withColumn("_rest", number.cast("long")).join(places.withColumn("_rest", F.col("_rest").cast("long")), [*path, "_rest"]).select(*names, F.col("_v").alias("_found"))
+    return _between(done.unionByName(found), keys)
+
+
+def _between(places: DataFrame, keys: list[str]) -> DataFrame:
+    """The quantiles from the values found at the places on either side."""
     low = F.min(F.when(F.col("_place") == F.floor("_at"), F.col("_found")))
     high = F.max(F.when(F.col("_place") == F.ceil("_at"), F.col("_found")))
-    every = done.unionByName(found).groupBy(*keys, "share", "_at").agg(low.alias("_low"), high.alias("_high"))
+    every = places.groupBy(*keys, "share", "_at").agg(low.alias("_low"), high.alias("_high"))
     return every.select(*keys, "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))
