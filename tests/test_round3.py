@@ -148,3 +148,17 @@ def test_quantiles_of_few_values_need_no_order(spark, monkeypatch):
     got = ordering.exact_quantiles(df, "v", [0.5, 0.9], ["g"], most=100)
     assert "Window [row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert len(asked) == 1 and {(r["g"], r["share"]): r["quantile"] for r in got.collect()} == {(g, s): v for g in "ab" for s, v in ((0.5, 1.0), (0.9, 3.0))}
+
+
+def test_rows_of_equal_bins_are_added_up_once(spark, monkeypatch):
+    from vitalframe.operators import trees
+
+    kept = []
+    keep = trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: kept.append(keep(df)) or kept[-1])
+    rows = [(k, float(k % 3), float(k % 2), float(k % 3 * 10 + k % 2)) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    model = trees.fit_forest(df, "id", "y", ["a", "b"], trees=3, depth=3)
+    assert len(kept) == 1 and kept[0].count() == 6  # for all trees and levels
+    wrong = {(r["y"], round(r["p"], 6)) for r in model.predict(df, "p").collect() if abs(r["p"] - r["y"]) > 1e-9}
+    assert not wrong

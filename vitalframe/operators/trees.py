@@ -1,7 +1,7 @@
 """Regression trees, forests and boosting fitted on every row by histograms.
 
-A level of a tree is one aggregation: every row adds its weight and target to (tree, node, feature, bin) after partial
-sums in its task, running sums over a feature's bins give the gain of each split, and the best one of each node is all
+Rows with equal bins are alike to every tree that the bins' thresholds can make, so one pass adds up their weights and
+targets by tree. A level is one aggregation of these sums to (tree, node, feature, bin), running sums over a feature's bins give the gain of each split, and the best one of each node is all
 that reaches the driver. A row's node is an expression of the splits so far, so no row is moved or rewritten. All trees
 of a forest grow together; boosting adds one tree after another to the prediction.
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.operators.gram import complete_rows
 from vitalframe.operators.ordering import exact_quantiles
+from vitalframe.session import cut_lineage
 
 BINS = 64
 #: A gain up to so much of a node's sum of squares is rounding.
@@ -84,13 +85,18 @@ def grow(data: DataFrame, edges: list[list[float]], targets: list[Column], weigh
     allowed = allowed or [list(range(len(edges))) for _ in targets]
     bins = F.array(*[_bin(F.col("_x")[i], e) for i, e in enumerate(edges)])
     active = [{1} for _ in targets]
+    w, y = ([c.cast("double") for c in columns] for columns in (weights, targets))
+    sums = [F.sum(F.when(w[t] > 0, v)).alias(f"{n}{t}") for t in range(len(trees)) for n, v in (("w", w[t]), ("s", w[t] * y[t]), ("q", w[t] * y[t] * y[t]))]
+    cells = cut_lineage(data.groupBy(bins.alias("bins")).agg(*sums))
+    inside = F.array(*[F.get(F.array(*[F.lit(float(t)) for t in e], F.lit(float("inf"))), F.col("bins")[i]) for i, e in enumerate(edges)])  # a value of the cell's bins
+    cells = cells.withColumn("_x", inside)
     for level in range(max(depth, 1)):
-        each = [F.struct(F.lit(t).alias("tree"), trees[t].node(F.col("_x")).alias("node"), targets[t].cast("double").alias("y"), weights[t].cast("double").alias("w")) for t in range(len(trees)) if active[t]]
+        each = [F.struct(F.lit(t).alias("tree"), trees[t].node(F.col("_x")).alias("node"), *[F.col(f"{c}{t}").alias(c) for c in "wsq"]) for t in range(len(trees)) if active[t]]
         if not each:
             break
-        rows = data.select(bins.alias("bins"), F.inline(F.array(*each))).where((F.col("node") >= 1 << level) & (F.col("w") > 0))
-        spread = rows.select("tree", "node", "y", "w", F.posexplode("bins").alias("f", "b"))
-        hist = spread.groupBy("tree", "node", "f", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("q"))
+        rows = cells.select("bins", F.inline(F.array(*each))).where((F.col("node") >= 1 << level) & (F.col("w") > 0))
+        spread = rows.select("tree", "node", *"wsq", F.posexplode("bins").alias("f", "b"))
+        hist = spread.groupBy("tree", "node", "f", "b").agg(*[F.sum(c).alias(c) for c in "wsq"])
         upto, whole = Window.partitionBy("tree", "node", "f").orderBy("b"), Window.partitionBy("tree", "node", "f")
         hist = hist.select("tree", "node", "f", "b", *[F.sum(c).over(upto).alias(f"l{c}") for c in "ws"], *[F.sum(c).over(whole).alias(c) for c in "wsq"])
         gain = F.col("ls") * F.col("ls") / F.col("lw") + (F.col("s") - F.col("ls")) * (F.col("s") - F.col("ls")) / (F.col("w") - F.col("lw")) - F.col("s") * F.col("s") / F.col("w")
