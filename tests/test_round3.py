@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitalframe.kernels import registry
 from vitalframe.operators import gaussian, gram, loso, signals, stats
@@ -162,3 +163,33 @@ def test_rows_of_equal_bins_are_added_up_once(spark, monkeypatch):
     assert len(kept) == 1 and kept[0].count() == 6  # for all trees and levels
     wrong = {(r["y"], round(r["p"], 6)) for r in model.predict(df, "p").collect() if abs(r["p"] - r["y"]) > 1e-9}
     assert not wrong
+
+
+def test_rank_correlations_sort_the_rows_once_and_match_plain_ranks(spark):
+    from vitalframe.operators import ordering
+
+    rng = np.random.default_rng(18)
+    n = 900
+    y = rng.normal(size=n)
+    y[:300], y[300:360:2], y[301:360:2] = 7.5, 0.0, -0.0  # a heavy value, and zeros of both signs
+    a, b, c = rng.integers(0, 6, n).astype(float), y + rng.normal(size=n), np.full(n, 2.0)
+    rows = [(k % 13 if k % 17 else None, None if k % 23 == 5 else float("nan") if k % 23 == 6 else float(y[k]), float(a[k]), None if k % 5 == 0 else float(b[k]), float(c[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "who long, y double, a double, b double, c double").withColumn("none", F.lit(None).cast("double"))
+    ranks = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    made = {r["feature"]: r for r in stats.characterised(df, "who", "y", ["a", "b", "c", "none"]).collect()}
+    assert set(made) == {"a", "b", "c"} and made["c"]["spearman"] is None and made["c"]["centered"] is None
+    for name, at in (("a", 2), ("b", 3)):
+        pairs = [(r[0], r[1], r[at]) for r in rows if r[1] is not None and not np.isnan(r[1]) and r[at] is not None]
+        q, x = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+        assert made[name]["spearman"] == pytest.approx(np.corrcoef(ranks(x), ranks(q))[0, 1], abs=1e-12)
+        assert made[name]["n_unique"] == len({r[at] for r in rows if r[at] is not None})
+        dx, dy = x.copy(), q.copy()
+        for w in {p[0] for p in pairs}:
+            own = np.array([p[0] == w for p in pairs])
+            dx[own] -= x[own].mean()
+            dy[own] -= q[own].mean()
+        assert made[name]["centered"] == pytest.approx(np.corrcoef(dx, dy)[0, 1], abs=1e-12)
+    plan = stats.characterised(df, "who", "y", ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [w.split("specifiedwindowframe")[0] for w in plan.split("windowspecdefinition(")[1:]]
+    assert not any("who#" in w for w in windows)  # no window sends the rows to their subjects
+    assert ordering.rank_correlations(df.where("y = 7.5"), "y", ["a"]).first()["spearman"] is None

@@ -7,6 +7,9 @@ several ranges is a range of its own, which needs no order.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
@@ -119,6 +122,46 @@ def average_ranks(rows: DataFrame, ranks: dict[str, str], keys: list[str] = [])
     return placed.select(*rows.columns, *ranks.values())
 
 
+def value_ranges(rows: DataFrame, value: str, out: str) -> tuple[DataFrame, list[float]]:
+    """rows with the number of each double's range, and the numbers that are ranges of their own. Ranges are cut at
+    approximate quantiles; a number that is two of them needs no order. NULL has no range."""
+    place = F.col(value) + F.lit(0.0)  # a negative zero is a zero
+    cuts = rows.agg(F.percentile_approx(place, [k / (CUTS + 1) for k in range(1, CUTS + 1)], ACCURACY).alias("q")).first()["q"] or []
+    cuts = [c for c in cuts if math.isfinite(c)]
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    splits = sorted({-math.inf, math.inf, *cuts, *[math.nextafter(h, math.inf) for h in heavy]})
+    # Ranges that hold one number are odd.
+    numbers = F.array(*[F.lit(2 * i + (a in heavy)) for i, a in enumerate(splits[:-1])])
+    cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep").transform(rows.withColumn("_place", place))
+    return cut.withColumn(out, F.when(F.col(value).isNotNull(), F.get(numbers, F.col("_bucket").cast("int")))).drop("_place", "_bucket"), heavy
+
+
+def rank_correlations(rows: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """(feature, n_unique, spearman): the number of distinct values of each feature, and the correlation of its average
+    ranks with the target's over the rows that have both; NULL where either side is constant.
+
+    The rows are sorted once, by ranges of the target. Each value of a feature then needs only how many rows it has and
+    the sum of their targets' ranks, and the values are ranked by their running counts. Ranks are less their mean.
+    """
+    cut, heavy = value_ranges(rows.select(*[F.col(c).cast("double").alias(c) for c in (target, *features)]), target, "_id")
+    long = cut.unpivot([target, "_id"], features, "feature", "value").where("value IS NOT NULL")
+    by_feature = Window.partitionBy("feature")
+    starts = _starts(long.where("_id IS NOT NULL").groupBy("feature", "_id").agg(F.count(F.lit(1)).alias("_n")), ["feature"]).withColumn("_middle", (F.sum("_n").over(by_feature) + 1) / 2.0)
+    starts = cut_lineage(starts)  # some hundred rows for each feature, read often
+    w = Window.partitionBy("feature", "_id").orderBy(target)
+    inside = (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2.0
+    ranked = long.where("_id % 2 = 0").select("feature", "value", "_id", inside.alias("_inside"))
+    if heavy or cut.where(F.col(target).isNull()).limit(1).count():
+        ranked = ranked.unionByName(long.where("_id IS NULL OR _id % 2 = 1").select("feature", "value", "_id", F.lit(None).cast("double").alias("_inside")))
+    at = F.col("_start") + F.coalesce("_inside", (F.col("_n") + 1) / 2.0) - F.col("_middle")
+    met = ranked.join(F.broadcast(starts), ["feature", "_id"], "left").select("feature", "value", at.alias("_at"))
+    values = cut_lineage(met.groupBy("feature", "value").agg(F.count("_at").alias("_n"), F.sum("_at").alias("_sum"), F.sum(F.col("_at") * F.col("_at")).alias("_squares")))
+    placed = running(values, "value", "_n", "_upto", ["feature"]).join(F.broadcast(starts.groupBy("feature").agg(F.first("_middle").alias("_middle"))), "feature", "left")
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2.0 - F.col("_middle")
+    made = placed.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"), F.sum(rank * F.col("_sum")).alias("_xy"), F.sum(F.col("_n") * rank * rank).alias("_xx"), F.sum("_squares").alias("_yy"))
+    return made.select("feature", "n_unique", F.try_divide("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("spearman"))
+
+
 def exact_quantiles(rows: DataFrame, value: str, shares: list[float], keys: list[str] = [], most: int = RANGE_ROWS) -> DataFrame:  # noqa: B006
     """(keys, share, quantile): exact quantiles of every group at once, between two values by linear interpolation; missing
     values are skipped.

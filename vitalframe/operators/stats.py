@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import clean_num, safe_corr, to_number
 from vitalframe.operators.information import neighbour_information
-from vitalframe.operators.ordering import average_ranks, exact_quantiles
+from vitalframe.operators.ordering import exact_quantiles, rank_correlations
 
 #: Scores that differ by no more than this share are equal but for the rounding of sums; and the most rows whose sums one
 #: task takes in the rows' order. Above, sums of tasks are merged in any order, so their last digits must decide nothing.
@@ -121,30 +121,40 @@ def centered(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def variance_by_feature(long: DataFrame, subject: str) -> DataFrame:
     """icc and within_pct of each feature of a long table, as variance_components gives them."""
-    groups = long.where(F.col("value").isNotNull() & F.col(subject).isNotNull()).groupBy("feature", subject).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("s2"))
-    n, m = F.col("n"), F.col("m")
+    return _parted(long.groupBy("feature", subject).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("s2")), subject)
+
+
+def _parted(groups: DataFrame, subject: str, *more: Column) -> DataFrame:
+    """icc and within_pct of each feature from the number, mean and variance of its values by subject; and more aggregates."""
+    whole = (F.col("n") > 0) & F.col(subject).isNotNull()
+    n, m, s2 = (F.when(whole, F.col(c)) for c in ("n", "m", "s2"))
     t = groups.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * F.col("s2")).alias("ssw"), F.avg("n").alias("size"), (F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum("n")).alias("ssb"))
-    fine = (F.col("k") >= 2) & (F.col("total") > F.col("k"))
-    within = F.when(fine, F.try_divide("ssw", F.col("total") - F.col("k")))
-    between = F.when(fine, F.greatest(F.try_divide(F.try_divide("ssb", F.col("k") - 1) - within, F.col("size")), F.lit(0.0)))
-    return t.select("feature", F.try_divide(between, between + within).alias("icc"), (F.try_divide(within, between + within) * 100).alias("within_pct"))
+        F.count(n).alias("_k"), F.sum(n).alias("_total"), F.sum(n * s2).alias("_ssw"), F.avg(n).alias("_size"), (F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)).alias("_ssb"), *more)
+    fine = (F.col("_k") >= 2) & (F.col("_total") > F.col("_k"))
+    within = F.when(fine, F.try_divide("_ssw", F.col("_total") - F.col("_k")))
+    between = F.when(fine, F.greatest(F.try_divide(F.try_divide("_ssb", F.col("_k") - 1) - within, F.col("_size")), F.lit(0.0)))
+    t = t.withColumn("icc", F.try_divide(between, between + within)).withColumn("within_pct", F.try_divide(within, between + within) * 100)
+    return t.drop("_k", "_total", "_ssw", "_size", "_ssb")
 
 
 def characterised(rows: DataFrame, subject: str, target: str, features: list[str]) -> DataFrame:
     """Per feature: Pearson, Spearman, within-subject and repeated-measures correlation with the target, moments, missing
-    percentage, distinct values, intraclass correlation and the share of variance within subjects."""
-    long = long_form(rows, [subject, target], features).withColumn("value", clean_num("value"))
-    both = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    w = Window.partitionBy("feature", subject)
-    inner = both.withColumn("_dx", F.col("value") - F.avg("value").over(w)).withColumn("_dy", F.col(target) - F.avg(target).over(w))
-    x, n = F.col("value"), F.count("value")
-    related = inner.groupBy("feature").agg(
-        safe_corr("value", target).alias("pearson"), safe_corr("_dx", "_dy").alias("centered"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"), F.count_distinct(subject).alias("k"))
-    shape = long.groupBy("feature").agg((F.avg(x.isNull().cast("double")) * 100).alias("missing_pct"), F.count_distinct(x).alias("n_unique"))
-    ranked = average_ranks(both.select("feature", "value", target), {"value": "_rx", target: "_ry"}, ["feature"])
-    made = related.join(shape, "feature").join(variance_by_feature(long, subject), "feature", "left").join(ranked.groupBy("feature").agg(safe_corr("_rx", "_ry").alias("spearman")), "feature", "left")
+    percentage, distinct values, intraclass correlation and the share of variance within subjects.
+
+    Correlations within subjects come from the subjects' own covariances, so no row is sorted or sent for them.
+    """
+    rows = rows.select(subject, *[clean_num(c).alias(c) for c in (target, *features)])
+    long = long_form(rows, [subject, target], features)
+    x, y = F.when(F.col(target).isNotNull(), F.col("value")), F.when(F.col("value").isNotNull(), F.col(target))
+    n = F.count(x)
+    related = long.groupBy("feature").agg(
+        n.alias("_pairs"), safe_corr("value", target).alias("pearson"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (F.avg(F.col("value").isNull().cast("double")) * 100).alias("missing_pct"),
+        F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"))
+    groups = long.groupBy("feature", subject).agg(
+        F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("s2"), n.alias("_both"), F.covar_pop(x, y).alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy"))
+    part = lambda c: F.sum(F.col("_both") * F.col(c))
+    inner = _parted(groups, subject, F.try_divide(part("_xy"), F.sqrt(part("_xx")) * F.sqrt(part("_yy"))).alias("centered"), F.count_if((F.col("_both") > 0) & F.col(subject).isNotNull()).alias("k"))
+    made = related.where("_pairs > 0").drop("_pairs").join(inner, "feature").join(rank_correlations(rows, target, features), "feature")
     return made.withColumn("rm_corr", F.when(F.col("k") >= 3, F.col("centered"))).withColumn("cv", F.when(F.abs("mean") > 1e-8, F.col("std") / F.abs("mean"))).drop("k")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.functions.nulls import safe_corr
 from vitalframe.operators import stats as T
-from vitalframe.operators.ordering import average_ranks
+from vitalframe.operators.ordering import rank_correlations
 from vitalframe.plans.catalog import register
 from vitalframe.plans.roles import table
 
@@ -60,7 +60,7 @@ m AS (SELECT *, ssb / (k - 1) AS msb, ssw / (total - k) AS msw FROM t), b AS (SE
 SELECT k, total::BIGINT AS total, round(sb / (sb + msw), 6) AS icc, round(msw / (sb + msw) * 100, 4) AS within_pct, round(msw / 1e6, 4) AS msw FROM b""")
 register("centered_corr", lambda s, d: T.centered(table(s, d, "lineitem"), "l_orderkey", ["l_quantity", "l_extendedprice"]).agg(F.round(safe_corr("l_quantity", "l_extendedprice"), 6).alias("r")), """
 WITH c AS (SELECT l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey) AS x, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS y FROM lineitem) SELECT round(corr(x, y), 6) AS r FROM c""")
-register("spearman", lambda s, d: average_ranks(table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), {"l_quantity": "a", "l_extendedprice": "b"}).agg(F.round(safe_corr("a", "b"), 6).alias("rho")), """
+register("spearman", lambda s, d: rank_correlations(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"]).agg(F.round(F.first("spearman"), 6).alias("rho")), """
 WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS b FROM lineitem)
 SELECT round(corr(a, b), 6) AS rho FROM r""")
 register("unique_values", lambda s, d: T.long_form(table(s, d, "lineitem"), [], FEATURES).groupBy("feature").agg(F.count_distinct("value").alias("n_unique"), F.round(F.log2(F.count_distinct("value")), 6).alias("bits")), "WITH " + "u AS (" + " UNION ALL ".join(
