@@ -193,3 +193,47 @@ def test_rank_correlations_sort_the_rows_once_and_match_plain_ranks(spark):
     windows = [w.split("specifiedwindowframe")[0] for w in plan.split("windowspecdefinition(")[1:]]
     assert not any("who#" in w for w in windows)  # no window sends the rows to their subjects
     assert ordering.rank_correlations(df.where("y = 7.5"), "y", ["a"]).first()["spearman"] is None
+
+
+def test_wave_kernels_are_dealt_to_all_cores_and_share_their_steps(spark, tmp_path, monkeypatch):
+    from vitalframe.kernels import features, filters, pulses
+
+    x = np.sin(2 * np.pi * 1.2 * np.arange(600) / 60.0) + 0.1 * np.sin(np.arange(600))
+    rows = spark.createDataFrame([(k, x[k : k + 64].tolist(), 0) for k in range(64)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("ppg_features", "fiducial_points", "wave_savgol"):
+        made = catalog.queries()[name](spark, str(tmp_path))
+        parts = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("file_id").alias("n")).collect()]
+        assert len(parts) >= spark.sparkContext.defaultParallelism and sum(parts) == 64
+    used = []
+    for module, name in ((filters, "bandpass"), (pulses, "well_shaped")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name: used.append(_n) or _f(*a))
+    features.ppg_features(x + 1e-3, 60.0)
+    assert used.count("well_shaped") == 1 and used.count("bandpass") <= 2  # the wave, and the cropped wave
+
+
+def test_cubic_spline_matches_a_dense_solution():
+    from vitalframe.kernels import filters
+
+    rng = np.random.default_rng(23)
+    x = np.cumsum(rng.uniform(0.2, 3.0, 40))
+    y, at = rng.normal(size=40), np.linspace(x[0], x[-1], 301)
+    # Piecewise cubics: values at both ends, equal slopes and curvatures inside, equal third derivatives at the outer knots.
+    h, n = np.diff(x), 39
+    a, b = np.zeros((4 * n, 4 * n)), np.zeros(4 * n)
+    row = 0
+    for k in range(n):
+        a[row, 4 * k], b[row] = 1, y[k]
+        a[row + 1, 4 * k : 4 * k + 4], b[row + 1] = h[k] ** np.arange(4), y[k + 1]
+        row += 2
+    for k in range(n - 1):
+        a[row, 4 * k + 1 : 4 * k + 4], a[row, 4 * k + 5] = (1, 2 * h[k], 3 * h[k] ** 2), -1
+        a[row + 1, 4 * k + 2 : 4 * k + 4], a[row + 1, 4 * k + 6] = (2, 6 * h[k]), -2
+        row += 2
+    for k in (0, n - 2):
+        a[row, 4 * k + 3], a[row, 4 * k + 7] = 1, -1
+        row += 1
+    c = np.linalg.solve(a, b).reshape(n, 4)
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 1)
+    want = sum(c[k, p] * (at - x[k]) ** p for p in range(4))
+    assert np.allclose(filters.cubic_spline(x, y, at), want, atol=1e-9)

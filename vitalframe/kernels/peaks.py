@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from vitalframe.kernels import filters
@@ -12,6 +14,9 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     if len(x) < 3:
         return np.zeros(0, int)
+    if not (x[1:] == x[:-1]).any():  # no plateau
+        rises = x[1:] > x[:-1]
+        return np.flatnonzero(rises[:-1] & (x[1:-1] > x[2:])) + 1
     begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     ends = np.append(begins[1:], len(x)) - 1
     level = x[begins]
@@ -60,7 +65,18 @@ def robust_peaks(x: np.ndarray, fs: float) -> np.ndarray:
 def systolic_peaks(x: np.ndarray, fs: float) -> np.ndarray:
     """Systolic peaks by two moving averages (Elgendi et al., 2013): blocks where the short average of the squared
     positive band-passed signal exceeds the beat average; wide enough blocks give their maximum, 0.3 s apart."""
-    clean = filters.bandpass(x, fs, 0.5, 8.0, 3)
+    return _systolic(np.asarray(x, float).tobytes(), fs)[0].copy()
+
+
+def pulse_clean(x: np.ndarray, fs: float) -> np.ndarray:
+    """The band-passed signal that systolic peaks are found in."""
+    return _systolic(np.asarray(x, float).tobytes(), fs)[1].copy()
+
+
+@lru_cache(maxsize=4)
+def _systolic(wave: bytes, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Systolic peaks and the cleaned signal; the groups of features ask for those of one wave in turn."""
+    clean = filters.bandpass(np.frombuffer(wave), fs, 0.5, 8.0, 3)
     energy = np.clip(clean, 0, None) ** 2
     short, beat = max(1, round(0.111 * fs)), max(1, round(0.667 * fs))
     blocks = filters.moving_average(energy, short) > filters.moving_average(energy, beat) + 0.02 * energy.mean()
@@ -73,7 +89,7 @@ def systolic_peaks(x: np.ndarray, fs: float) -> np.ndarray:
         p = a + int(inside[np.argmax(clean[a:b][inside])] if len(inside) else np.argmax(clean[a:b]))
         if not peaks or p - peaks[-1] > 0.3 * fs:
             peaks.append(p)
-    return np.array(peaks, int)
+    return np.array(peaks, int), clean
 
 
 def r_peaks(x: np.ndarray, fs: float) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Named pipelines over waveforms and their Arrow-backed Spark operators.
 
 A waveform table has file_id and samples (array<double>), one row per file. Kernels run inside the scan's tasks as
-mapInArrow: no shuffle, and a batch holds as many files as its byte bound allows.
+mapInArrow: no shuffle, and a batch holds as many files as its byte bound allows. A table of few bytes is one scan task
+however long its kernels take; deal its rows out first.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ PIPELINES: dict[tuple[str, str], Kernel] = {
 HELD = 1 << 19
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in turn to four tasks for each core."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     """The arrays as one column of lists, without a Python object for each number."""
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)

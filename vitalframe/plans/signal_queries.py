@@ -144,7 +144,8 @@ def _waves(s, d):
     """embeddings as waveforms of 64 samples, repeated to 512, with a slow pulse added so that beats exist."""
     pulse = [float(v) for v in np.sin(2 * np.pi * 1.2 * np.arange(512) / 60.0)]
     long = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 8))
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.zip_with(long, F.array(*[F.lit(v) for v in pulse]), lambda a, b: a + b).alias("samples"))
+    rows = registry.dealt(table(s, d, "embeddings").select("vec_id", "embedding"))
+    return rows.select(F.col("vec_id").alias("file_id"), F.zip_with(long, F.array(*[F.lit(v) for v in pulse]), lambda a, b: a + b).alias("samples"))
 
 
 def _spread(df):
