@@ -237,3 +237,25 @@ def test_cubic_spline_matches_a_dense_solution():
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 1)
     want = sum(c[k, p] * (at - x[k]) ** p for p in range(4))
     assert np.allclose(filters.cubic_spline(x, y, at), want, atol=1e-9)
+
+
+def test_nested_cv_reads_its_rows_once_and_orders_only_the_nearest(spark, monkeypatch):
+    from vitalframe.kernels import regressors
+    from vitalframe.operators import models, splits
+
+    rng = np.random.default_rng(27)
+    x, y = rng.integers(0, 5, (90, 3)).astype(float), rng.normal(size=90)
+    z = rng.integers(0, 5, (70, 3)).astype(float)
+    for p in (1, 2):
+        gap = np.abs(z[:, None] - x[None])
+        gap = gap.sum(2) if p == 1 else np.sqrt((gap**2).sum(2))
+        assert np.array_equal(regressors.distances(z, x, p), gap)
+        for k in (1, 4, 7):
+            assert np.array_equal(regressors.nearest_places(gap, k), np.argsort(gap, axis=1, kind="stable")[:, :k])
+    gap[3, :] = gap[4, 1:] = np.inf  # fewer finite distances than places
+    assert np.array_equal(regressors.nearest_places(gap, 4), np.argsort(gap, axis=1, kind="stable")[:, :4])
+    df = spark.createDataFrame([(k % 9, *map(float, x[k]), float(y[k])) for k in range(90)], "g long, a double, b double, c double, y double")
+    made = models.nested_cv(df, splits.group_folds(df, "g", 3), "g", "y", ["a", "b", "c"], ["dummy", "knn"])
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # the rows are joined to their folds once
+    monkeypatch.setattr(np, "argsort", None)
+    assert regressors.knn(x, y, k=3)(z).shape == (70,)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.kernels.regressors import MODEL_SETS
 from vitalframe.operators.aggregates import regression_errors
+from vitalframe.session import cut_lineage
 
 #: Rows of a fold, and rows in all, that models are fitted on at most; the rows with the smallest hashes are taken.
 FOLD_ROWS = 256
@@ -114,7 +115,7 @@ def nested_cv(rows: DataFrame, folds: DataFrame, key: str, target: str, features
     Models are fitted on at most fold_rows rows of each fold; every row of the table is predicted.
     """
     models = list(models)
-    data = _numbers(rows.join(folds, key), key, target, features, "fold")
+    data = cut_lineage(_numbers(rows.join(folds, key), key, target, features, "fold"))  # read for the sample and to predict
     sample = bounded_sample(data, features, "fold", fold_rows)
     found = fitted_models(data, sample, features, sorted(sample["fold"].unique().tolist()), models, inner, model_set)
     return predictions(data, found, features, models, key)
