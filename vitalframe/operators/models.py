@@ -2,12 +2,14 @@
 
 Models of a study fit on few rows and have many settings, so the settings are the unit of work: a bounded sample of
 rows is given to every task, each (model, setting, fold) is fitted on its own, and only the errors come together. The
-chosen models, whose size the sample bounds, then predict every row of the table where it lies.
+chosen models, whose size the sample bounds, then predict every row of the table where it lies. Where no sample is wanted,
+nested_cv fits on every row (operators.whole).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalframe.functions.nulls import clean_num
 from vitalframe.kernels.regressors import MODEL_SETS
+from vitalframe.operators import whole
 from vitalframe.operators.aggregates import regression_errors
 from vitalframe.session import cut_lineage
 
+#: Complete rows up to which a table that is fitted as a whole is given to every task.
+FEW_ROWS = 4096
 #: Rows of a fold, and rows in all, that models are fitted on at most; the rows with the smallest hashes are taken.
 FOLD_ROWS = 256
 
@@ -109,13 +115,26 @@ def predictions(data: DataFrame, found: dict[tuple[str, int], Callable], feature
     return made.withColumn("predicted", F.when(~F.isnan("predicted"), F.col("predicted")))
 
 
-def nested_cv(rows: DataFrame, folds: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3, model_set: str = "low_overfit", fold_rows: int = FOLD_ROWS) -> DataFrame:
+def nested_cv(rows: DataFrame, folds: DataFrame, key: str, target: str, features: list[str], models: Iterable[str], inner: int = 3, model_set: str = "low_overfit", fold_rows: int | None = FOLD_ROWS) -> DataFrame:
     """(model, fold, key, actual, predicted) for every row, held out from its model, which is tuned on the other folds.
 
-    Models are fitted on at most fold_rows rows of each fold; every row of the table is predicted.
+    Models are fitted on at most fold_rows rows of each fold, or with None on every row: tables of up to FEW_ROWS rows are
+    given to every task as they are, for larger ones see operators.whole. Every row of the table is predicted.
     """
     models = list(models)
-    data = cut_lineage(_numbers(rows.join(folds, key), key, target, features, "fold"))  # read for the sample and to predict
+    data = cut_lineage(_numbers(rows.join(folds, key), key, target, features, "fold"))  # read to fit and to predict
+    if fold_rows is None:
+        count = data.dropna(subset=["_y", *features]).count()
+        if count > FEW_ROWS:
+            found, near = whole.fitted(data, features, models, inner, MODEL_SETS[model_set])
+            made = predictions(data, found, features, [m for m in models if m != "knn"], key)
+            if near is None:
+                return made
+            near = near.select(F.lit("knn").alias("model"), "fold", F.col("_key").alias(key), F.col("_y").alias("actual"), "predicted")
+            missing = data.where(~reduce(lambda a, b: a & b, [clean_num(f).isNotNull() for f in features]))
+            missing = missing.select(F.lit("knn").alias("model"), "fold", F.col("_key").alias(key), F.col("_y").alias("actual"), F.lit(None).cast("double").alias("predicted"))
+            return made.unionByName(near).unionByName(missing)
+        fold_rows = max(1, count)
     sample = bounded_sample(data, features, "fold", fold_rows)
     found = fitted_models(data, sample, features, sorted(sample["fold"].unique().tolist()), models, inner, model_set)
     return predictions(data, found, features, models, key)
@@ -145,7 +164,6 @@ def leave_one_out_mean(rows: DataFrame, key: str, target: str) -> DataFrame:
 
 def ablation(train: DataFrame, test: DataFrame, key: str, target: str, groups: dict[str, list[str]], models: Iterable[str], model_set: str = "low_overfit") -> DataFrame:
     """Test metrics per model for every combination of modalities, each a list of features."""
-    from functools import reduce
     from itertools import combinations
 
     parts = []
